@@ -40,10 +40,10 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("w", weight)
-    all_ = counts.agg(F.sum("w").alias("w_all"), F.sum("n_docs").alias("n_all"))
-    size = F.col("n_all") if total is None else F.lit(total)
-    # One row against few: the totals, not a join of data.
-    return counts.join(F.broadcast(all_), F.lit(True)).select("source", "n_docs", F.when(F.col("w_all") > 0, F.col("w") / F.col("w_all") * size / F.col("n_docs")).otherwise(0.0).alias("rate"))
+    counts = write_shared(counts, "mix-counts")
+    w_all, n_all = counts.agg(F.sum("w"), F.sum("n_docs")).first()
+    rate = F.col("w") / F.lit(w_all) * F.lit(n_all if total is None else total) / F.col("n_docs") if w_all else F.lit(0.0)
+    return counts.select("source", "n_docs", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1, temperature: float = 2.0) -> DataFrame:
