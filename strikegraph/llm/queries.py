@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, secrets, simhash, tokens, topk
+from . import decontam, langid, mixing, pii, quality, secrets, simhash, tokens, topk
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op3_pii_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.token_file_dir(spark, "op4")
     tokens.write_token_files(read(spark, sf_dir, "documents"), word_bpe(), out)
@@ -43,6 +48,10 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(read(spark, sf_dir, "documents"), words=3, distance=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -55,9 +64,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_pii_segments": op3_pii_segments,
     "op4_token_files": op4_token_files,
     "op5_quality": op5_quality,
     "op6_secret_ownership": op6_secret_ownership,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op10_poisson_mix": op10_poisson_mix,
 }
