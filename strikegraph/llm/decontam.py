@@ -173,9 +173,9 @@ def passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def _with_found(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-    found = "array<struct<item_id:long,distance:int>>"
+    found = ArrayType(StructType().add("item_id", LongType()).add("distance", IntegerType()))
     out = StructType([*docs.schema.fields]).add("_text", "string").add("_found", found)
     slim = StructType([f for f in out.fields if f.name != "_text"])
     held = docs.sparkSession.sparkContext.broadcast(items)
