@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, quality, secrets, simhash, tokens, topk
+from . import backoff, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, topk
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = backoff.score(docs, backoff.count(docs, order=2), leave_out=True)
+    return scored.withColumn("log_score", F.round("log_score", 4) + F.lit(0.0))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -70,10 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_ownership": op6_secret_ownership,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": topk.TOP_K_SQL,
+    "op9_stupid_backoff": backoff.SCORE_SQL,
     "op10_poisson_mix": mixing.MIX_SQL,
 }
