@@ -199,7 +199,7 @@ def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
 
 def _own(of: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """How often each place's n-gram occurs in its own document."""
-    key = doc.astype(np.int64) * (int(at.max(initial=0)) + 1) + at
+    key = doc.astype(np.int64) * (int(at.max(initial=0)) + 2) + np.where(of > 0, at + 1, 0)
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     return np.where(of > 0, n[back], 0)
 

@@ -44,7 +44,8 @@ def occurrence(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int
     Distances above ``budget`` are given as ``budget + 1``, end -1.
     """
     full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, budget + 1, -1
+    pv, mv, score = full, 0, m
+    best, end = (m, 0) if m <= budget else (budget + 1, -1)
     get = peq.get
     for at, c in enumerate(text):
         eq = get(c, 0)
