@@ -10,6 +10,7 @@ appears once a chunk, so no key is hot.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from .common import rows_of, slices, write_shared
 #: Factor of each step to a shorter context, and the count of a word that was never seen.
 BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text of a chunk, of a hash range, and words that a counting task gathers before it sends blocks.
-CHUNK_BYTES, RANGE_BYTES, GATHER = 6 << 20, 8 << 20, 2_000_000
+CHUNK_BYTES, RANGE_BYTES, GATHER = 6 << 20, 8 << 20, 3_000_000
 
 #: The range under which the number of words travels.
 WORDS = -1
@@ -61,15 +62,20 @@ def grams(h: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers by planes of bytes, as many as the largest needs."""
+    """Unsigned numbers by planes of bytes, as many as the largest needs; the highest plane, mostly small values, is deflated."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    top = zlib.compress(planes[-1].tobytes(), 1)
+    return bytes([width]) + len(top).to_bytes(4, "little") + top + np.ascontiguousarray(planes[:-1]).tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, : b[0]] = planes.T
+    size = int.from_bytes(b[1:5], "little")
+    top = np.frombuffer(zlib.decompress(b[5 : 5 + size]), np.uint8)
+    out = np.zeros((len(top), 8), dtype=np.uint8)
+    out[:, b[0] - 1] = top
+    if b[0] > 1 and len(top):
+        out[:, : b[0] - 1] = np.frombuffer(b, np.uint8, offset=5 + size).reshape(b[0] - 1, -1).T
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
