@@ -35,6 +35,16 @@ def _kg(query: Callable[[KnowledgeGraph, DataFrame], DataFrame]) -> Callable[[Sp
     return lambda spark, sf_dir: query(*loaded(spark, sf_dir))
 
 
+_HELD: dict = {}
+
+
+def _held(kg: KnowledgeGraph, name, make: Callable[[], tuple | DataFrame]):
+    """What several queries look into, worked out once for a graph and session."""
+    if (id(kg), name) not in _HELD:
+        _HELD[id(kg), name] = make()
+    return _HELD[id(kg), name]
+
+
 def _text(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, signature(c))
@@ -66,7 +76,7 @@ def simple_paths(kg, q):
 
 
 def _between(kg, q, how, least=2):
-    return paths.paths_between(kg, q, _rel(kg, q), 4, least, how)
+    return _held(kg, (how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).cache())
 
 
 def between(how):
@@ -89,8 +99,7 @@ def reverse_index_2hop(kg, q):
 
 def _candidates(kg, q, config=BIDIRECTIONAL):
     rel = _rel(kg, q)
-    live = engine.reachable(q, rel)
-    return engine.candidate_patterns(kg, live, rel, config).persist(), rel
+    return _held(kg, config, lambda: engine.candidate_patterns(kg, engine.reachable(q, rel), rel, config).cache()), rel
 
 
 def pattern_enumeration(kg, q):
@@ -109,8 +118,13 @@ def match_sets(config):
 
 def _ranked(kg, q, config):
     rel = _rel(kg, q)
-    live = engine.reachable(q, rel).persist()
-    return live, rel, *engine.ranked_patterns(kg, live, rel, config)
+
+    def make():
+        live = engine.reachable(q, rel).cache()
+        best, members = engine.ranked_patterns(kg, live, rel, config)
+        return live, rel, best.cache(), members.cache()
+
+    return _held(kg, ("ranked", config), make)
 
 
 def pattern_relevance(kg, q):
