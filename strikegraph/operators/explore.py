@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strikegraph.functions.columns import signature
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.operators.relevance import ranked
+from strikegraph.sources.shared import kept
 
 KEY = ["source", "etypes"]
 
@@ -28,7 +29,7 @@ def pattern_probability(kg: KnowledgeGraph, sources: DataFrame, hops: int, forwa
     ``forward`` sums over walks the shares taken at each step from the source, ``backward`` those from the node back to the
     source; ``score`` is their mean. Walks do not return to the node they came from.
     """
-    edges = spread_edges(kg, forward_only).persist()
+    edges = spread_edges(kg, forward_only).transform(kept)
     state = sources.select("source", F.array().cast("array<int>").alias("etypes"), F.lit(None).cast("long").alias("came"), F.col("source").alias("src"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"))
     out = []
     for _ in range(hops):
@@ -62,7 +63,7 @@ def top_path_patterns(kg: KnowledgeGraph, pairs: DataFrame, hops: int = 2, k_pat
     For each of ``pairs(source, target)`` the patterns that lead from the source to the target, by the target's score and
     then by support, each with the nodes of the highest scores that it leads to.
     """
-    probability = pattern_probability(kg, pairs.select("source").distinct(), hops).persist()
+    probability = pattern_probability(kg, pairs.select("source").distinct(), hops).transform(kept)
     hit = pairs.join(probability, (pairs.source == probability.source) & (pairs.target == probability.nid)).select(pairs.source, "target", "etypes", "score")
     ranked_ = ranked(hit.join(pattern_support(kg, hit, hops), "etypes").withColumn("pattern", signature("etypes")), ["source", "target"], F.desc("score"), F.desc("support"), "pattern")
     best = ranked_.where(F.col("rank") <= k_patterns).withColumnRenamed("rank", "pattern_rank")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from strikegraph.sources.shared import kept
 
 
 @dataclass
@@ -18,7 +19,7 @@ class KnowledgeGraph:
     edges: DataFrame
 
     def cached(self) -> KnowledgeGraph:
-        return KnowledgeGraph(*(d.cache() for d in (self.nodes, self.edge_types, self.node_types, self.edges)))
+        return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types, self.edges)))
 
 
 def both_directions(forward: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def from_triples(triples: DataFrame, types: DataFrame) -> KnowledgeGraph:
 def _ranked(names: DataFrame, column: str, out: str) -> DataFrame:
     """Dense places of distinct names in their order: rows are numbered within range partitions, whose sizes are added up."""
     parts = names.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(column))).persist()
+    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(column))).transform(kept)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return parts.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_in") - 1).cast("long").alias(out), column)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strikegraph.functions.columns import DECAYS, reverse_etypes, signature
 from strikegraph.operators.graph import KnowledgeGraph
+from strikegraph.sources.shared import kept
 
 
 def start(queries: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def paths_between(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, most:
     ``bidirectional``: half the hops are walked from the target, half from the context, and the halves meet in an
     equi-join; ``reverse``: all hops but one are walked from the context; ``forward``: all from the target.
     """
-    inner = inner_nodes(kg, rel)
+    inner = inner_nodes(kg, rel).transform(kept)
     hops = most - 1
     ahead = hops if enumeration == "forward" else min(1, hops) if enumeration == "reverse" else -(-hops // 2)
     stay = F.col("dst") != F.col("context")
@@ -54,11 +55,11 @@ def paths_between(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, most:
         return reduce(DataFrame.unionByName, out[least - 2 :])
     ends = queries.select("qid", F.col("target").alias("end"))
     for k in range(1, ahead):
-        halves[k] = expand(kg, halves[k - 1], inner, stay)
+        halves[k] = expand(kg, halves[k - 1], inner, stay).transform(kept)
     back = {0: start(queries.select("qid", F.col("context").alias("target"), "context"))}
     behind = hops - ahead
     for k in range(1, behind + 1):
-        back[k] = expand(kg, back[k - 1], inner).join(ends, "qid").where("element_at(nodes, -1) <> end").drop("end")
+        back[k] = expand(kg, back[k - 1], inner).join(ends, "qid").where("element_at(nodes, -1) <> end").drop("end").transform(kept)
     out = []
     for n in range(least - 1, hops + 1):
         b = min(behind, n - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strikegraph.functions.columns import DECAYS, instance_label, interleave, jaccard_distance, signature, type_label
 from strikegraph.operators.graph import KnowledgeGraph, node_labels
 from strikegraph.operators.relevance import best_type, ranked
+from strikegraph.sources.shared import kept
 
 PATH = ["qid", "target", "context", "nodes", "etypes"]
 
@@ -143,9 +144,9 @@ def waves(kg: KnowledgeGraph, patterns: DataFrame, rel: DataFrame, k: int, most:
     """
     order = ranked(patterns, ["qid"], F.desc("path_score"), "pattern")
     evaluate = lambda p: pattern_relevance(match_sets(kg, p, most, labelled, min_peers), p, rel, context_level)
-    head, tail = order.where(F.col("rank") <= first).drop("rank").persist(), order.where(F.col("rank") > first).drop("rank")
-    one = evaluate(head).persist()
-    kth = top_patterns(one, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("relevance").alias("bound")).where(F.col("n") >= k).select("qid", "bound").persist()
+    head, tail = order.where(F.col("rank") <= first).drop("rank").transform(kept), order.where(F.col("rank") > first).drop("rank")
+    one = evaluate(head).transform(kept)
+    kth = top_patterns(one, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("relevance").alias("bound")).where(F.col("n") >= k).select("qid", "bound").transform(kept)
     return top_patterns(one.unionByName(evaluate(above(tail, kth))), k)
 
 

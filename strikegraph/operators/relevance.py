@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikegraph.operators.graph import KnowledgeGraph, degrees
+from strikegraph.sources.shared import kept
 
 
 def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops: int = 8, min_score: float = 1e-6) -> DataFrame:
@@ -18,7 +19,7 @@ def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops:
     """
     d = degrees(kg.edges).select(F.col("nid").alias("src"), "degree")
     moves = kg.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(d, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("w"))
-    moves = moves.unionByName(d.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))).persist()
+    moves = moves.unionByName(d.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))).transform(kept)
     state = contexts.select("context").distinct().select("context", F.col("context").alias("nid"), F.lit(1.0).alias("mass"), F.lit(stop).alias("total"))
     for k in range(1, hops + 1):
         go = F.col("mass") * F.col("w")
@@ -26,6 +27,8 @@ def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops:
             "context", F.col("dst").alias("nid"), F.coalesce(go, F.lit(0.0)).alias("mass"), F.when(F.col("w").isNull(), F.col("total")).otherwise(go * (stop * (1 - stop) ** k)).alias("total")
         )
         state = step.groupBy("context", "nid").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total"))
+        if k % 3 == 0:
+            state = state.transform(kept)  # short plans: adaptive execution plans again after every stage
     return state.select("context", "nid", F.round("total", 12).alias("score")).where(F.col("score") >= min_score)
 
 

@@ -9,6 +9,7 @@ from strikegraph.functions.columns import instance_label, interleave, signature
 from strikegraph.operators import facts, graph, paths, patterns, relevance
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans.config import BLIND, MiningConfig
+from strikegraph.sources.shared import kept
 
 
 def scores(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFrame:
@@ -30,24 +31,24 @@ def candidate_patterns(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, c
 
 def ranked_patterns(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
     """The ranked patterns ``(qid, pattern, n_nodes, relevance, n_peers, rank)`` and their peers ``(qid, pattern, nid)``."""
-    candidates = candidate_patterns(kg, queries, rel, config).persist()
-    matches = patterns.match_sets(kg, candidates, config.path_nodes, config.labelled, config.min_peers).persist()
+    candidates = candidate_patterns(kg, queries, rel, config).transform(kept)
+    matches = patterns.match_sets(kg, candidates, config.path_nodes, config.labelled, config.min_peers).transform(kept)
     found = patterns.pattern_relevance(matches, candidates, rel, config.context_level)
     if config.diversify and config.labelled:
         found = patterns.diversified(found, candidates)
     best = patterns.top_patterns(found, config.top_patterns) if config.mode == "top" else patterns.threshold_patterns(found, config.min_relevance)
-    best = best.persist()
+    best = best.transform(kept)
     members = matches.where("level = 0").join(best.select("qid", "pattern"), ["qid", "pattern"], "left_semi").select("qid", "pattern", "nid")
     return best, members
 
 
 def score_facts(kg: KnowledgeGraph, queries: DataFrame, members: DataFrame, config: MiningConfig, everywhere: bool = False) -> tuple[DataFrame, DataFrame]:
     """The peer sets of ``members(qid, pattern, nid)`` and the scored facts of each distinct set."""
-    sets, once = patterns.distinct_peer_sets(members.persist())
-    once = once.persist()
+    sets, once = patterns.distinct_peer_sets(members.transform(kept))
+    once = once.transform(kept)
     asked = facts.target_facts(kg, queries)
     eligible = (facts.eligible_globally if everywhere else facts.eligible_by_peers)(kg, once, asked, config.coverage)
-    frequency = facts.value_frequency(kg, once, asked, eligible.persist()).persist()
+    frequency = facts.value_frequency(kg, once, asked, eligible.transform(kept)).transform(kept)
     return sets, facts.strikingness(frequency, config.min_peers if config.drop_zero else 0)
 
 
@@ -56,12 +57,12 @@ def mine(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFr
 
     ``qid, rank, pattern, n_nodes, relevance, n_peers, fact_rank, etype, value, strikingness, value_freq, top_value, top_freq``
     """
-    rel = scores(kg, queries, config).persist()
-    live = reachable(queries, rel).persist()
+    rel = scores(kg, queries, config).transform(kept)
+    live = reachable(queries, rel).transform(kept)
     best, members = ranked_patterns(kg, live, rel, config)
     sets, scored = score_facts(kg, live, members, config)
-    facts_ = sets.select("qid", "pattern", "set_id").join(scored, ["qid", "set_id"]).join(best.select("qid", "pattern", "n_nodes", "relevance", "n_peers", "rank"), ["qid", "pattern"])
-    return facts.top_facts(facts_, config.top_facts, ["qid", "pattern"], config.drop_zero).select(
+    facts_ = sets.select("qid", "pattern", "set_id").join(scored, ["qid", "set_id"]).join(best.select("qid", "pattern", "n_nodes", "relevance", "n_peers", F.col("rank").alias("pattern_rank")), ["qid", "pattern"])
+    return facts.top_facts(facts_, config.top_facts, ["qid", "pattern"], config.drop_zero).withColumnRenamed("pattern_rank", "rank").select(
         "qid", "rank", "pattern", "n_nodes", "relevance", "n_peers", "fact_rank", "etype", "value", "strikingness", "value_freq", "top_value", "top_freq"
     )
 
@@ -110,7 +111,7 @@ def mine_blind(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BL
 
     Of patterns with equal peers the first by key stands for all. ``ends``: ``node`` or ``type``.
     """
-    members = (blind_peers if ends == "node" else blind_type_peers)(kg, queries, config).persist()
+    members = (blind_peers if ends == "node" else blind_type_peers)(kg, queries, config).transform(kept)
     sets, scored = score_facts(kg, queries, members, config, everywhere=True)
     first = sets.groupBy("qid", "set_id", "n_peers").agg(F.min("pattern").alias("pattern"))
     return first.join(scored, ["qid", "set_id"]).drop("set_id", "population")
@@ -118,8 +119,8 @@ def mine_blind(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BL
 
 def guided_facts(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFrame:
     """Global top facts of a guided run: values at least as relevant as the query's last ranked pattern, global coverage."""
-    rel = scores(kg, queries, config).persist()
-    live = reachable(queries, rel).persist()
+    rel = scores(kg, queries, config).transform(kept)
+    live = reachable(queries, rel).transform(kept)
     best, members = ranked_patterns(kg, live, rel, config)
     kth = best.groupBy("qid").agg(F.min("relevance").alias("kth"))
     sets, scored = score_facts(kg, live, members, config, everywhere=True)

@@ -13,6 +13,7 @@ from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans import engine
 from strikegraph.plans.config import BIDIRECTIONAL, BLIND, NAIVE, REVERSE, THRESHOLD
 from strikegraph.sources import star_schema
+from strikegraph.sources.shared import kept
 
 _GRAPHS: dict = {}
 
@@ -21,8 +22,8 @@ def loaded(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeGraph, DataFrame]
     """The graph of a folder, loaded once a session, and its query pairs."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
-        kg, pairs = star_schema.graph(spark, sf_dir).cached(), star_schema.queries(spark, sf_dir).cache()
-        _GRAPHS[key] = kg, pairs, engine.scores(kg, pairs, BIDIRECTIONAL).cache()
+        kg, pairs = star_schema.graph(spark, sf_dir).cached(), star_schema.queries(spark, sf_dir).transform(kept)
+        _GRAPHS[key] = kg, pairs, engine.scores(kg, pairs, BIDIRECTIONAL).transform(kept)
     return _GRAPHS[key][:2]
 
 
@@ -76,7 +77,7 @@ def simple_paths(kg, q):
 
 
 def _between(kg, q, how, least=2):
-    return _held(kg, (how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).cache())
+    return _held(kg, (how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).transform(kept))
 
 
 def between(how):
@@ -99,7 +100,7 @@ def reverse_index_2hop(kg, q):
 
 def _candidates(kg, q, config=BIDIRECTIONAL):
     rel = _rel(kg, q)
-    return _held(kg, config, lambda: engine.candidate_patterns(kg, engine.reachable(q, rel), rel, config).cache()), rel
+    return _held(kg, config, lambda: engine.candidate_patterns(kg, engine.reachable(q, rel), rel, config).transform(kept)), rel
 
 
 def pattern_enumeration(kg, q):
@@ -120,9 +121,9 @@ def _ranked(kg, q, config):
     rel = _rel(kg, q)
 
     def make():
-        live = engine.reachable(q, rel).cache()
+        live = engine.reachable(q, rel).transform(kept)
         best, members = engine.ranked_patterns(kg, live, rel, config)
-        return live, rel, best.cache(), members.cache()
+        return live, rel, best.transform(kept), members.transform(kept)
 
     return _held(kg, ("ranked", config), make)
 
@@ -149,13 +150,13 @@ def peer_set_dedup(kg, q):
 
 def peer_jaccard(kg, q):
     _, _, _, members = _ranked(kg, q, THRESHOLD)
-    return patterns.peer_jaccard(members.persist(), 0.1)
+    return patterns.peer_jaccard(members.transform(kept), 0.1)
 
 
 def _facts(kg, q, config=BIDIRECTIONAL):
     live, rel, best, members = _ranked(kg, q, config)
-    sets, once = patterns.distinct_peer_sets(members.persist())
-    return live, best, sets, once.persist(), facts.target_facts(kg, live)
+    sets, once = patterns.distinct_peer_sets(members.transform(kept))
+    return live, best, sets, once.transform(kept), facts.target_facts(kg, live)
 
 
 def _named(sets, df):
