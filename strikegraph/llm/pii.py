@@ -282,7 +282,10 @@ def train(docs: DataFrame, train_regions: int = TRAIN_REGIONS) -> np.ndarray:
     """Weights from the base spans of at most ``train_regions`` distinct regions of ``docs(doc_id, text)``, those of the smallest hashes."""
     hot = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     rows = hot.mapInArrow(_region_task, "region string, kinds array<string>, starts array<int>, stops array<int>").where(F.length("region") <= 400)
-    drawn = rows.orderBy(F.xxhash64("region"), "region").limit(train_regions).collect()
+    # A region may stand in texts that cut its spans in several ways: the way of most spans counts, then the first in order.
+    way = F.struct(-F.size("kinds"), "kinds", "starts", "stops")
+    distinct = rows.groupBy("region").agg(F.min(way).alias("way")).select("region", "way.kinds", "way.starts", "way.stops")
+    drawn = distinct.orderBy(F.xxhash64("region"), "region").limit(train_regions).collect()
     examples = [(r["region"], list(zip(r["kinds"], r["starts"], r["stops"]))) for r in drawn]
     return fit(examples + altered(examples))
 

@@ -178,6 +178,18 @@ def test_pii_query(spark):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_pii_training_regions_are_distinct(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda examples: seen.append(sorted(e[0] for e in examples)))
+    monkeypatch.setattr(pii, "altered", lambda examples: [])
+    texts = [f"on 10.0.0.{i} it ran" for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    copies = spark.createDataFrame([(100 + i, texts[i % 3], "en", "s", None) for i in range(300)], DOCS)
+    pii.train(docs.unionByName(copies), 12)
+    pii.train(docs, 12)
+    assert len(set(seen[0])) == 12 and seen[0] == seen[1]
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
