@@ -2,7 +2,8 @@
 
 Each document gets a number of copies drawn from a Poisson distribution whose mean is its source's
 target repetition rate. The draw inverts the distribution at a uniform number hashed from the seed and
-the document id, so it needs no state, is the same after any retry and in any partitioning.
+the document id (and, where ids are null or repeat, the row and its number among rows like it), so it needs no
+state, is the same after any retry and in any partitioning.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import write_shared
 MEAN = 8.0
 #: Table length for means up to MEAN: what lies beyond has a probability below 1e-30.
 TABLE = 64
+#: So many equal rows are numbered in one task.
+EQUAL = 10_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -46,12 +49,37 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     return counts.select("source", "n_docs", rate.alias("rate"))
 
 
+def seeded(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_seed``, a string of its own for each row: the id, if no other row has it.
+
+    Where an id is null or repeats, a hash of the whole row and a number among equal rows follow. Equal rows are
+    counted, not gathered, and then dealt out again in runs of ``EQUAL``.
+    """
+    doc_id = F.col("doc_id").cast("string")
+    again = write_shared(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "mix-repeated")
+    repeats, nulls = not again.isEmpty(), not docs.where("doc_id is null").isEmpty()
+    plain = docs.join(again, "doc_id", "left_anti").select(docs.columns) if repeats else docs
+    plain = (plain.where("doc_id is not null") if nulls else plain).withColumn("_seed", doc_id)
+    if not repeats and not nulls:
+        return plain
+    odd = docs.where("doc_id is null")
+    if repeats:
+        odd = odd.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    counted = odd.withColumn("_h", F.md5(F.to_json(F.struct(*cols)))).groupBy("_h").agg(F.count("*").alias("_n"), *(F.first(c).alias(name) for c, name in zip(cols, docs.columns)))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL).cast("int"))).alias("_run"))
+    first = F.col("_run").cast("long") * EQUAL
+    each = runs.repartition("_h", "_run").select("*", F.explode(F.sequence(first + 1, F.least(F.col("_n"), first + EQUAL))).alias("_k"))
+    seed = F.concat_ws(":", F.coalesce(doc_id, F.lit("null")), "_h", F.col("_k").cast("string"))
+    return plain.unionByName(each.select(*cols, seed.alias("_seed")))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1, temperature: float = 2.0) -> DataFrame:
     """The columns of ``docs`` with ``replica`` (from 1), ``n_copies`` and ``shuffle_key``, in global random order.
 
     A row appears ``n_copies`` times, rows drawn zero times do not. The partition and the place in it follow
-    from ``shuffle_key``, a hash; sorting by it gives one uniform order of the whole mixture. Repeated
-    ids draw the same number; a null id counts as an id of its own, a null source as a source of its own; null
+    from ``shuffle_key``, a hash; sorting by it gives one uniform order of the whole mixture. Every row draws for itself,
+    also where ids are null or repeat, and equal rows too; a null source counts as a source of its own; null
     and empty texts are rows like others. An empty table gives an empty mixture. Columns of ``docs`` named
     ``replica``, ``n_copies`` or ``shuffle_key`` are replaced.
     """
@@ -63,12 +91,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     sums = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all")), lambda a, p: F.struct((a["sum"] + p).alias("sum"), F.concat(a["all"], F.array(a["sum"] + p)).alias("all")))
     # Written, so that Spark knows its size when it chooses between a broadcast and a shuffled join.
     table = write_shared(rate.where("rate > 0").select(F.col("source").alias("_source"), draws.cast("int").alias("_draws"), sums["all"].alias("_cdf")), "mix-rates")
-    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, doc_id, j.cast("string"))))
+    draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col("_seed"), j.cast("string"))))
     n = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda a, j: a + draw(j))
-    drawn = docs.select(keep).join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("n_copies", n).where("n_copies > 0")
-    copies = drawn.select(*keep, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("replica"))
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), doc_id, F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long"))
+    drawn = seeded(docs.select(keep)).join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("n_copies", n).where("n_copies > 0")
+    copies = drawn.select(*keep, "_seed", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("replica"))
+    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_seed", F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long"))
     return keyed.select(*keep, "replica", "n_copies", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 

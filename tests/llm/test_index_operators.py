@@ -192,3 +192,19 @@ def test_poisson_is_inverted(spark):
         assert abs(sum(k * x for k, x in p.items()) - mean) < 0.1
         for k in range(1, 6):
             assert abs(p.get(k, 0) - exp(-mean) * mean**k / factorial(k)) < 0.015
+
+
+def test_rows_without_own_ids_draw_for_themselves(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL", 700)
+    rows = [(None, f"t{i}", "a", "x") for i in range(2000)] + [(7, f"r{i}", "a", "x") for i in range(2000)] + [(None, "same", "a", "x")] * 2000 + [(10 + i, "u", "a", "x") for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    by = lambda some: [r for r in got if some(r)]
+    for part in (by(lambda r: r.text[0] == "t"), by(lambda r: r.text[0] == "r"), by(lambda r: r.text == "same"), by(lambda r: r.text == "u")):
+        assert abs(len(part) - 2000) < 200
+        assert abs(sum(r.replica == 1 for r in part) - 1264) < 100 and {r.n_copies for r in part} >= {1, 2, 3}
+    assert len({r.shuffle_key for r in got}) == len(got)
+    other = mixing.mix(docs.repartition(5)).collect()
+    assert sorted((r.shuffle_key, r.text) for r in other) == sorted((r.shuffle_key, r.text) for r in got)
+    alone = mixing.mix(docs.where("doc_id >= 10")).select("doc_id", "replica", "shuffle_key").collect()
+    assert set(alone) == set(r[0:1] + r[4:5] + r[6:7] for r in by(lambda r: r.text == "u"))
