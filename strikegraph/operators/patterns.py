@@ -54,19 +54,20 @@ def _suffixed(patterns: DataFrame, most: int) -> DataFrame:
 def suffix_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool) -> dict[int, DataFrame]:
     """By depth ``(key, nid)``: nodes from which some walk follows a pattern's last ``depth`` edges to its context.
 
-    Each distinct suffix is worked out once, whatever patterns and queries share it.
+    Each distinct suffix is worked out once, whatever patterns and queries share it. Every depth is a written table, for the next
+    depth and the passes after it read it several times.
     """
-    s = _suffixed(patterns, most)
+    s = _suffixed(patterns, most).transform(kept)
     labels = node_labels(kg) if labelled else None
     turned = kg.edges.select(F.col("src").alias("next"), F.col("etype").bitwiseXOR(1).alias("etype"), F.col("dst").alias("nid"))
-    sets = {0: s.select(F.col("key0").alias("key"), F.col("context").alias("nid")).distinct()}
+    sets = {0: s.select(F.col("key0").alias("key"), F.col("context").alias("nid")).distinct().transform(kept)}
     for d in range(1, most):
         steps = s.where(F.col("m") >= d).select(F.col(f"key{d}").alias("key"), F.col(f"key{d - 1}").alias("parent"), F.col(f"label{d}").alias("label"), F.col(f"etype{d}").alias("etype")).distinct()
         tail = sets[d - 1].select(F.col("key").alias("parent"), F.col("nid").alias("next"))
         found = steps.join(tail, "parent").join(turned, ["next", "etype"])
         if labelled:
             found = found.join(labels, ["nid", "label"], "left_semi")
-        sets[d] = found.select("key", "nid").distinct()
+        sets[d] = found.select("key", "nid").distinct().transform(kept)
     return sets
 
 
@@ -84,10 +85,11 @@ def match_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: boo
     The suffix sets hold what reaches the context; a second pass from position 0 keeps what is reached. Patterns with
     fewer than ``min_peers`` nodes at position 0 are dropped before that pass.
     """
+    patterns = patterns.transform(kept)
     sets = sets or suffix_sets(kg, patterns, most, labelled)
     first = peers(kg, patterns, most, labelled, sets)
     enough = first.groupBy("qid", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_peers).select("qid", "pattern")
-    s = _suffixed(patterns, most).join(enough, ["qid", "pattern"], "left_semi")
+    s = _suffixed(patterns, most).join(enough, ["qid", "pattern"], "left_semi").transform(kept)
     current, out = None, []
     for d in range(most - 1, -1, -1):
         reached = s.where(F.col("m") == d).select("qid", "pattern", "m", F.col(f"key{d}").alias("key")).join(sets[d], "key").select("qid", "pattern", "m", "nid") if d else None
@@ -96,7 +98,7 @@ def match_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: boo
             moved = current.withColumnRenamed("nid", "src").join(step, ["qid", "pattern"]).join(kg.edges, ["src", "etype"]).select("qid", "pattern", "m", "key", F.col("dst").alias("nid")).distinct()
             moved = moved.join(sets[d], ["key", "nid"], "left_semi").select("qid", "pattern", "m", "nid")
             reached = moved if reached is None else reached.unionByName(moved)
-        current = reached
+        current = reached.transform(kept)
         out.append(current.select("qid", "pattern", (F.col("m") - d).alias("level"), "nid"))
     return reduce(DataFrame.unionByName, out)
 
