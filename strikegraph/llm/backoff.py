@@ -1,34 +1,30 @@
-"""Stupid-backoff language-model scores, computed relationally over hashed n-grams.
+"""Stupid-backoff scores, computed relationally over hashed n-grams.
 
-The count table holds every n-gram of the corpus up to the model's order, partitioned by ranges of its hash. To score
-documents, each chunk of them explodes into its distinct n-grams, these are joined to the count table by
-hash range, the counts go back to the chunk, and its documents' scores are summed. A row of any of these
-tables is a sorted block of n-grams of one hash range, so an n-gram takes a few bytes; a frequent n-gram
-appears once a chunk, so no key is hot.
+Documents go in chunks by a hash. A chunk posts each distinct n-gram in it once, with its count, as arrays of one range of
+the hash each, so an n-gram takes eight bytes on the way and a frequent one appears once a chunk: no key is hot. Behind the
+exchange by range the arrays are exploded to rows, counted by n-gram, and joined to the chunks that posted them; the counts
+go back to the chunks, where the words' scores are summed per document.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices, write_shared
+from .common import rows_of, write_shared
 
 #: Factor of each step to a shorter context, and the count of a word that was never seen.
 BACKOFF, UNSEEN = 0.4, 0.5
-#: Bytes of text of a chunk, of a hash range, and words that a counting task gathers before it sends blocks.
-CHUNK_BYTES, RANGE_BYTES, GATHER = 6 << 20, 8 << 20, 3_000_000
-
-#: The range under which the number of words travels.
-WORDS = -1
+#: Bytes of text of a chunk, and of posted n-grams of a range.
+CHUNK_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -61,84 +57,69 @@ def grams(h: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers by planes of bytes, as many as the largest needs; the highest plane, mostly small values, is deflated."""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    top = zlib.compress(planes[-1].tobytes(), 1)
-    return bytes([width]) + len(top).to_bytes(4, "little") + top + np.ascontiguousarray(planes[:-1]).tobytes()
+def _texts(table: pa.Table) -> list[str]:
+    return [t or "" for t in table.column("text").to_pylist()]
 
 
-def unpack(b: bytes) -> np.ndarray:
-    size = int.from_bytes(b[1:5], "little")
-    top = np.frombuffer(zlib.decompress(b[5 : 5 + size]), np.uint8)
-    out = np.zeros((len(top), 8), dtype=np.uint8)
-    out[:, b[0] - 1] = top
-    if b[0] > 1 and len(top):
-        out[:, : b[0] - 1] = np.frombuffer(b, np.uint8, offset=5 + size).reshape(b[0] - 1, -1).T
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+_POST = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+#: The row of a chunk that carries its number of words has this range.
+WORDS = -1
 
 
-def _blocks(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """Sorted keys by their leading bits, as (range, first, last + 1)."""
-    if bits:
-        edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    else:
-        edges = np.array([], dtype=np.int64)
-    edges = [0, *edges.tolist(), len(keys)]
-    for r, (a, b) in enumerate(zip(edges, edges[1:])):
-        if b > a:
-            yield r, a, b
+def _post_task(order: int, bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The chunk's distinct n-grams, ascending as unsigned numbers, with their counts, cut by range."""
+        chunk = table.column("chunk")[0].as_py()
+        h, sizes = word_hashes(_texts(table))
+        keys = np.sort(np.concatenate(grams(h, sizes, order)))
+        keys = keys[np.searchsorted(keys, 1) :]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.append(first, len(keys))).astype(np.int32)
+        keys = keys[first]
+        cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], cut, [len(keys)]]).astype(np.int32)
+        blocks = pa.record_batch([
+            pa.array(np.arange(1 << bits), pa.int32()), pa.array(np.full(1 << bits, chunk), pa.int32()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(n)),
+        ], schema=_POST)
+        words = rows_of(_POST, range=[WORDS], chunk=[chunk], grams=[[0]], counts=[[len(h)]])
+        return pa.Table.from_batches([blocks.filter(pc.greater(pc.list_value_length(blocks.column("grams")), 0)), words])
 
+    return run
 
-def _packed_keys(keys: np.ndarray, a: int, b: int) -> bytes:
-    return pack(np.diff(keys[a:b], prepend=np.uint64(0)))
 
+def _text(docs: DataFrame) -> Column:
+    return F.col("text").cast("string")
 
-def _keys(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b), dtype=np.uint64)
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length(_text(docs)))).first()[0] or 0
 
-_BLOCK = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
+def _bits(size: int, order: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, size * order * 0.7 / RANGE_BYTES))))
 
-def _count_task(order: int, bits: int):
-    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        if len(keys) and keys[0] == 0:
-            keys, n = keys[1:], n[1:]
-        cut = list(_blocks(keys, bits))
-        return rows_of(_BLOCK, range=[r for r, _, _ in cut], keys=[_packed_keys(keys, a, b) for _, a, b in cut], counts=[pack(n[a:b]) for _, a, b in cut])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, words = [], 0, 0
-        for _, texts in slices(batches):
-            h, sizes = word_hashes(texts)
-            held += grams(h, sizes, order)
-            n += len(h)
-            words += len(h)
-            if n >= GATHER:
-                yield blocks(held)
-                held, n = [], 0
-        if held:
-            yield blocks(held)
-        yield rows_of(_BLOCK, range=[WORDS], keys=[pack(np.zeros(1))], counts=[pack(np.array([words]))])
+def chunked(docs: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, text, chunk)`` dealt by chunk, of about ``CHUNK_BYTES`` each.
 
-    return run
+    The place of a row in its input takes part, so that equal rows spread; both uses of the result read one exchange.
+    """
+    chunks = max(1, -(-size // CHUNK_BYTES))
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    return docs.select(F.col("doc_id").cast("long"), _text(docs).alias("text"), chunk.alias("chunk")).repartition("chunk")
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([_keys(b) for b in table.column("keys").to_pylist()])
-    n = np.concatenate([unpack(b) for b in table.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "keys": pa.array([_packed_keys(keys[first], 0, len(first))], pa.binary()), "counts": pa.array([pack(np.add.reduceat(n, first))], pa.binary())})
+def posted(rows: DataFrame, order: int, bits: int) -> DataFrame:
+    """``(range, chunk, gram, n)`` of ``chunked`` rows, dealt by range; the number of a chunk's words under the range ``WORDS``."""
+    blocks = rows.groupBy("chunk").applyInArrow(_post_task(order, bits), "range int, chunk int, grams array<long>, counts array<int>")
+    each = F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("n")))
+    return blocks.repartition("range").select("range", "chunk", each)
 
 
 @dataclass
 class NgramCounts:
-    """``table(range, keys, counts)``: one row for each range of the leading ``bits`` of the hash; ``words``: the corpus size."""
+    """``table(range, gram, n)``: the count of every n-gram, by ranges of the leading ``bits`` of its hash; ``words``: the corpus size."""
 
     table: DataFrame
     order: int
@@ -146,81 +127,56 @@ class NgramCounts:
     words: int
 
 
-def _text(docs: DataFrame) -> Column:
-    return F.col("text").cast("string")
-
-
 def count(docs: DataFrame, order: int = 2) -> NgramCounts:
     """Counts all n-grams of 1 to ``order`` words in all of ``docs(text)``; null texts have none."""
-    size = docs.agg(F.sum(F.octet_length(_text(docs)))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size * order / 2 / RANGE_BYTES))))
-    parts = docs.select(_text(docs).alias("text")).mapInArrow(_count_task(order, bits), "range int, keys binary, counts binary")
-    table = write_shared(parts.groupBy("range").applyInArrow(_merge, "range int, keys binary, counts binary"), "ngram-counts")
-    total = table.where(F.col("range") == WORDS).first()
-    words = int(unpack(total["counts"])[0]) if total else 0
-    return NgramCounts(table, order, bits, words)
-
-
-_ASK = "range int, chunk int, keys binary"
-
+    size = _bytes(docs)
+    bits = _bits(size, order)
+    each = posted(chunked(docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None)), size), order, bits)
+    table = write_shared(each.groupBy("range", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
+    words = table.where(F.col("range") == WORDS).agg(F.sum("n")).first()[0]
+    return NgramCounts(table.where(F.col("range") != WORDS), order, bits, words or 0)
 
-def _distinct(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    h, sizes = word_hashes(texts)
-    of = grams(h, sizes, order)
-    keys = np.unique(np.concatenate(of))
-    return keys[1:] if len(keys) and keys[0] == 0 else keys, sizes, of
 
+def _placed(of: np.ndarray, doc: np.ndarray, known: np.ndarray, totals: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By place the n-gram's count in the corpus and in its own document; zeros where there is no n-gram.
 
-def _texts(table: pa.Table) -> list[str]:
-    return [t or "" for t in table.column("text").to_pylist()]
-
-
-def _ask_task(order: int, bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        keys, _, _ = _distinct(_texts(table), order)
-        cut = list(_blocks(keys, bits))
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table({"range": pa.array([r for r, _, _ in cut], pa.int32()), "chunk": pa.array([chunk] * len(cut), pa.int32()), "keys": pa.array([_packed_keys(keys, a, b) for _, a, b in cut], pa.binary())})
-
-    return run
-
+    ``known`` ascends. An n-gram without a total occurs in this chunk only, if ``whole``, else nowhere.
+    """
+    at = np.argsort(of, kind="stable")  # within an n-gram by place, so by document
+    g, d = of[at], doc[at]
+    new = np.append(True, g[1:] != g[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(g)))
+    keys = g[first]
+    total = n.copy() if whole else np.zeros_like(n)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[place] == keys
+        total[hit] = totals[place[hit]]
+    total[keys == 0] = 0
+    runs = np.flatnonzero(new | np.append(True, d[1:] != d[:-1]))
+    m = np.diff(np.append(runs, len(g)))
+    m[g[runs] == 0] = 0
+    all_, own = np.empty(len(g), dtype=np.int64), np.empty(len(g), dtype=np.int64)
+    all_[at] = np.repeat(total, n)
+    own[at] = np.repeat(m, np.diff(np.append(runs, len(g))))
+    return all_, own
+
+
+def _score_task(order: int, corpus_words: int | None, leave_out: bool, whole: bool):
+    """``corpus_words`` None: the answers hold it under the n-gram 0, unless all of the corpus is this chunk."""
 
-def _answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-    if held.num_rows:
-        keys, n = _keys(held.column("keys")[0].as_py()), unpack(held.column("counts")[0].as_py())
-    else:
-        keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    out = []
-    for b in asked.column("keys").to_pylist():
-        want = _keys(b)
-        at = np.searchsorted(keys, want)
-        hit = np.zeros(len(want), dtype=bool)
-        inside = at < len(keys)
-        hit[inside] = keys[at[inside]] == want[inside]
-        got = np.zeros(len(want), dtype=np.uint64)
-        got[hit] = n[at[hit]]
-        out.append(pack(got))
-    return pa.table({"chunk": asked.column("chunk").cast(pa.int32()), "range": asked.column("range").cast(pa.int32()), "counts": pa.array(out, pa.binary())})
-
-
-def _own(of: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How often each place's n-gram occurs in its own document."""
-    key = doc.astype(np.int64) * (int(at.max(initial=0)) + 2) + np.where(of > 0, at + 1, 0)
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return np.where(of > 0, n[back], 0)
-
-
-def _score_task(order: int, words: int, leave_out: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, sizes, of = _distinct(_texts(table), order)
-        blocks = sorted(zip(answers.column("range").to_pylist(), answers.column("counts").to_pylist()))
-        counts = np.concatenate([unpack(b) for _, b in blocks]).astype(np.int64) if blocks else np.zeros(0, dtype=np.int64)
+        h, sizes = word_hashes(_texts(table))
+        known, totals = answers.column("gram").to_numpy().view(np.uint64), answers.column("total").to_numpy()
+        order_ = np.argsort(known)
+        known, totals = known[order_], totals[order_]
+        words = corpus_words if corpus_words is not None else int(totals[0]) if len(known) and known[0] == 0 else len(h)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         n = []
-        for g in of:
-            at = np.searchsorted(keys, g)
-            c = np.where(g > 0, counts[np.minimum(at, max(0, len(counts) - 1))], 0) if len(counts) else np.zeros(len(g), dtype=np.int64)
-            n.append(c - _own(g, doc, at) if leave_out else c)
+        for g in grams(h, sizes, order) if len(h) else [h.astype(np.int64)] * order:
+            all_, own = _placed(g, doc, known, totals, whole) if len(h) else (g, g)
+            n.append(all_ - own if leave_out else all_)
         total = np.maximum(1, words - sizes if leave_out else np.full(len(sizes), words))
         score = np.log(np.maximum(n[0], UNSEEN) / total[doc])
         used = np.ones(len(doc), dtype=np.int64)
@@ -239,6 +195,13 @@ def _score_task(order: int, words: int, leave_out: bool):
     return run
 
 
+_SCORED = "doc_id long, n_words long, log_score double, n_backoff long"
+
+
+def _scored(rows: DataFrame, answers: DataFrame, order: int, words: int | None, leave_out: bool, whole: bool) -> DataFrame:
+    return rows.groupBy("chunk").cogroup(answers.select("chunk", "gram", "total").groupBy("chunk")).applyInArrow(_score_task(order, words, leave_out, whole), _SCORED)
+
+
 def score(docs: DataFrame, model: NgramCounts, leave_out: bool = False) -> DataFrame:
     """``doc_id, n_words, log_score, n_backoff`` for every row of ``docs(doc_id, text)``.
 
@@ -248,14 +211,23 @@ def score(docs: DataFrame, model: NgramCounts, leave_out: bool = False) -> DataF
     the corpus. ``n_backoff`` counts the words that backed off. A null, empty or blank text has no words and score
     0. Repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
-    order, size = model.order, docs.agg(F.sum(F.octet_length(_text(docs)))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), _text(docs).alias("text"), chunk.alias("chunk"))
-    rows = rows.repartition("chunk")  # dealt once, used for both sides below
-    asked = rows.groupBy("chunk").applyInArrow(_ask_task(order, model.bits), _ASK)
-    answers = asked.groupBy("range").cogroup(model.table.groupBy("range")).applyInArrow(_answer, "chunk int, range int, counts binary")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_task(order, model.words, leave_out), "doc_id long, n_words long, log_score double, n_backoff long")
+    rows = chunked(docs, _bytes(docs))
+    asked = posted(rows, model.order, model.bits).where(F.col("range") != WORDS)
+    answers = asked.select("range", "chunk", "gram").join(model.table.withColumnRenamed("n", "total"), ["range", "gram"])
+    return _scored(rows, answers, model.order, model.words, leave_out, False)
+
+
+def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
+    """``score`` of all of ``docs`` against themselves, each document left out of its own counts.
+
+    The chunks' posts are the count table's input and the questions to it at once, so they move once. An n-gram that one
+    chunk alone posted needs no answer: the chunk knows its count. So what goes back is what occurs in several chunks.
+    """
+    size = _bytes(docs)
+    rows = chunked(docs, size)
+    each = posted(rows, order, _bits(size, order))
+    answers = each.withColumn("total", F.sum("n").over(Window.partitionBy("range", "gram"))).where(F.col("total") > F.col("n"))
+    return _scored(rows, answers, order, None, True, True)
 
 
 #: The same scores of ``documents`` against themselves, each left out of its own counts, for DuckDB.

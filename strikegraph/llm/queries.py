@@ -59,7 +59,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = backoff.score(docs, backoff.count(docs, order=2), leave_out=True)
+    scored = backoff.score_corpus(docs, order=2)
     return scored.withColumn("log_score", F.round("log_score", 4) + F.lit(0.0))
 
 
