@@ -62,20 +62,26 @@ def _texts(table: pa.Table) -> list[str]:
 
 
 _POST = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+#: A count takes so many bits beside its place in a post.
+TOTAL_BITS = 42
 #: The row of a chunk that carries its number of words has this range.
 WORDS = -1
 
 
+def _distinct(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, ascending, and how often they occur."""
+    keys = np.sort(np.concatenate(of))
+    keys = keys[np.searchsorted(keys, 1) :]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))).astype(np.int32)
+
+
 def _post_task(order: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         """The chunk's distinct n-grams, ascending as unsigned numbers, with their counts, cut by range."""
         chunk = table.column("chunk")[0].as_py()
         h, sizes = word_hashes(_texts(table))
-        keys = np.sort(np.concatenate(grams(h, sizes, order)))
-        keys = keys[np.searchsorted(keys, 1) :]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
-        n = np.diff(np.append(first, len(keys))).astype(np.int32)
-        keys = keys[first]
+        keys, n = _distinct(grams(h, sizes, order))
         cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, dtype=np.int64)
         ends = np.concatenate([[0], cut, [len(keys)]]).astype(np.int32)
         blocks = pa.record_batch([
@@ -111,10 +117,17 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
 
 
 def posted(rows: DataFrame, order: int, bits: int) -> DataFrame:
-    """``(range, chunk, gram, n)`` of ``chunked`` rows, dealt by range; the number of a chunk's words under the range ``WORDS``."""
+    """``(range, chunk, place, gram, n)`` of ``chunked`` rows, dealt by range; the number of a chunk's words under the range ``WORDS``."""
     blocks = rows.groupBy("chunk").applyInArrow(_post_task(order, bits), "range int, chunk int, grams array<long>, counts array<int>")
-    each = F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("n")))
-    return blocks.repartition("range").select("range", "chunk", each)
+    each = F.posexplode(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("n"))).alias("place", "g")
+    return blocks.repartition("range").select("range", "chunk", each).select("range", "chunk", "place", "g.gram", "g.n")
+
+
+def answered(each: DataFrame) -> DataFrame:
+    """``(chunk, range, totals)``: the ``total`` of each posted n-gram, in the order in which the chunk posted them."""
+    packed = F.shiftleft(F.col("place").cast("long"), TOTAL_BITS).bitwiseOR(F.col("total"))
+    lists = each.groupBy("range", "chunk").agg(F.sort_array(F.collect_list(packed)).alias("totals"))
+    return lists.select("chunk", "range", F.transform("totals", lambda x: x.bitwiseAND(F.lit((1 << TOTAL_BITS) - 1))).alias("totals"))
 
 
 @dataclass
@@ -137,45 +150,33 @@ def count(docs: DataFrame, order: int = 2) -> NgramCounts:
     return NgramCounts(table.where(F.col("range") != WORDS), order, bits, words or 0)
 
 
-def _placed(of: np.ndarray, doc: np.ndarray, known: np.ndarray, totals: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """By place the n-gram's count in the corpus and in its own document; zeros where there is no n-gram.
-
-    ``known`` ascends. An n-gram without a total occurs in this chunk only, if ``whole``, else nowhere.
-    """
+def _placed(of: np.ndarray, doc: np.ndarray, known: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place the total of its n-gram, looked up in ``known``, and its count in its own document; zeros where there is no n-gram."""
     at = np.argsort(of, kind="stable")  # within an n-gram by place, so by document
     g, d = of[at], doc[at]
     new = np.append(True, g[1:] != g[:-1])
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(g)))
-    keys = g[first]
-    total = n.copy() if whole else np.zeros_like(n)
-    if len(known):
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[place] == keys
-        total[hit] = totals[place[hit]]
-    total[keys == 0] = 0
+    total = np.where(g[first] > 0, totals[np.minimum(np.searchsorted(known, g[first]), len(known) - 1)], 0)
     runs = np.flatnonzero(new | np.append(True, d[1:] != d[:-1]))
     m = np.diff(np.append(runs, len(g)))
-    m[g[runs] == 0] = 0
     all_, own = np.empty(len(g), dtype=np.int64), np.empty(len(g), dtype=np.int64)
-    all_[at] = np.repeat(total, n)
-    own[at] = np.repeat(m, np.diff(np.append(runs, len(g))))
+    all_[at] = np.repeat(total, np.diff(np.append(first, len(g))))
+    own[at] = np.repeat(np.where(g[runs] > 0, m, 0), m)
     return all_, own
 
 
-def _score_task(order: int, corpus_words: int | None, leave_out: bool, whole: bool):
-    """``corpus_words`` None: the answers hold it under the n-gram 0, unless all of the corpus is this chunk."""
-
+def _score_task(order: int, leave_out: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, sizes = word_hashes(_texts(table))
-        known, totals = answers.column("gram").to_numpy().view(np.uint64), answers.column("total").to_numpy()
-        order_ = np.argsort(known)
-        known, totals = known[order_], totals[order_]
-        words = corpus_words if corpus_words is not None else int(totals[0]) if len(known) and known[0] == 0 else len(h)
+        got = dict(zip(answers.column("range").to_pylist(), answers.column("totals").combine_chunks()))
+        words = int(got.pop(WORDS)[0].as_py())
+        totals = np.concatenate([got[r].values.to_numpy() for r in sorted(got)]) if got else np.zeros(0, dtype=np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
+        of = grams(h, sizes, order)
+        known = _distinct(of)[0]
         n = []
-        for g in grams(h, sizes, order) if len(h) else [h.astype(np.int64)] * order:
-            all_, own = _placed(g, doc, known, totals, whole) if len(h) else (g, g)
+        for g in of:
+            all_, own = _placed(g, doc, known, totals) if len(h) else (g.astype(np.int64),) * 2
             n.append(all_ - own if leave_out else all_)
         total = np.maximum(1, words - sizes if leave_out else np.full(len(sizes), words))
         score = np.log(np.maximum(n[0], UNSEEN) / total[doc])
@@ -195,11 +196,8 @@ def _score_task(order: int, corpus_words: int | None, leave_out: bool, whole: bo
     return run
 
 
-_SCORED = "doc_id long, n_words long, log_score double, n_backoff long"
-
-
-def _scored(rows: DataFrame, answers: DataFrame, order: int, words: int | None, leave_out: bool, whole: bool) -> DataFrame:
-    return rows.groupBy("chunk").cogroup(answers.select("chunk", "gram", "total").groupBy("chunk")).applyInArrow(_score_task(order, words, leave_out, whole), _SCORED)
+def _scored(rows: DataFrame, each: DataFrame, order: int, leave_out: bool) -> DataFrame:
+    return rows.groupBy("chunk").cogroup(answered(each).groupBy("chunk")).applyInArrow(_score_task(order, leave_out), "doc_id long, n_words long, log_score double, n_backoff long")
 
 
 def score(docs: DataFrame, model: NgramCounts, leave_out: bool = False) -> DataFrame:
@@ -212,22 +210,21 @@ def score(docs: DataFrame, model: NgramCounts, leave_out: bool = False) -> DataF
     0. Repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
     rows = chunked(docs, _bytes(docs))
-    asked = posted(rows, model.order, model.bits).where(F.col("range") != WORDS)
-    answers = asked.select("range", "chunk", "gram").join(model.table.withColumnRenamed("n", "total"), ["range", "gram"])
-    return _scored(rows, answers, model.order, model.words, leave_out, False)
+    asked = posted(rows, model.order, model.bits).drop("n")
+    known = model.table.where(F.col("range") != WORDS).withColumnRenamed("n", "total")
+    total = F.when(F.col("range") == WORDS, F.lit(model.words)).otherwise(F.coalesce("total", F.lit(0))).cast("long")
+    return _scored(rows, asked.join(known, ["range", "gram"], "left").withColumn("total", total), model.order, leave_out)
 
 
 def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
     """``score`` of all of ``docs`` against themselves, each document left out of its own counts.
 
-    The chunks' posts are the count table's input and the questions to it at once, so they move once. An n-gram that one
-    chunk alone posted needs no answer: the chunk knows its count. So what goes back is what occurs in several chunks.
+    The chunks' posts are the count table's rows and the questions to it at once, so they move once.
     """
     size = _bytes(docs)
     rows = chunked(docs, size)
     each = posted(rows, order, _bits(size, order))
-    answers = each.withColumn("total", F.sum("n").over(Window.partitionBy("range", "gram"))).where(F.col("total") > F.col("n"))
-    return _scored(rows, answers, order, None, True, True)
+    return _scored(rows, each.withColumn("total", F.sum("n").over(Window.partitionBy("range", "gram"))), order, True)
 
 
 #: The same scores of ``documents`` against themselves, each left out of its own counts, for DuckDB.
