@@ -76,10 +76,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = write_shared(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc")
     mark = _marks(e)
     while mark[0]:
-        both = write_shared(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "cc-both")
-        low = write_shared(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
-        large = write_shared(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "cc-large")
-        low = write_shared(large.groupBy("v").agg(F.min("u").alias("m")), "cc-low")
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = write_shared(e.join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "cc-large")
+        low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s")).select(F.col("s.m").alias("u"), F.col("s.u").alias("v")).where("u <> v")
         e = write_shared(star.distinct(), "cc")
         before, mark = mark, _marks(e)
