@@ -8,7 +8,8 @@ guaranteed minimum stay, and the number of differing bits decides.
 A posting list of one single byte would hold 1/256 of all fingerprints, and tallying over it grows
 with the square of the corpus. The lists here are therefore intersections of single-byte lists:
 with at most two differing bytes of eight, at least two of the four byte pairs agree, so each
-fingerprint is posted under its six choices of two byte pairs (four positional bytes, 32 bits).
+fingerprint is posted under its six choices of two byte pairs (four positional bytes, 32 bits). Within such a list
+the other four positional bytes are posted one by one and tallied.
 """
 
 from __future__ import annotations
@@ -87,12 +88,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_task(words), "doc_id long, fp long")
 
 
-def shared_bytes(a: str, b: str) -> Column:
-    """The number of equal bytes at equal positions."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.shiftright(x, 8 * i).bitwiseAND(255) == 0).cast("int") for i in range(8))
-
-
 def _group(fp: str, g: int) -> Column:
     return F.shiftrightunsigned(fp, 16 * g).bitwiseAND(0xFFFF)
 
@@ -100,7 +95,8 @@ def _group(fp: str, g: int) -> Column:
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """``(u, v)``, ``u < v``: links between the distinct fingerprints ``fps(fp)`` at ``distance`` (2 or less) bits or fewer.
 
-    Short posting lists give their pairs, all of them. In a long list the other 32 bits differ in at most
+    In a short posting list, where four positional bytes agree, the other four are posted too; pairs are tallied by these
+    postings and stay from the guaranteed ``4 - distance`` on. In a long list the other 32 bits differ in at most
     ``distance`` places, so its members are posted again under those 32 bits and under each with one bit
     flipped; whoever shares such a list (33 members at most) is within two bits of the others, and two
     members within two bits share one. There the smallest member is linked to the others, which keeps
@@ -111,11 +107,14 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     choices = list(combinations(range(4), 2))
     key = F.array(*(F.lit(s << 32).bitwiseOR(F.shiftleft(_group("fp", a), 16)).bitwiseOR(_group("fp", b)) for s, (a, b) in enumerate(choices)))
     posted = fps.select("fp", F.explode(key).alias("key"))
+    slot = F.shiftright("key", 32)
     sizes = write_shared(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
     short = write_shared(posted.join(sizes.where(F.col("n") <= PAIRWISE), "key").select("key", "fp"), "simhash-short")
-    pairs = short.select("key", F.col("fp").alias("u")).join(short.select("key", F.col("fp").alias("v")), "key").where("u < v")
+    left = F.array(*(F.when(slot == s, F.array(*(F.lit(i << 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * i).bitwiseAND(0xFF)) for g in range(4) if g not in pair for i in (2 * g, 2 * g + 1)))) for s, pair in enumerate(choices)))
+    bytes_ = short.select("key", "fp", F.explode(F.element_at(F.filter(left, lambda x: x.isNotNull()), 1)).alias("byte"))
+    shared = bytes_.select("key", "byte", F.col("fp").alias("u")).join(bytes_.select("key", "byte", F.col("fp").alias("v")), ["key", "byte"]).where("u < v")
+    pairs = shared.groupBy("key", "u", "v").agg(F.count("*").alias("tally")).where(F.col("tally") >= 4 - distance)
     long = posted.join(sizes.where(F.col("n") > PAIRWISE), "key").select("key", "fp")
-    slot = F.shiftright("key", 32)
     rest = F.lit(None).cast("long")
     for s, pair in enumerate(choices):
         c, d = (g for g in range(4) if g not in pair)
@@ -126,7 +125,7 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         star = near.select(F.array_min("m").alias("u"), F.explode("m").alias("v"))
     else:
         star = near.select(F.explode("m").alias("u"), "m").select("u", F.explode("m").alias("v"))
-    return pairs.select("u", "v").unionByName(star.where("u < v")).where(shared_bytes("u", "v") >= 8 - distance).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).distinct()
+    return pairs.select("u", "v").unionByName(star.where("u < v")).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).distinct()
 
 
 def components(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
