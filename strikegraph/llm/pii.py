@@ -3,8 +3,8 @@
 A region is a run of words that hold digits or at signs, cut into atoms (digits, letters, single signs). The
 field scores whole segments of up to ``LONGEST`` atoms under each type with features of the span
 as a whole, and dynamic programming sums or maximises over all ways to cut the region into segments of some type
-and atoms of none. It is trained on the base spans of a bounded sample of regions; in every region of every
-text it then chooses boundaries and types jointly, with the base spans held fixed.
+and atoms of none. It is trained on the base spans of a bounded sample of regions, on the same spans written in ways that the
+base rules miss, and on spans whose checks fail; in every region of every text it then chooses boundaries and types jointly, with the base spans held fixed.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of, slices
-from .spans import Span, digest, joined, overlaps
+from .spans import Cover, Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
-#: The field is trained on so many regions at most, from documents drawn by a hash.
-TRAIN_REGIONS = 3000
+#: The field is trained on so many distinct regions at most, drawn by a hash, of so many characters at most.
+TRAIN_REGIONS, TRAIN_CHARS = 3000, 400
 #: Atoms of the longest segment, hashed weights, and the marginal probability from which a segment is added.
 LONGEST, WEIGHTS, SURE = 24, 1 << 13, 0.9
 
@@ -137,7 +137,8 @@ def lattice(text: str, fixed: list[Span]) -> Lattice | None:
         bounds.append(m.end())
     kinds = [_kind(a) for a in atoms]
     n = len(atoms)
-    taken = [overlaps(bounds[i], bounds[i + 1], fixed) for i in range(n)]
+    cover = Cover(fixed)
+    taken = [cover.overlaps(bounds[i], bounds[i + 1]) for i in range(n)]
     ending: list[list] = [[] for _ in range(n + 1)]
     some = False
     for i in range(n):
@@ -201,7 +202,7 @@ def best_path(la: Lattice, w: np.ndarray) -> list[tuple[str, int, int]]:
     return out[::-1]
 
 
-def fit(examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
+def fit(examples: list[tuple[str, list[Span]]], rounds: int = 16, rate: float = 0.3, decay: float = 1e-3) -> np.ndarray:
     """Maximises the conditional likelihood of the given spans (offsets within each region), by AdaGrad."""
     w, seen = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6)
     built = []
@@ -215,8 +216,9 @@ def fit(examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0
                     at = place[b]
             inside = {k for a, b in chosen for k in range(a, b)}
             built.append((la, {**chosen, **{(i, i + 1): None for i in range(len(la.plain)) if i not in inside}}))
-    for _ in range(rounds):
-        for la, chosen in built:
+    for turn in range(rounds):
+        for i in np.random.default_rng(turn).permutation(len(built)):
+            la, chosen = built[i]
             fwd, bwd, arcs = _sums(la, w)
             step: dict[int, float] = {}
             for a, b, t, f, s in arcs:
@@ -233,7 +235,7 @@ def fit(examples: list[tuple[str, list[Span]]], rounds: int = 6, rate: float = 0
 
 
 def altered(examples: list[tuple[str, list[Span]]]) -> list[tuple[str, list[Span]]]:
-    """Counterexamples: each region with an address or card number, altered in a digit so that its check fails."""
+    """Counterexamples: each region with an ip or card number, altered in a digit so that its check fails."""
     out = []
     for text, gold in examples:
         for kind, a, b in gold:
@@ -249,11 +251,44 @@ def altered(examples: list[tuple[str, list[Span]]]) -> list[tuple[str, list[Span
     return out
 
 
+def varied(examples: list[tuple[str, list[Span]]]) -> list[tuple[str, list[Span]]]:
+    """Regions whose spans are written in ways that the base rules miss, as examples of what the field should add.
+
+    Phones without the plus, cards with dots between groups, ip parts with a blank after each dot, domains with a low line.
+    """
+    out = []
+    for text, gold in examples:
+        for kind, a, b in gold:
+            span = text[a:b]
+            if kind == "phone":
+                new = span.lstrip("+")
+            elif kind == "card":
+                digits = re.sub(r"[ -]", "", span)
+                new = ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+            elif kind == "ip":
+                new = span.replace(".", ". ")
+            else:
+                local, _, domain = span.partition("@")
+                new = f"{local}@{domain[:1]}_{domain[1:]}" if domain[1:2].isalnum() else span
+            if new != span:
+                move = len(new) - (b - a)
+                rest = [(k, s, e) if e <= a else (k, s + move, e + move) for k, s, e in gold if e <= a or s >= b]
+                out.append((text[:a] + new + text[b:], [*rest, (kind, a, a + len(new))]))
+    return out
+
+
 def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
     """Segments of the best cut of each region that no base span touches and whose marginal is ``SURE`` or more."""
     out = []
+    todo = sorted(base, key=lambda s: s[1])[::-1]
     for a, b in regions(text):
-        near = [(k, s - a, e - a) for k, s, e in base if s < b and e > a]
+        # Regions ascend: spans that end before one are done, those that start behind it wait.
+        near, later = [], []
+        while todo and todo[-1][1] < b:
+            k, s, e = todo.pop()
+            near += [(k, s - a, e - a)] if e > a else []
+            later += [(k, s, e)] if e > b else []
+        todo += later[::-1]
         la = lattice(text[a:b], near)
         if la is None:
             continue
@@ -281,13 +316,14 @@ def _region_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, train_regions: int = TRAIN_REGIONS) -> np.ndarray:
     """Weights from the base spans of at most ``train_regions`` distinct regions of ``docs(doc_id, text)``, those of the smallest hashes."""
     hot = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rows = hot.mapInArrow(_region_task, "region string, kinds array<string>, starts array<int>, stops array<int>").where(F.length("region") <= 400)
+    rows = hot.mapInArrow(_region_task, "region string, kinds array<string>, starts array<int>, stops array<int>").where(F.length("region") <= TRAIN_CHARS)
     # A region may stand in texts that cut its spans in several ways: the way of most spans counts, then the first in order.
     way = F.struct(-F.size("kinds"), "kinds", "starts", "stops")
     distinct = rows.groupBy("region").agg(F.min(way).alias("way")).select("region", "way.kinds", "way.starts", "way.stops")
     drawn = distinct.orderBy(F.xxhash64("region"), "region").limit(train_regions).collect()
     examples = [(r["region"], list(zip(r["kinds"], r["starts"], r["stops"]))) for r in drawn]
-    return fit(examples + altered(examples))
+    more = examples + varied(examples)
+    return fit(more + altered(more))
 
 
 def _find_task(held):

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, rows_of, slices, write_shared
-from .spans import Span, digest, overlaps
+from .spans import Cover, Span, digest
 
 #: The base kinds in their order, then the kind that the method adds.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "token")
-#: A value held by so many distinct owners or more is a copied example.
-COPIED_OWNERS = 3
+#: A value held by so many distinct owners or more, or in so many distinct repositories, is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 #: Entropy in bits a character and length that let a value look live.
 LIVE_BITS, LIVE_CHARS = 2.5, 12
 
@@ -57,10 +57,10 @@ def token_spans(text: str, taken: list[Span]) -> list[tuple[str, int, int, str]]
     """Other runs of 20 or more key characters with small and capital letters and digits, outside the spans taken."""
     if not _DIGIT.search(text):
         return []
-    out = []
+    out, cover = [], Cover(taken)
     for m in _TOKEN.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and not overlaps(m.start(), m.end(), taken):
+        if any(c.isdigit() for c in v) and any(c.islower() for c in v) and any(c.isupper() for c in v) and not cover.overlaps(m.start(), m.end()):
             out.append(("token", m.start(), m.end(), v))
     return out
 
@@ -97,12 +97,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return every.join(count("repo"), "value_hash", "left").join(count("owner"), "value_hash", "left").select("value_hash", F.coalesce("n_repos", F.lit(0)).alias("n_repos"), F.coalesce("n_owners", F.lit(0)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied``.
+def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_repos, n_owners``.
 
     ``n_*`` of the base kinds and ``base_sha256`` describe the base spans. ``spans`` has those and the further tokens that
-    are live: they look random, and fewer than ``copied_owners`` owners hold the value. ``n_live`` and ``n_copied`` count all
-    candidates with a live-looking value that few, or that ``copied_owners`` or more owners hold. A null text is empty;
+    are live: they look random, and fewer than ``copied_owners`` owners and ``copied_repos`` repositories hold the value.
+    ``n_live`` and ``n_copied`` count all candidates with a live-looking value that so few hold, or more; ``n_repos`` and
+    ``n_owners`` are the most repositories and owners that hold one of the row's values. A null text is empty;
     a null repository or owner is not counted as one; repeated rows and null ids stay; an empty table gives no rows.
     """
     schema = pa.schema(
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_ow
     found = write_shared(rows.mapInArrow(_scan_task(schema), _SCHEMA), "secrets-scan")
     each = write_shared(found.select("_rid", "repo", "owner", F.explode("candidates").alias("c")).select("_rid", "repo", "owner", "c.*"), "secrets-candidates")
     owned = write_shared(ownership(each), "secrets-ownership")
-    judged = each.join(owned, "value_hash").withColumn("copied", F.col("n_owners") >= copied_owners)
+    judged = each.join(owned, "value_hash").withColumn("copied", (F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos))
     keep = (F.col("kind") != "token") | (F.col("live_looking") & ~F.col("copied"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(F.col("start"), order.alias("k"), F.col("stop"), F.concat_ws(":", "kind", "start", "stop").alias("s"))
@@ -121,8 +122,10 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_ow
         F.collect_list(F.when(keep, span)).alias("kept"),
         F.count_if(F.col("live_looking") & ~F.col("copied")).alias("n_live"),
         F.count_if(F.col("live_looking") & F.col("copied")).alias("n_copied"),
+        F.max("n_repos").alias("n_repos"),
+        F.max("n_owners").alias("n_owners"),
     )
     spans = F.array_join(F.transform(F.array_sort("kept"), lambda s: s["s"]), ",")
-    text = by_row.select("_rid", spans.alias("spans"), "n_live", "n_copied")
+    text = by_row.select("_rid", spans.alias("spans"), "n_live", "n_copied", "n_repos", "n_owners")
     zero = F.lit(0).cast("long")
-    return found.join(text, "_rid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_copied", zero).alias("n_copied"))
+    return found.join(text, "_rid", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_live", zero).alias("n_live"), *(F.coalesce(c, zero).alias(c) for c in ("n_copied", "n_repos", "n_owners")))

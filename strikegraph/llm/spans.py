@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 Span = tuple[str, int, int]
 
@@ -16,5 +17,18 @@ def digest(spans: list[Span], kinds: tuple[str, ...]) -> str:
     return hashlib.sha256(joined(spans, kinds).encode()).hexdigest()
 
 
-def overlaps(a: int, b: int, spans: list[Span]) -> bool:
-    return any(a < e and s < b for _, s, e in spans)
+class Cover:
+    """What spans cover, as sorted runs that don't touch, for look-ups by bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.stops = [], []
+        for a, b in sorted((s[1], s[2]) for s in spans):
+            if self.stops and a < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], b)
+            else:
+                self.starts.append(a)
+                self.stops.append(b)
+
+    def overlaps(self, a: int, b: int) -> bool:
+        i = bisect_right(self.stops, a)
+        return i < len(self.starts) and self.starts[i] < b

@@ -150,15 +150,24 @@ def test_top_k(spark, monkeypatch):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)]
-    rows += [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [float("inf")] * 4), (None, [1.0] * 4), (150, [0.1, 0.2]), (151, [1.0, 1.0]), (3, rows[3][1]), (200, [])]
+    rows += [(100, None), (101, [1.0, None, 0.0, 0.0]), (102, [float("nan")] * 4), (103, [float("inf")] * 4), (None, [1.0] * 4), (150, [0.1, 0.2]), (151, [1.0, 1.0]), (3, rows[3][1]), (200, []), (50, [20.0, -10.0, 0.0, 20.0]), (50, [20.0, -10.0, 0.0, 20.0])]
     v = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()))
-    vec = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    vec = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for q in (q for q in vec if q % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in vec if c != q and len(vec[c]) == len(vec[q]))[:5]
-        want += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s)]
+    for a, (q, x) in enumerate(vec):
+        if q % 50 == 0:
+            s = sorted((-sum(m * n for m, n in zip(x, y)), c) for b, (c, y) in enumerate(vec) if a != b and len(x) == len(y))[:5]
+            want += [(q, r + 1, c, -x) for r, (x, c) in enumerate(s)]
     assert got == sorted(want)
+    assert sum(r[0] == 50 for r in got) == 15 and got.count((50, 1, 50, 900 * 256**2)) == 2
+
+    import duckdb
+    import pandas as pd
+
+    embeddings = pd.DataFrame([(i, e) for i, e in rows if i is None or i < 150], columns=["vec_id", "embedding"])  # noqa: F841
+    sql = topk.TOP_K_SQL.replace("FROM embeddings", "FROM (SELECT vec_id::BIGINT AS vec_id, embedding FROM embeddings)")
+    assert sorted(duckdb.sql(sql).fetchall()) == [r for r in got if r[0] < 150]
     empty = topk.quantize(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert topk.top_k(empty, empty).count() == 0
 

@@ -13,7 +13,8 @@ import pytest
 from strikegraph.llm import backoff, decontam, langid, pii, quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
-WORDS = {"en": "the of and with house water tree night".split(), "de": "der und nicht haus wasser baum straße über".split(), "fr": "le de et avec maison été forêt où".split()}
+WORDS = {"en": "the of and with house water tree night".split(), "de": "der und nicht haus wasser baum straße über".split(), "fr": "le de et avec maison été forêt où".split(), "fi": "ja on ei talo vesi puu yö metsä".split()}
+LANGS = list(WORDS)
 
 
 def prose(rng, lang, n):
@@ -27,12 +28,14 @@ def odd(spark, *more):
 
 def test_language_mixture(spark):
     rng = random.Random(1)
-    rows = [(i, prose(rng, lang, 30), lang, "s", None) for i in range(400) for lang in [("en", "de", "fr")[i % 3]]]
+    rows = [(i, prose(rng, lang, 30), lang, "s", None) for i in range(400) for lang in [LANGS[i % 4]]]
+    rows += [(501, " ".join(prose(rng, lang, 60) for lang in LANGS), None, "s", None)]
     rows += [(500, prose(rng, "en", 60) + " " + prose(rng, "de", 60) + " " + prose(rng, "en", 30), None, "s", None)]
     got = {r.doc_id: r for r in langid.identify(odd(spark, *rows)).collect()}
-    assert len(got) == 400 + 1 + 6
-    assert all(got[i].lang_pred == ("en", "de", "fr")[i % 3] for i in range(400))
+    assert len(got) == 400 + 2 + 6
+    assert all(got[i].lang_pred == LANGS[i % 4] for i in range(400))
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items() if i is not None)
+    assert got[501].n_langs == 4 and set(got[501].mixture) == set(WORDS) and all(abs(x - 0.25) < 0.1 for x in got[501].mixture.values())
     assert got[500].n_langs == 2 and set(got[500].mixture) == {"en", "de"} and abs(got[500].score - 0.6) < 0.15
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 903))
     assert got[904].lang_pred == "en" and got[None].lang_pred == "en" and not got[None].held_out
@@ -41,6 +44,13 @@ def test_language_mixture(spark):
     assert {r.lang_pred for r in langid.predict(odd(spark).selectExpr("doc_id", "text", "false held_out"), langid.train(empty)).collect()} == {"und"}
 
 
+def test_many_languages_make_a_coarser_model(spark):
+    docs = spark.createDataFrame([(i, f"w{i} word", f"l{i}", "s", None) for i in range(600)], DOCS)
+    model = langid.train(docs)
+    assert model.log_p.size <= langid.ENTRIES and len(model.languages) == 600 and langid.buckets(4) == langid.BUCKETS
+    assert langid.identify(docs).count() == 600
+
+
 def test_em_matches_plain_em():
     rng = np.random.default_rng(0)
     like = rng.random((50, 3))
@@ -178,10 +188,38 @@ def test_pii_query(spark):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_field_adds_what_the_base_rules_miss(spark):
+    rng = random.Random(12)
+
+    def card():
+        d = [rng.randrange(10) for _ in range(15)]
+        return next(x for c in range(10) if pii.luhn(x := "".join(map(str, [*d, c]))))
+
+    value = {
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "phone": lambda: f"+{rng.randrange(1, 9)} ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}",
+        "email": lambda: f"ann{rng.randrange(999)}@mail{rng.randrange(9)}.example.com",
+        "card": lambda: " ".join(x[i : i + 4] for x in [card()] for i in (0, 4, 8, 12)),
+    }
+    rows = [(i, f"write to {value[k]()} now, or {rng.randrange(10**15, 10**16)} of {rng.randrange(3000)}", "en", "s", None) for i in range(500) for k in [rng.choice(list(value))]]
+    weights = pii.train(spark.createDataFrame(rows, DOCS))
+    found = missed = wrong = 0
+    for i in range(300):
+        kind = rng.choice(list(value))
+        v = value[kind]()
+        (text, spans), = pii.varied([(f"{v} at {rng.randrange(99)}", [(kind, 0, len(v))])])
+        got = pii.added_spans(text, pii.base_spans(text), weights)
+        found, missed, wrong = found + (spans[0] in got), missed + (spans[0] not in got), wrong + sum(s not in spans for s in got)
+    clean = [f"on {rng.randrange(1, 28)}.{rng.randrange(1, 12)}.{rng.randrange(1900, 2030)} some {rng.randrange(10**5)} of {rng.randrange(10**15, 10**16)} went" for _ in range(300)]
+    clean = [t for t in clean if not pii.base_spans(t)]
+    assert found >= 240 and wrong <= 15 and sum(len(pii.added_spans(t, [], weights)) for t in clean) <= 9, (found, missed, wrong)
+
+
 def test_pii_training_regions_are_distinct(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(pii, "fit", lambda examples: seen.append(sorted(e[0] for e in examples)))
     monkeypatch.setattr(pii, "altered", lambda examples: [])
+    monkeypatch.setattr(pii, "varied", lambda examples: [])
     texts = [f"on 10.0.0.{i} it ran" for i in range(20)]
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
     copies = spark.createDataFrame([(100 + i, texts[i % 3], "en", "s", None) for i in range(300)], DOCS)
@@ -219,6 +257,10 @@ def test_secret_ownership(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secrets.BASE)
     assert got[0].n_live == 2 and ",token:" in got[0].spans and got[1].n_live == 1 and got[1].n_copied == 1
     assert all(got[i].n_live == 0 and got[i].n_copied == 2 and ",token:" not in got[i].spans for i in range(2, 6))
+    assert got[0].n_owners == 2 and got[2].n_owners == got[2].n_repos == 5 and got[901].n_repos == 0
+    many = spark.createDataFrame([(i, f"see {live} here", "en", "one", None) for i in range(25)] + [(99, f"mine {shared}9z", "en", "one", None)], DOCS)
+    of = {r.doc_id: (r.n_live, r.n_copied, r.n_repos, r.n_owners, r.spans) for r in secrets.scan(many).collect()}
+    assert of[0] == (0, 1, 25, 1, "") and of[99] == (1, 0, 1, 1, "token:5:29")
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
