@@ -260,7 +260,7 @@ def test_secret_ownership(spark):
     assert got[0].n_owners == 2 and got[2].n_owners == got[2].n_repos == 5 and got[901].n_repos == 0
     many = spark.createDataFrame([(i, f"see {live} here", "en", "one", None) for i in range(25)] + [(99, f"mine {shared}9z", "en", "one", None)], DOCS)
     of = {r.doc_id: (r.n_live, r.n_copied, r.n_repos, r.n_owners, r.spans) for r in secrets.scan(many).collect()}
-    assert of[0] == (0, 1, 25, 1, "") and of[99] == (1, 0, 1, 1, "token:5:29")
+    assert of[0] == (0, 1, 25, 1, "") and of[99] == (1, 0, 1, 1, "token:5:28")
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
