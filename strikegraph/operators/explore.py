@@ -57,6 +57,12 @@ def pattern_support(kg: KnowledgeGraph, patterns: DataFrame, hops: int) -> DataF
     return p.select("etypes", F.explode(F.sequence(F.lit(1), F.size("etypes"))).alias("k")).withColumn("prefix", F.slice("etypes", F.lit(1), F.col("k"))).join(sizes, "prefix").groupBy("etypes").agg(F.min("n").alias("support"))
 
 
+def scores_between(kg: KnowledgeGraph, pairs: DataFrame, hops: int) -> DataFrame:
+    """``(source, target, etypes, forward, backward, score)``: each pattern between the ends of ``pairs(source, target)`` with its probabilities."""
+    probability = pattern_probability(kg, pairs.select("source").distinct(), hops).withColumnRenamed("nid", "target")
+    return pairs.distinct().join(probability, ["source", "target"]).select("source", "target", "etypes", "forward", "backward", "score")
+
+
 def top_path_patterns(kg: KnowledgeGraph, pairs: DataFrame, hops: int = 2, k_patterns: int = 10, k_peers: int = 10) -> DataFrame:
     """``(source, target, pattern, pattern_rank, score, support, nid, peer_rank, peer_score)``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.operators.graph import KnowledgeGraph, first_values
+from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.operators.relevance import ranked
 
 FACT = ["qid", "set_id", "etype", "value"]
@@ -19,7 +19,7 @@ def target_facts(kg: KnowledgeGraph, queries: DataFrame) -> DataFrame:
 def eligible_by_peers(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, coverage: float) -> DataFrame:
     """``(qid, set_id, etype, n_have, n_peers)``: attributes that ``coverage`` of a peer set or more has."""
     n = members.groupBy("qid", "set_id").agg(F.count("*").alias("n_peers"))
-    has = kg.edges.select(F.col("src").alias("nid"), "etype").distinct()
+    has = kg.first_values().select(F.col("src").alias("nid"), "etype")
     have = members.join(has, "nid").join(facts.select("qid", "etype").distinct(), ["qid", "etype"], "left_semi").groupBy("qid", "set_id", "etype").agg(F.count("*").alias("n_have"))
     return have.join(n, ["qid", "set_id"]).where(F.col("n_have") >= F.lit(coverage) * F.col("n_peers"))
 
@@ -27,7 +27,7 @@ def eligible_by_peers(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame,
 def eligible_globally(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, coverage: float) -> DataFrame:
     """``(qid, set_id, etype, n_have, n_peers)``: attributes that as many nodes have, anywhere, as ``coverage`` of the peer set's size."""
     n = members.groupBy("qid", "set_id").agg(F.count("*").alias("n_peers"))
-    have = kg.edges.select("etype", "src").distinct().groupBy("etype").agg(F.count("*").alias("n_have"))
+    have = kg.first_values().groupBy("etype").agg(F.count("*").alias("n_have"))
     return n.join(facts.select("qid", "etype").distinct(), "qid").join(have, "etype").where(F.col("n_have") >= F.lit(coverage) * F.col("n_peers")).select("qid", "set_id", "etype", "n_have", "n_peers")
 
 
@@ -41,7 +41,7 @@ def value_frequency(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, el
     held = members.join(eligible.select("qid", "set_id", "etype"), ["qid", "set_id"]).withColumnRenamed("nid", "src")
     own = facts.select("qid", "target").distinct()
     others = held.join(own, "qid").where("src <> target").drop("target")
-    firsts = others.join(first_values(kg.edges).withColumnRenamed("value", "x"), ["src", "etype"])
+    firsts = others.join(kg.first_values().withColumnRenamed("value", "x"), ["src", "etype"])
     counts = firsts.groupBy("qid", "set_id", "etype", "x").agg(F.count("*").alias("n"))
     asked = eligible.select("qid", "set_id", "etype").join(facts.select("qid", "etype", "value"), ["qid", "etype"])
     base = asked.join(counts, ["qid", "set_id", "etype"]).select(*FACT, "x", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,17 @@ class KnowledgeGraph:
     edge_types: DataFrame
     node_types: DataFrame
     edges: DataFrame
+    #: What queries look into, worked out once for the graph and freed with it.
+    held: dict = field(default_factory=dict, repr=False)
+
+    def once(self, name, make):
+        if name not in self.held:
+            self.held[name] = make()
+        return self.held[name]
+
+    def first_values(self) -> DataFrame:
+        """``first_values`` of all edges, as a table by source."""
+        return self.once("first values", lambda: first_values(self.edges).repartition("src").transform(kept))
 
     def cached(self) -> KnowledgeGraph:
         return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types, self.edges)))

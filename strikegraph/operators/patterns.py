@@ -155,17 +155,24 @@ def waves(kg: KnowledgeGraph, patterns: DataFrame, rel: DataFrame, k: int, most:
 def peer_sets(members: DataFrame) -> DataFrame:
     """``(qid, pattern, set_id, n_peers)``: patterns with equal peers share a ``set_id``.
 
-    Sets are compared by their size and three sums over their members, which combine before the shuffle; no set is
-    gathered in one place.
+    Sets are compared by their size and two sums of hashes of their members, which combine before the shuffle, and then
+    member by member with the first set of the same sums; no set is gathered in one place. A set that differs from that one
+    although the sums agree stays a set of its own.
     """
-    x = F.col("nid")
-    sums = members.groupBy("qid", "pattern").agg(F.count("*").alias("n_peers"), F.sum(x).alias("a"), F.sum(F.pmod(x, F.lit(1000003)) * F.pmod(x, F.lit(1000003))).alias("b"), F.sum(F.pmod(x * 2654435, F.lit(999983))).alias("c"))
-    return sums.select("qid", "pattern", F.concat_ws(":", "n_peers", "a", "b", "c").alias("set_id"), "n_peers")
+    total = lambda salt: F.sum(F.xxhash64("nid", F.lit(salt)).cast("decimal(20,0)"))
+    sums = members.groupBy("qid", "pattern").agg(F.count("*").alias("n_peers"), total(1).alias("a"), total(2).alias("b"))
+    keyed = sums.select("qid", "pattern", F.concat_ws(":", "n_peers", "a", "b").alias("key"), "n_peers").transform(kept)
+    first = keyed.groupBy("qid", "key").agg(F.min("pattern").alias("first"))
+    others = keyed.join(first, ["qid", "key"]).where("pattern <> first").select("qid", "pattern", "first")
+    held = members.join(others, ["qid", "pattern"]).join(members.withColumnRenamed("pattern", "first"), ["qid", "first", "nid"]).groupBy("qid", "pattern").agg(F.count("*").alias("n_same"))
+    same = keyed.join(first, ["qid", "key"]).join(held, ["qid", "pattern"], "left").where("pattern = first or n_same = n_peers").select("qid", "pattern", F.lit(True).alias("same"))
+    alone = keyed.join(same, ["qid", "pattern"], "left")
+    return alone.select("qid", "pattern", F.when(F.col("same"), F.col("key")).otherwise(F.concat_ws(":", "key", "pattern")).alias("set_id"), "n_peers")
 
 
 def distinct_peer_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The ``peer_sets`` and the members ``(qid, set_id, nid)`` of each distinct set once."""
-    sets = peer_sets(members)
+    sets = peer_sets(members).transform(kept)
     first = sets.groupBy("qid", "set_id").agg(F.min("pattern").alias("pattern"))
     return sets, members.join(first, ["qid", "pattern"]).select("qid", "set_id", "nid")
 

@@ -52,12 +52,13 @@ def score_facts(kg: KnowledgeGraph, queries: DataFrame, members: DataFrame, conf
     return sets, facts.strikingness(frequency, config.min_peers if config.drop_zero else 0)
 
 
-def mine(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFrame:
+def mine(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig, rel: DataFrame | None = None) -> DataFrame:
     """The most striking facts of each of the best patterns of ``queries(qid, target, context)``.
 
-    ``qid, rank, pattern, n_nodes, relevance, n_peers, fact_rank, etype, value, strikingness, value_freq, top_value, top_freq``
+    ``qid, rank, pattern, n_nodes, relevance, n_peers, fact_rank, etype, value, strikingness, value_freq, top_value, top_freq``.
+    ``rel``: the relevance scores, where the caller has them.
     """
-    rel = scores(kg, queries, config).transform(kept)
+    rel = rel if rel is not None else scores(kg, queries, config).transform(kept)
     live = reachable(queries, rel).transform(kept)
     best, members = ranked_patterns(kg, live, rel, config)
     sets, scored = score_facts(kg, live, members, config)
@@ -67,17 +68,61 @@ def mine(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFr
     )
 
 
-def blind_patterns(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BLIND, compat: bool = False) -> DataFrame:
-    """``(qid, context, pattern, labels, etypes, path_score)`` of all paths from the targets: an edge sequence and an end node."""
+def blind_patterns(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BLIND) -> DataFrame:
+    """``(qid, end, etypes, pattern)`` of all paths from the targets: an edge sequence and an end node."""
     found = paths.paths_from(kg, queries, config.path_nodes - 1)
-    ends = found.select("qid", F.element_at("nodes", -1).alias("context"), "etypes").distinct()
-    return ends.select("qid", "context", F.concat_ws(">", signature("etypes"), instance_label("context")).alias("pattern"), F.lit(None).cast("array<string>").alias("labels"), "etypes", F.lit(1.0).alias("path_score"))
+    ends = found.select("qid", F.element_at("nodes", -1).alias("end"), "etypes").distinct()
+    return ends.select("qid", "end", "etypes", F.concat_ws(">", signature("etypes"), instance_label("end")).alias("pattern"))
+
+
+def _classed(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, class)`` and ``(class, nid)`` of ``sets(key, nid)``: keys of equal sets share a class, which holds the set once."""
+    total = lambda salt: F.sum(F.xxhash64("nid", F.lit(salt)).cast("decimal(20,0)"))
+    sums = sets.groupBy("key").agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b"))
+    classes = sums.select("key", F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("class")).transform(kept)
+    first = classes.groupBy("class").agg(F.min("key").alias("key"))
+    return classes, sets.join(first, "key").select("class", "nid").transform(kept)
+
+
+def blind_classes(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BLIND, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(qid, pattern, class)`` of the blind patterns and ``(class, nid)``, their peers.
+
+    The peers are found from the ends backwards, an edge type at a time. At each step ends whose sets so far are equal (all orders
+    of a status, all customers of a segment) go on as one class, so a hub's neighbours are not expanded one by one.
+    ``compat``: a step takes all edges from the edge type on, as the reference's matcher does, not those of the type.
+    """
+    turned = kg.edges.select(F.col("src").alias("next"), F.col("etype").bitwiseXOR(1).alias("step"), F.col("dst").alias("nid"))
+    if compat:
+        turned = kg.edges.select(F.col("src").alias("next"), F.col("etype").alias("_back"), F.col("dst").alias("nid"))
+    todo = blind_patterns(kg, queries, config).withColumn("class", F.col("end").cast("string")).transform(kept)
+    members = todo.select("class", F.col("end").alias("nid")).distinct()
+    done = None
+    for k in range(1, config.path_nodes):
+        step = F.element_at("etypes", F.lit(-k))
+        todo = todo.where(F.size("etypes") >= k).withColumn("step", step).withColumn("key", F.concat_ws(":", "step", "class"))
+        wanted = todo.select("key", "step", "class").distinct()
+        reached = wanted.join(members.withColumnRenamed("nid", "next"), "class")
+        if compat:
+            reached = reached.join(turned, "next").where(F.col("_back") >= F.col("step").bitwiseXOR(1))
+        else:
+            reached = reached.join(turned, ["next", "step"])
+        classes, members = _classed(reached.select("key", "nid").distinct().transform(kept))
+        todo = todo.drop("class").join(classes, "key").select("qid", "end", "etypes", "pattern", "class").transform(kept)
+        ready = todo.where(F.size("etypes") == k)
+        found = ready.select("qid", "pattern", "class"), members.join(ready.select("class").distinct(), "class", "left_semi")
+        done = found if done is None else (done[0].unionByName(found[0]), done[1].unionByName(found[1]))
+    enough = done[1].distinct().transform(kept)
+    sizes = enough.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") >= config.min_peers).select("class").transform(kept)
+    return done[0].join(sizes, "class"), enough.join(sizes, "class", "left_semi")
 
 
 def blind_peers(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BLIND) -> DataFrame:
-    """``(qid, pattern, nid)``: nodes that reach the same end node by the same edge types, for ends with ``min_peers`` of them."""
-    found = patterns.peers(kg, blind_patterns(kg, queries, config), config.path_nodes, labelled=False)
-    return with_enough(found, config.min_peers)
+    """``(qid, pattern, nid)``: nodes that reach the same end node by the same edge types, for ends with ``min_peers`` of them.
+
+    Of the patterns of a query with the same class of peers the first by key has them; ``blind_classes`` names the others.
+    """
+    named, members = blind_classes(kg, queries, config)
+    return named.groupBy("qid", "class").agg(F.min("pattern").alias("pattern")).join(members, "class").select("qid", "pattern", "nid")
 
 
 def blind_type_peers(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BLIND) -> DataFrame:
@@ -117,9 +162,9 @@ def mine_blind(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig = BL
     return first.join(scored, ["qid", "set_id"]).drop("set_id", "population")
 
 
-def guided_facts(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig) -> DataFrame:
+def guided_facts(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig, rel: DataFrame | None = None) -> DataFrame:
     """Global top facts of a guided run: values at least as relevant as the query's last ranked pattern, global coverage."""
-    rel = scores(kg, queries, config).transform(kept)
+    rel = rel if rel is not None else scores(kg, queries, config).transform(kept)
     live = reachable(queries, rel).transform(kept)
     best, members = ranked_patterns(kg, live, rel, config)
     kth = best.groupBy("qid").agg(F.min("relevance").alias("kth"))

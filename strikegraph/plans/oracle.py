@@ -45,10 +45,10 @@ CTES = {
     "ntypes": "SELECT nid::BIGINT AS nid, type FROM knodes JOIN (VALUES " + ", ".join(f"('{k}', '{t}')" for k, ts in TYPES.items() for t in ts) + ") t(kind, type) USING (kind)",
     "names": "SELECT * FROM (VALUES " + ", ".join(f"({2 * i + r}, '{'r-' if r else ''}{e[0]}')" for i, e in enumerate(EDGES) for r in (0, 1)) + ") t(etype, name)",
     "degree": "SELECT src AS nid, count(*) AS degree FROM edges GROUP BY src",
-    "q": f"""SELECT 1 AS qid, c_custkey + {base("cust")} AS target, n_regionkey + {base("region")} AS context FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 2
-        UNION ALL SELECT 2, c_custkey + {base("cust")}, c_nationkey + {base("nation")} FROM customer WHERE c_custkey = 2
-        UNION ALL SELECT 3, s_suppkey + {base("supp")}, s_nationkey + {base("nation")} FROM supplier WHERE s_suppkey = 1
-        UNION ALL SELECT 4, p_partkey + {base("part")}, (SELECT count(DISTINCT p_brand) FROM part b WHERE b.p_brand < a.p_brand) + {base("brand") + 1} FROM part a WHERE p_partkey = 5""",
+    "q": f"""SELECT 1 AS qid, c_custkey + {base("cust")} AS target, n_regionkey + {base("region")} AS context FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_custkey >= 2)
+        UNION ALL SELECT 2, c_custkey + {base("cust")}, c_nationkey + {base("nation")} FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_custkey >= 2)
+        UNION ALL SELECT 3, s_suppkey + {base("supp")}, s_nationkey + {base("nation")} FROM supplier WHERE s_suppkey = (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey >= 1)
+        UNION ALL SELECT 4, p_partkey + {base("part")}, (SELECT count(DISTINCT p_brand) FROM part b WHERE b.p_brand < a.p_brand) + {base("brand") + 1} FROM part a WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_partkey >= 5)""",
     "moves": "SELECT src, dst, count(*) / any_value(degree) AS w FROM edges JOIN degree ON src = nid GROUP BY src, dst",
     "m0": "SELECT DISTINCT context, context AS nid, 1.0::DOUBLE AS mass FROM q",
     **{f"m{k}": f"SELECT context, dst AS nid, sum(mass * w) AS mass FROM m{k - 1} JOIN moves ON nid = src GROUP BY context, dst" for k in range(1, HOPS + 1)},
@@ -197,7 +197,7 @@ _STRIKE = "SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY strikingness
 _SETS = "SELECT qid, pattern, count(*) || ':' || sum(nid) || ':' || sum((nid % 1000003) * (nid % 1000003)) || ':' || sum((nid * 2654435) % 999983) AS set_id, count(*) AS n_peers FROM {p}_peers GROUP BY qid, pattern"
 _MINE = "SELECT qid, rank::INT AS rank, pattern, n_nodes, relevance, n_peers, fact_rank::INT AS fact_rank, etype, value, strikingness, value_freq, top_value, top_freq FROM (" + _STRIKE.format(by="qid, pattern", more="", of="{p}_strike{where}") + ") s JOIN {p}_top t USING (qid, pattern) WHERE fact_rank <= {k}"
 _RANKED = "SELECT qid, rank::INT AS rank, pattern, n_nodes, relevance, n_peers FROM {p}_top"
-_SIZED = "SELECT qid, pattern, count(*) AS n_peers, sum(nid)::BIGINT AS sum_nid FROM {p}_peers WHERE qid IN (3, 4) GROUP BY qid, pattern"
+_SIZED = "SELECT qid, pattern, count(*) AS n_peers, sum(nid)::BIGINT AS sum_nid FROM {p}_peers GROUP BY qid, pattern"
 _MATCHED = "SELECT qid, pattern, level, count(*) AS n, sum(nid)::BIGINT AS sum_nid, min(nid) AS min_nid, max(nid) AS max_nid FROM {p}_all GROUP BY qid, pattern, level"
 
 ORACLE_SQL: dict[str, str] = {
@@ -220,18 +220,18 @@ ORACLE_SQL: dict[str, str] = {
         "best_type": "SELECT b.qid, b.nid, b.type FROM best b JOIN q USING (qid) WHERE (q.context, b.nid) IN (SELECT context, nid FROM rel)",
         "edge_type_score_sum": "SELECT context, etype, type, round(round(sum(score), 10), 8) AS score_sum FROM rel JOIN (SELECT DISTINCT etype, src FROM edges) e ON e.src = rel.nid JOIN ntypes n ON n.nid = rel.nid WHERE rel.nid <> context GROUP BY context, etype, type",
         "sequence_propagation": f"""SELECT source, nid, round(sum(p), 10) AS prob FROM (
-            SELECT DISTINCT source, a.dst AS x, b.dst AS y, c.dst AS nid, a.spread * b.spread * c.spread AS p FROM (SELECT target AS source FROM q WHERE qid = 3) s
+            SELECT DISTINCT source, a.dst AS x, b.dst AS y, c.dst AS nid, a.spread * b.spread * c.spread AS p FROM (SELECT DISTINCT target AS source FROM q) s
             JOIN se a ON a.src = source AND a.etype = {etype("from_supplier") + 1} JOIN se b ON b.src = a.dst AND b.etype = {etype("placed_by")} JOIN se c ON c.src = b.dst AND c.etype = {etype("in_nation")}) GROUP BY source, nid""",
         "one_hop_expand": "SELECT qid, target || '-' || dst AS nodes, etype::VARCHAR AS etypes FROM q JOIN edges ON src = target WHERE (context, dst) IN (SELECT context, nid FROM inn)",
         "simple_paths": """SELECT qid, e AS etypes, count(*) AS n_paths, count(DISTINCT w) AS n_ends FROM (SELECT qid, e.etype::VARCHAR AS e, e.dst AS w FROM q JOIN edges e ON e.src = target
-            UNION ALL SELECT qid, a.etype || '-' || b.etype, b.dst FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst WHERE b.dst <> target) WHERE qid = 3 GROUP BY qid, e""",
+            UNION ALL SELECT qid, a.etype || '-' || b.etype, b.dst FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst WHERE b.dst <> target) GROUP BY qid, e""",
         **{name: f"SELECT qid, {_join('nodes')}, {_join('etypes')} FROM paths" for name in ("bidirectional_paths", "reverse_paths", "forward_paths")},
         "paths_by_mean_relevance": """SELECT qid, path, seq, n_nodes, mean_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean_score DESC, n_nodes, path, seq) AS rank FROM (
             SELECT qid, array_to_string(nodes, '-') AS path, array_to_string(etypes, '-') AS seq, n AS n_nodes, round(sum(coalesce(score, 0)) / n, 10) AS mean_score FROM pnodes LEFT JOIN rel USING (context, nid) GROUP BY qid, nodes, etypes, n)) WHERE rank <= 20""",
         "reverse_index_2hop": f"""SELECT qid, nid, etypes, round(round(max(s), 12), 10) AS score FROM (
             SELECT qid, b.dst AS nid, xor(b.etype, 1)::VARCHAR AS etypes, least(r0.score * {DECAYS[1]!r}, r1.score) AS s FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst WHERE b.dst NOT IN (target, q.context)
             UNION ALL SELECT qid, a.dst, xor(a.etype, 1) || '-' || xor(b.etype, 1), least(least(r0.score * {DECAYS[1]!r}, r1.score) * {DECAYS[1]!r}, r2.score) FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst
-                JOIN edges a ON a.src = b.dst JOIN rel r2 ON r2.context = q.context AND r2.nid = a.dst WHERE b.dst NOT IN (target, q.context) AND a.dst NOT IN (target, q.context)) WHERE qid IN (2, 4) GROUP BY qid, nid, etypes""",
+                JOIN edges a ON a.src = b.dst JOIN rel r2 ON r2.context = q.context AND r2.nid = a.dst WHERE b.dst NOT IN (target, q.context) AND a.dst NOT IN (target, q.context)) GROUP BY qid, nid, etypes""",
         "path_scores": f"SELECT qid, {_join('nodes')}, {_join('etypes')}, round(path_score, 10) AS path_score FROM pscore",
         "pattern_enumeration": "SELECT qid, pattern, round(path_score, 10) AS path_score FROM lpat_all WHERE qid IN (SELECT qid FROM live)",
         "match_sets_labelled": _MATCHED.format(p="bi"),
@@ -259,18 +259,26 @@ ORACLE_SQL: dict[str, str] = {
             SELECT s.*, n_nodes, row_number() OVER (PARTITION BY qid, pattern ORDER BY strikingness DESC, etype, value) AS r FROM bi_strike s JOIN bi_top USING (qid, pattern) WHERE strikingness > 0) WHERE r = 1) WHERE fact_rank <= 10""",
         "blind_end_node": _SIZED.format(p="bn"),
         "blind_end_type": _SIZED.format(p="bt"),
-        "blind_top_facts": "SELECT qid, fact_rank::INT AS fact_rank, pattern, etype, value, strikingness, value_freq, top_value, top_freq FROM (" + _STRIKE.format(by="qid", more=", pattern", of=f"bn_strike JOIN (SELECT qid, min(pattern) AS pattern FROM ({_SETS.format(p='bn')}) GROUP BY qid, set_id) USING (qid, pattern) WHERE strikingness > 0 AND qid = 3") + ") WHERE fact_rank <= 100",
+        "blind_top_facts": "SELECT qid, fact_rank::INT AS fact_rank, pattern, etype, value, strikingness, value_freq, top_value, top_freq FROM (" + _STRIKE.format(by="qid", more=", pattern", of=f"bn_strike JOIN (SELECT qid, min(pattern) AS pattern FROM ({_SETS.format(p='bn')}) GROUP BY qid, set_id) USING (qid, pattern) WHERE strikingness > 0") + ") WHERE fact_rank <= 100",
         "guided_facts": "SELECT qid, fact_rank::INT AS fact_rank, pattern, etype, value, strikingness FROM (" + _STRIKE.format(by="qid", more=", pattern", of=f"gu_strike JOIN (SELECT qid, min(pattern) AS pattern FROM ({_SETS.format(p='gu')}) GROUP BY qid, set_id) USING (qid, pattern) JOIN q USING (qid) JOIN rel ON rel.context = q.context AND rel.nid = value JOIN (SELECT qid, min(relevance) AS kth FROM gu_top GROUP BY qid) k USING (qid) WHERE strikingness > 0 AND score >= kth") + ") WHERE fact_rank <= 20",
-        "pattern_probability": "SELECT source, etypes, nid, forward, backward, score FROM prob WHERE qid = 3 AND score >= 0.001",
-        "pattern_support": "SELECT DISTINCT etypes, support FROM support JOIN prob USING (etypes) WHERE qid = 3",
+        "pattern_probability": "SELECT DISTINCT source, etypes, nid, forward, backward, score FROM prob",
+        "pattern_support": "SELECT DISTINCT etypes, support FROM support JOIN prob USING (etypes)",
         "top_path_patterns": """SELECT source, target, pattern, pattern_rank::INT AS pattern_rank, score, support, nid, peer_rank::INT AS peer_rank, peer_score FROM (
             SELECT t.*, p.nid, p.score AS peer_score, row_number() OVER (PARTITION BY t.source, t.target, t.pattern ORDER BY p.score DESC, p.nid) AS peer_rank FROM (
                 SELECT q.qid, p.source, q.context AS target, p.etypes AS pattern, p.score, support, row_number() OVER (PARTITION BY q.qid ORDER BY p.score DESC, support DESC, p.etypes) AS pattern_rank
-                FROM q JOIN prob p ON p.qid = q.qid AND p.nid = q.context JOIN support USING (etypes) WHERE q.qid IN (2, 3)) t JOIN prob p ON p.qid = t.qid AND p.etypes = t.pattern WHERE pattern_rank <= 10) WHERE peer_rank <= 10""",
+                FROM q JOIN prob p ON p.qid = q.qid AND p.nid = q.context JOIN support USING (etypes)) t JOIN prob p ON p.qid = t.qid AND p.etypes = t.pattern WHERE pattern_rank <= 10) WHERE peer_rank <= 10""",
+        "pattern_probability_forward": """SELECT source, etypes, nid, round(f, 10) AS forward, round(b, 10) AS backward, round((f + b) / 2, 10) AS score FROM (
+            SELECT source, CAST(etype AS VARCHAR) AS etypes, dst AS nid, sum(spread) AS f, sum(back) AS b FROM (SELECT DISTINCT target AS source FROM q) JOIN se ON src = source WHERE etype % 2 = 0 GROUP BY source, etype, dst
+            UNION ALL SELECT source, a.etype || '-' || b.etype, b.dst, sum(a.spread * b.spread), sum(a.back * b.back) FROM (SELECT DISTINCT target AS source FROM q) JOIN se a ON a.src = source JOIN se b ON b.src = a.dst WHERE b.dst <> source AND a.etype % 2 = 0 AND b.etype % 2 = 0 GROUP BY source, a.etype, b.etype, b.dst)""",
+        "scores_between": "SELECT source, context AS target, etypes, forward, backward, score FROM prob JOIN q ON q.qid = prob.qid AND context = nid",
+        "edge_file": "SELECT s.iri AS src_iri, name AS label, d.iri AS dst_iri FROM fwd JOIN names USING (etype) JOIN nodes s ON s.nid = src JOIN nodes d ON d.nid = dst",
+        "type_file": "SELECT iri, type FROM nodes JOIN ntypes USING (nid) WHERE nid IN (SELECT src FROM edges)",
+        "pair_file": "SELECT target, context FROM q",
+        "snapshot": "SELECT etype, count(*) AS n, sum(src)::BIGINT AS sum_src, sum(dst)::BIGINT AS sum_dst FROM edges GROUP BY etype",
         "size_bound": "SELECT context, etype, type, level, round(x * s / 1e-4, 4) AS bound FROM (SELECT context, etype, type, sum(score) AS s FROM rel JOIN (SELECT DISTINCT etype, src FROM edges) e ON e.src = rel.nid JOIN ntypes n ON n.nid = rel.nid GROUP BY context, etype, type), (VALUES " + ", ".join(f"({i}, {x!r})" for i, x in enumerate(DECAYS[:3])) + ") d(level, x)",
         "mine_bidirectional": _MINE.format(p="bi", where="", k=10),
         "mine_reverse": _MINE.format(p="re", where=" WHERE strikingness > 0", k=10),
         "mine_naive": _MINE.format(p="re", where=" WHERE strikingness > 0", k=10),
-        "render_facts": "SELECT qid, rank, fact_rank, '#' || rank || ' ' || pattern || ' peers=' || n_peers || ' ' || name || '=' || v.iri || ' shared by ' || value_freq || ' most have ' || t.iri || ' (' || top_freq || ')' AS text FROM (" + _MINE.format(p="bi", where="", k=2) + ") JOIN names USING (etype) JOIN nodes v ON v.nid = value JOIN nodes t ON t.nid = top_value WHERE qid IN (1, 3)",
+        "render_facts": "SELECT qid, rank, fact_rank, '#' || rank || ' ' || pattern || ' peers=' || n_peers || ' ' || name || '=' || v.iri || ' shared by ' || value_freq || ' most have ' || t.iri || ' (' || top_freq || ')' AS text FROM (" + _MINE.format(p="bi", where="", k=2) + ") JOIN names USING (etype) JOIN nodes v ON v.nid = value JOIN nodes t ON t.nid = top_value",
     }.items()
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,40 +13,36 @@ from strikegraph.operators import explore, facts, graph, paths, patterns, releva
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans import engine
 from strikegraph.plans.config import BIDIRECTIONAL, BLIND, NAIVE, REVERSE, THRESHOLD
-from strikegraph.sources import star_schema
-from strikegraph.sources.shared import kept
+from strikegraph.sources import graph_io, star_schema
+from strikegraph.sources.shared import kept, shared_dir
 
 _GRAPHS: dict = {}
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeGraph, DataFrame]:
-    """The graph of a folder, loaded once a session, and its query pairs."""
+    """The graph of a folder and its query pairs; the last one asked for stays, with what queries hold of it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _GRAPHS:
-        kg, pairs = star_schema.graph(spark, sf_dir).cached(), star_schema.queries(spark, sf_dir).transform(kept)
-        _GRAPHS[key] = kg, pairs, engine.scores(kg, pairs, BIDIRECTIONAL).transform(kept)
-    return _GRAPHS[key][:2]
+        _GRAPHS.clear()
+        _GRAPHS[key] = star_schema.graph(spark, sf_dir).cached(), star_schema.queries(spark, sf_dir).transform(kept)
+    return _GRAPHS[key]
+
+
+def forget() -> None:
+    """Drops what queries hold of loaded graphs, so that the next one does all its work."""
+    for kg, _ in _GRAPHS.values():
+        kg.held.clear()
 
 
 def _rel(kg, q):
-    """The relevance of all nodes to the pairs' contexts, which a session works out once for a graph."""
-    return next(rel for held, _, rel in _GRAPHS.values() if held is kg)
+    """The relevance of all nodes to the pairs' contexts, worked out once for a graph."""
+    return kg.once("relevance", lambda: engine.scores(kg, q, BIDIRECTIONAL).transform(kept))
 
 
 def _kg(query: Callable[[KnowledgeGraph, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(*loaded(spark, sf_dir))
 
 
-_HELD: dict = {}
-
-
-def _held(kg: KnowledgeGraph, name, make: Callable[[], tuple | DataFrame]):
-    """What several queries look into, worked out once for a graph and session."""
-    if (id(kg), name) not in _HELD:
-        _HELD[id(kg), name] = make()
-    return _HELD[id(kg), name]
-
-
 def _text(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, signature(c))
@@ -72,12 +69,12 @@ def one_hop_expand(kg, q):
 
 
 def simple_paths(kg, q):
-    found = paths.paths_from(kg, q.where("qid = 3"), 2)
+    found = paths.paths_from(kg, q, 2)
     return _text(found.groupBy("qid", "etypes").agg(F.count("*").alias("n_paths"), F.countDistinct(F.element_at("nodes", -1)).alias("n_ends")), "etypes")
 
 
 def _between(kg, q, how, least=2):
-    return _held(kg, (how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).transform(kept))
+    return kg.once((how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).transform(kept))
 
 
 def between(how):
@@ -94,13 +91,13 @@ def path_scores(kg, q):
 
 
 def reverse_index_2hop(kg, q):
-    found = paths.reverse_index(kg, q.where("qid in (2, 4)"), _rel(kg, q), 2)
+    found = paths.reverse_index(kg, q, _rel(kg, q), 2)
     return _text(found.withColumn("score", F.round("score", 10)), "etypes")
 
 
 def _candidates(kg, q, config=BIDIRECTIONAL):
     rel = _rel(kg, q)
-    return _held(kg, config, lambda: engine.candidate_patterns(kg, engine.reachable(q, rel), rel, config).transform(kept)), rel
+    return kg.once(config, lambda: engine.candidate_patterns(kg, engine.reachable(q, rel), rel, config).transform(kept)), rel
 
 
 def pattern_enumeration(kg, q):
@@ -125,7 +122,7 @@ def _ranked(kg, q, config):
         best, members = engine.ranked_patterns(kg, live, rel, config)
         return live, rel, best.transform(kept), members.transform(kept)
 
-    return _held(kg, ("ranked", config), make)
+    return kg.once(("ranked", config), make)
 
 
 def pattern_relevance(kg, q):
@@ -192,7 +189,7 @@ def most_frequent_value(kg, q):
 
 
 def top_facts(kg, q):
-    return engine.mine(kg, q, BIDIRECTIONAL.with_(top_facts=3)).select("qid", "pattern", "fact_rank", "etype", "value", "strikingness")
+    return engine.mine(kg, q, BIDIRECTIONAL.with_(top_facts=3), _rel(kg, q)).select("qid", "pattern", "fact_rank", "etype", "value", "strikingness")
 
 
 def diverse_top_facts(kg, q):
@@ -201,41 +198,88 @@ def diverse_top_facts(kg, q):
     return facts.diverse_top_facts(named, 10).select("qid", "fact_rank", "pattern", "etype", "value", "strikingness")
 
 
-def _blind(q):
-    return q.where("qid in (3, 4)")
-
-
 def _sized(members):
     return members.groupBy("qid", "pattern").agg(F.count("*").alias("n_peers"), F.sum("nid").alias("sum_nid"))
 
 
+def blind_end_node(kg, q):
+    named, members = engine.blind_classes(kg, q, BLIND)
+    sizes = members.groupBy("class").agg(F.count("*").alias("n_peers"), F.sum("nid").alias("sum_nid"))
+    return named.join(sizes, "class").select("qid", "pattern", "n_peers", "sum_nid")
+
+
 def blind_top_facts(kg, q):
-    found = engine.mine_blind(kg, _blind(q).where("qid = 3"), BLIND)
+    found = engine.mine_blind(kg, q, BLIND)
     return facts.top_facts(found, 100, ["qid"], True).select("qid", "fact_rank", "pattern", "etype", "value", "strikingness", "value_freq", "top_value", "top_freq")
 
 
 def guided_facts(kg, q):
-    found = engine.guided_facts(kg, q, REVERSE.with_(min_peers=5))
+    found = engine.guided_facts(kg, q, REVERSE.with_(min_peers=5), _rel(kg, q))
     return facts.top_facts(found, 20, ["qid"], True).select("qid", "fact_rank", "pattern", "etype", "value", "strikingness")
 
 
-def pattern_probability(kg, q):
-    return _text(explore.pattern_probability(kg, q.where("qid = 3").select(F.col("target").alias("source")), 2).where("score >= 0.001"), "etypes")
+def _sources(q):
+    return q.select(F.col("target").alias("source")).distinct()
+
+
+def pattern_probability(forward_only):
+    return lambda kg, q: _text(explore.pattern_probability(kg, _sources(q), 2, forward_only), "etypes")
+
+
+def scores_between(kg, q):
+    return _text(explore.scores_between(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), 2), "etypes")
+
+
+def _file(kg, name):
+    return f"{shared_dir(kg.edges.sparkSession)}/strikegraph/{name}-{uuid.uuid4().hex}"
+
+
+def _files(kg):
+    """The graph written as an edge file and a type file, and read again."""
+    edges, types = _file(kg, "edges"), _file(kg, "types")
+    iri = lambda side: kg.nodes.select(F.col("nid").alias(side), F.col("iri").alias(f"{side}_iri"))
+    forward = kg.edges.where("etype % 2 = 0").join(kg.edge_types, "etype").join(iri("src"), "src").join(iri("dst"), "dst")
+    forward.select(F.concat_ws(",", "src_iri", "dst_iri", "name")).write.text(edges)
+    lines = kg.node_types.join(kg.nodes, "nid").groupBy("iri").agg(F.concat_ws(",", F.collect_list("type")).alias("types"))  # a node has few types
+    lines.select(F.concat_ws(",", "iri", "types")).write.text(types)
+    return graph_io.read_graph(kg.edges.sparkSession, edges, types)
+
+
+def edge_file(kg, q):
+    read = _files(kg)
+    iri = lambda side: read.nodes.select(F.col("nid").alias(side), F.col("iri").alias(f"{side}_iri"))
+    return read.edges.join(read.edge_types.where("not startswith(name, 'r-')"), "etype").join(iri("src"), "src").join(iri("dst"), "dst").select("src_iri", F.col("name").alias("label"), "dst_iri")
+
+
+def type_file(kg, q):
+    read = _files(kg)
+    return read.node_types.join(read.nodes, "nid").select("iri", "type")
+
+
+def pair_file(kg, q):
+    at = _file(kg, "pairs")
+    graph_io.write_pairs(q, at)
+    return graph_io.read_pairs(q.sparkSession, kg, at).select("target", "context")
+
+
+def snapshot(kg, q):
+    at = _file(kg, "snapshot")
+    graph_io.write_snapshot(kg, at)
+    return graph_io.read_snapshot(q.sparkSession, at).edges.groupBy("etype").agg(F.count("*").alias("n"), F.sum("src").alias("sum_src"), F.sum("dst").alias("sum_dst"))
 
 
 def pattern_support(kg, q):
-    found = paths.paths_from(kg, q.where("qid = 3"), 2).select("etypes").distinct()
+    found = paths.paths_from(kg, q, 2).select("etypes").distinct()
     return _text(explore.pattern_support(kg, found, 2), "etypes")
 
 
 def top_path_patterns(kg, q):
-    return explore.top_path_patterns(kg, q.where("qid in (2, 3)").select(F.col("target").alias("source"), F.col("context").alias("target")), 2, 10, 10)
+    return explore.top_path_patterns(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), 2, 10, 10)
 
 
 def propagation(kg, q):
-    source = q.where("qid = 3").select(F.col("target").alias("source"))
     name = star_schema.etype
-    found = relevance.propagate(kg, source, [name("from_supplier") + 1, name("placed_by"), name("in_nation")])
+    found = relevance.propagate(kg, _sources(q), [name("from_supplier") + 1, name("placed_by"), name("in_nation")])
     return found.withColumn("prob", F.round("prob", 10))
 
 
@@ -245,11 +289,11 @@ def size_bound(kg, q):
 
 
 def mined(config):
-    return lambda kg, q: engine.mine(kg, q, config)
+    return lambda kg, q: engine.mine(kg, q, config, _rel(kg, q))
 
 
 def render_facts(kg, q):
-    return engine.render(kg, engine.mine(kg, q.where("qid in (1, 3)"), BIDIRECTIONAL.with_(top_facts=2)))
+    return engine.render(kg, engine.mine(kg, q, BIDIRECTIONAL.with_(top_facts=2), _rel(kg, q)))
 
 
 def specific_or_first(kg, q):
@@ -312,11 +356,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "most_frequent_value": most_frequent_value,
         "top_facts": top_facts,
         "diverse_top_facts": diverse_top_facts,
-        "blind_end_node": lambda kg, q: _sized(engine.blind_peers(kg, _blind(q), BLIND)),
-        "blind_end_type": lambda kg, q: _sized(engine.blind_type_peers(kg, _blind(q), BLIND)),
+        "blind_end_node": blind_end_node,
+        "blind_end_type": lambda kg, q: _sized(engine.blind_type_peers(kg, q, BLIND)),
         "blind_top_facts": blind_top_facts,
         "guided_facts": guided_facts,
-        "pattern_probability": pattern_probability,
+        "pattern_probability": pattern_probability(False),
+        "pattern_probability_forward": pattern_probability(True),
+        "scores_between": scores_between,
+        "edge_file": edge_file,
+        "type_file": type_file,
+        "pair_file": pair_file,
+        "snapshot": snapshot,
         "pattern_support": pattern_support,
         "top_path_patterns": top_path_patterns,
         "size_bound": size_bound,

@@ -23,4 +23,15 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` as a written table. Nested caches would do as well for data, but each plan would hold the plans of all caches below it."""
     path = f"{shared_dir(df.sparkSession)}/strikegraph/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``kept`` has written, once what was made from them is written too."""
+    for df in tables:
+        if at := getattr(df, "kept_at", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
