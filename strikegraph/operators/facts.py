@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.operators.relevance import ranked
+from strikegraph.sources.shared import kept
 
 FACT = ["qid", "set_id", "etype", "value"]
 
@@ -31,6 +32,21 @@ def eligible_globally(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame,
     return n.join(facts.select("qid", "etype").distinct(), "qid").join(have, "etype").where(F.col("n_have") >= F.lit(coverage) * F.col("n_peers")).select("qid", "set_id", "etype", "n_have", "n_peers")
 
 
+def _counted(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, eligible: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For ``value_frequency``: the first values counted once a set, the facts asked for, and the peers moved to each fact's value."""
+    held = members.join(eligible.select("qid", "set_id", "etype"), ["qid", "set_id"]).withColumnRenamed("nid", "src")
+    own = facts.select("qid", "target").distinct()
+    others = held.join(own, "qid").where("src <> target").drop("target")
+    firsts = others.join(kg.first_values().withColumnRenamed("value", "x"), ["src", "etype"])
+    counts = firsts.groupBy("qid", "set_id", "etype", "x").agg(F.count("*").alias("n"))
+    asked = eligible.select("qid", "set_id", "etype").join(facts.select("qid", "etype", "value"), ["qid", "etype"])
+    # Who holds a fact's value is looked up once a query, not once a set.
+    holding = facts.select("qid", "etype", "value").join(kg.edges.select("src", "etype", F.col("dst").alias("value")), ["etype", "value"])
+    holders = firsts.join(holding, ["qid", "etype", "src"]).where("x <> value")
+    moves = holders.groupBy(*FACT, "x").agg(F.count("*").alias("n"))
+    return counts, asked, moves
+
+
 def value_frequency(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, eligible: DataFrame) -> DataFrame:
     """``(qid, set_id, etype, value, x, f)``: for each fact, how many peers count for each value ``x`` of its attribute.
 
@@ -38,15 +54,8 @@ def value_frequency(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, el
     for the fact's value. The first values are counted once a set, and for each fact only the peers that hold its value are
     moved to it, so no fact is paired with all peers.
     """
-    held = members.join(eligible.select("qid", "set_id", "etype"), ["qid", "set_id"]).withColumnRenamed("nid", "src")
-    own = facts.select("qid", "target").distinct()
-    others = held.join(own, "qid").where("src <> target").drop("target")
-    firsts = others.join(kg.first_values().withColumnRenamed("value", "x"), ["src", "etype"])
-    counts = firsts.groupBy("qid", "set_id", "etype", "x").agg(F.count("*").alias("n"))
-    asked = eligible.select("qid", "set_id", "etype").join(facts.select("qid", "etype", "value"), ["qid", "etype"])
+    counts, asked, moves = _counted(kg, members, facts, eligible)
     base = asked.join(counts, ["qid", "set_id", "etype"]).select(*FACT, "x", "n")
-    holders = firsts.join(asked, ["qid", "set_id", "etype"]).where("x <> value").join(kg.edges.withColumnRenamed("dst", "value"), ["src", "etype", "value"], "left_semi")
-    moves = holders.groupBy(*FACT, "x").agg(F.count("*").alias("n"))
     moved = moves.select(*FACT, F.explode(F.array(F.struct("x", (-F.col("n")).alias("n")), F.struct(F.col("value").alias("x"), "n"))).alias("c")).select(*FACT, "c.x", "c.n")
     target = asked.select(*FACT, F.col("value").alias("x"), F.lit(1).cast("long").alias("n"))
     return base.unionByName(moved).unionByName(target).groupBy(*FACT, "x").agg(F.sum("n").alias("f")).where("f > 0")
@@ -63,6 +72,34 @@ def strikingness(frequency: DataFrame, min_population: int = 0) -> DataFrame:
     return out.select(*FACT, s.alias("strikingness"), "value_freq", F.col("m.x").alias("top_value"), (-F.col("m.f")).alias("top_freq"), "population")
 
 
+def fact_scores(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, eligible: DataFrame, min_population: int = 0) -> DataFrame:
+    """``strikingness`` of ``value_frequency``, without a row for each fact and value.
+
+    A set's values are counted once. A fact meets the levels of these counts, of which there are few, and what its own value takes
+    from others is set right value by value. The most frequent value is the fact's, one that gave peers away, or the first in rank that gave none.
+    """
+    key = FACT[:-1]
+    counts, asked, moves = _counted(kg, members, facts, eligible)
+    counts = ranked(counts.transform(kept), key, F.desc("n"), "x").transform(kept)
+    asked, moves = asked.transform(kept), moves.withColumnRenamed("n", "m").transform(kept)
+    own = counts.select(*key, F.col("x").alias("value"), F.col("n").alias("n_v"), F.col("rank").alias("rank_v"))
+    total = asked.join(counts.groupBy(*key).agg(F.sum("n").alias("p")), key, "left").join(moves.groupBy(*FACT).agg(F.sum("m").alias("into")), FACT, "left").join(own, FACT, "left")
+    at = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    total = total.select(*FACT, (at("n_v") + at("into") + 1).alias("value_freq"), (at("p") + 1).alias("population"), "rank_v").transform(kept)
+    levels = counts.groupBy(*key, "n").agg(F.sum("n").alias("mass"))
+    above = total.join(levels, key).where("n > value_freq").groupBy(*FACT).agg(F.sum("mass").alias("above"))
+    given = moves.join(counts, [*key, "x"]).join(total.select(*FACT, "value_freq"), FACT).withColumn("left", F.col("n") - F.col("m")).transform(kept)
+    change = F.when(F.col("left") > F.col("value_freq"), F.col("left")).otherwise(0) - F.when(F.col("n") > F.col("value_freq"), F.col("n")).otherwise(0)
+    changed = given.groupBy(*FACT).agg(F.sum(change).alias("change"), F.min(F.when(F.col("left") > 0, F.struct((-F.col("left")).alias("f"), "x"))).alias("giver"))
+    gone = given.select(*FACT, "rank").unionByName(total.where("rank_v is not null").select(*FACT, F.col("rank_v").alias("rank")))
+    prefix = ranked(gone.withColumnRenamed("rank", "r"), FACT, "r").where("r = rank").groupBy(*FACT).agg(F.count("*").alias("c"))
+    first = total.select(*FACT).join(prefix, FACT, "left").withColumn("rank", (at("c") + 1).cast("int")).join(counts, [*key, "rank"]).select(*FACT, F.struct((-F.col("n")).alias("f"), "x").alias("keeper"))
+    out = total.join(above, FACT, "left").join(changed, FACT, "left").join(first, FACT, "left")
+    top = F.least(F.struct((-F.col("value_freq")).alias("f"), F.col("value").alias("x")), "giver", "keeper")
+    s = F.when(F.col("population") < min_population, F.lit(0.0)).otherwise(F.round((at("above") + at("change")) / F.col("population"), 10))
+    return out.withColumn("top", top).select(*FACT, s.alias("strikingness"), "value_freq", F.col("top.x").alias("top_value"), (-F.col("top.f")).alias("top_freq"), "population")
+
+
 def most_frequent_value(frequency: DataFrame) -> DataFrame:
     """``(qid, set_id, etype, value, top_value, top_freq)``: the value that explains a fact; ties to the smaller id."""
     return frequency.groupBy(*FACT).agg(F.min(F.struct((-F.col("f")).alias("f"), "x")).alias("m")).select(*FACT, F.col("m.x").alias("top_value"), (-F.col("m.f")).alias("top_freq"))
@@ -70,9 +107,9 @@ def most_frequent_value(frequency: DataFrame) -> DataFrame:
 
 def top_facts(scored: DataFrame, k: int, by: list[str], drop_zero: bool = False) -> DataFrame:
     """The ``k`` most striking facts of each group with ``fact_rank``; ties by edge type and value, then by what else names a fact."""
-    kept = scored.where("strikingness > 0") if drop_zero else scored
+    counted = scored.where("strikingness > 0") if drop_zero else scored
     rest = [c for c in ("n_nodes", "pattern") if c in scored.columns and c not in by]
-    return ranked(kept, by, F.desc("strikingness"), "etype", "value", *rest).withColumnRenamed("rank", "fact_rank").where(F.col("fact_rank") <= k)
+    return ranked(counted, by, F.desc("strikingness"), "etype", "value", *rest).withColumnRenamed("rank", "fact_rank").where(F.col("fact_rank") <= k)
 
 
 def diverse_top_facts(scored: DataFrame, k: int, drop_zero: bool = True) -> DataFrame:

@@ -48,8 +48,7 @@ def score_facts(kg: KnowledgeGraph, queries: DataFrame, members: DataFrame, conf
     once = once.transform(kept)
     asked = facts.target_facts(kg, queries)
     eligible = (facts.eligible_globally if everywhere else facts.eligible_by_peers)(kg, once, asked, config.coverage)
-    frequency = facts.value_frequency(kg, once, asked, eligible.transform(kept)).transform(kept)
-    return sets, facts.strikingness(frequency, config.min_peers if config.drop_zero else 0)
+    return sets, facts.fact_scores(kg, once, asked, eligible.transform(kept), config.min_peers if config.drop_zero else 0).transform(kept)
 
 
 def mine(kg: KnowledgeGraph, queries: DataFrame, config: MiningConfig, rel: DataFrame | None = None) -> DataFrame:
