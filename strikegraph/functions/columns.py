@@ -66,3 +66,12 @@ def jaccard_distance(a: Column | str, b: Column | str) -> Column:
     """1 - |a and b| / |a or b| of two arrays of distinct values; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
+
+
+def rounded(column: Column | str, digits: int) -> Column:
+    """A double rounded in units of ``10 ** -digits``, by scaling it.
+
+    For values that are rounded already: ``round`` decides a tie by the decimal digits, SQL engines by the scaled double.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    return F.round(value * 10.0**digits) / 10.0**digits

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikegraph.functions.columns import signature
+from strikegraph.functions.columns import rounded, signature
 from strikegraph.operators import explore, facts, graph, paths, patterns, relevance
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans import engine
@@ -87,12 +87,12 @@ def paths_by_mean_relevance(kg, q):
 
 def path_scores(kg, q):
     scored = paths.path_scores(_between(kg, q, "bidirectional"), _rel(kg, q))
-    return _text(scored.select("qid", "nodes", "etypes", F.round("path_score", 10).alias("path_score")), "nodes", "etypes")
+    return _text(scored.select("qid", "nodes", "etypes", rounded("path_score", 10).alias("path_score")), "nodes", "etypes")
 
 
 def reverse_index_2hop(kg, q):
     found = paths.reverse_index(kg, q, _rel(kg, q), 2)
-    return _text(found.withColumn("score", F.round("score", 10)), "etypes")
+    return _text(found.withColumn("score", rounded("score", 10)), "etypes")
 
 
 def _candidates(kg, q, config=BIDIRECTIONAL):
@@ -102,7 +102,7 @@ def _candidates(kg, q, config=BIDIRECTIONAL):
 
 def pattern_enumeration(kg, q):
     found, _ = _candidates(kg, q, BIDIRECTIONAL.with_(min_path_nodes=2))
-    return found.select("qid", "pattern", F.round("path_score", 10).alias("path_score"))
+    return found.select("qid", "pattern", rounded("path_score", 10).alias("path_score"))
 
 
 def match_sets(config):

@@ -200,3 +200,12 @@ def test_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == [f"{ids['a']} {ids['c']}"]
     mine_arriving(spark, kg, f"{tmp_path}/in", f"{tmp_path}/mined", f"{tmp_path}/check", lambda kg, q: q).awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/mined").count() == 1
+
+
+def test_rounded_decides_ties_by_the_scaled_double(spark):
+    values = [6.27015e-06, 0.125, 0.5, 0.0, 1.0]
+    from strikegraph.functions.columns import rounded
+
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 10).alias("r"), rounded(F.col("v"), 2).alias("s")).collect()
+    assert [row.r for row in got] == [math.floor(v * 1e10 + 0.5) / 1e10 for v in values]
+    assert [row.s for row in got] == [0.0, 0.13, 0.5, 0.0, 1.0]
