@@ -9,6 +9,7 @@ Distances come from Myers' bit-parallel recurrence, with an item's rows in one l
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -148,9 +149,22 @@ class Matcher:
         return sorted(best.items())
 
 
+_MATCHERS: dict = {}
+
+
+def matcher_of(key: str, held, error_rate: float) -> Matcher:
+    """The matcher of one pass, kept by a Python worker from task to task; the one of another pass goes."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(held.value, error_rate)
+    return _MATCHERS[key]
+
+
 def _task(held, error_rate: float, schema: pa.Schema):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, error_rate)
+        matcher = matcher_of(key, held, error_rate)
         for part, texts in slices(batches, text="_text"):
             found = [matcher.find(t) for t in texts]
             yield rows_of(schema, **{f.name: part.column(f.name) for f in schema if f.name != "_found"}, _found=[[{"item_id": i, "distance": d} for i, d in f] for f in found])
