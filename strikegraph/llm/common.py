@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset, a local master (tests) gets a temporary folder; on a cluster
-    that would not be shared, so it is an error there.
-    """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    held = getattr(spark, "_strikegraph_dir", None)
-    if held is None:
-        held = spark._strikegraph_dir = "file://" + tempfile.mkdtemp(prefix="strikegraph-")
-    return held
+from strikegraph.sources.shared import release, shared_dir
 
 
 def write_shared(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -35,7 +19,9 @@ def write_shared(df: DataFrame, label: str, path: str | None = None) -> DataFram
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/strikegraph/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -70,8 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs), as ``(node, root)`` with the smallest node as root.
 
     Alternates large-star and small-star steps until the edge table no longer changes; every step is
-    a partial aggregate and an equi-join, and its result is a written table. Nodes without an edge
-    to another node do not appear.
+    a partial aggregate and an equi-join, and its result is a written table; the tables of a step go once the
+    next one is written. Nodes without an edge to another node do not appear.
     """
     e = write_shared(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc")
     mark = _marks(e)
@@ -81,8 +67,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = write_shared(e.join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "cc-large")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s")).select(F.col("s.m").alias("u"), F.col("s.u").alias("v")).where("u <> v")
-        e = write_shared(star.distinct(), "cc")
+        last, e = e, write_shared(star.distinct(), "cc")
         before, mark = mark, _marks(e)
+        release(last, large)
         if before == mark:
             break
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
