@@ -39,9 +39,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     else:
         if any(w < 0 for w in weights.values()):
             raise ValueError("weights must not be negative")
-        weight = F.lit(0.0)
-        for name, w in weights.items():
-            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
+        named = [F.lit(x) for name, w in weights.items() if name is not None for x in (name, float(w))]
+        weight = F.coalesce(F.try_element_at(F.create_map(*named), F.col("source").cast("string")), F.lit(0.0)) if named else F.lit(0.0)
+        weight = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(weight)
     counts = counts.withColumn("w", weight)
     counts = write_shared(counts, "mix-counts")
     w_all, n_all = counts.agg(F.sum("w"), F.sum("n_docs")).first()

@@ -11,6 +11,7 @@ and remote stores; the codes are in its binary columns.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -99,6 +100,38 @@ class Dac:
         return out
 
 
+# How the files of word tokenizers normalise and split a text. Nothing in them looks across white space.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer at ``path`` is known to encode a text word by word."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    return made.get("normalizer") == WORD_NORMALIZER and made.get("pre_tokenizer") == WORD_SPLIT
+
+
+class TextEncoder:
+    """The ids of whole texts by any tokenizer, each text given to the library as it is."""
+
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's with the end id, and the number of ids of each text."""
+        found = [self.tokenizer.encode(t, add_special_tokens=False).ids + [self.end_id] for t in texts]
+        return np.array([i for ids in found for i in ids], dtype=np.uint32), np.array([len(ids) for ids in found], dtype=np.int64)
+
+
 class WordEncoder:
     """The ids of whole texts from those of their words, for tokenizers that never join text across white space.
 
@@ -165,10 +198,10 @@ class WordEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, end_id: int) -> WordEncoder:
-    """One for each Python worker, kept from task to task."""
+def encoder(path: str, end_id: int) -> WordEncoder | TextEncoder:
+    """One for each Python worker, kept from task to task; by words only where the tokenizer allows it."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+        _ENCODERS[path, end_id] = (WordEncoder if by_words(path) else TextEncoder)(path, end_id)
     return _ENCODERS[path, end_id]
 
 

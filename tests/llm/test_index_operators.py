@@ -145,6 +145,18 @@ def test_token_files(spark, tmp_path, word_bpe):
     assert tokens.read_token_files(spark, f"{tmp_path}/e").count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(spark, tmp_path, word_bpe):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    assert tokens.by_words(word_bpe) and not tokens.by_words(path)
+    texts = ["Two  Words\n\nand CASE", "", None, " leading", "é 漢字 🙂"]
+    tokens.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, f"{tmp_path}/t", end_id=0)
+    whole = Tokenizer.from_file(path)
+    want = [zlib.crc32(np.array(whole.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for t in texts]
+    assert [r.ids_crc32 for r in tokens.read_token_files(spark, f"{tmp_path}/t").orderBy("doc_id").collect()] == want
+
+
 def test_top_k(spark, monkeypatch):
     for name, value in (("SHARD", 16), ("BLOCK", 4), ("STRIP", 3), ("FAN_IN", 2)):
         monkeypatch.setattr(topk, name, value)
@@ -182,6 +194,9 @@ def test_mixing_rates_and_odd_rows(spark):
     got = mixing.mix(docs, {"a": 1.0, "b": 3.0}, total=60000).groupBy("source").count().collect()
     n = {r["source"]: r["count"] for r in got}
     assert set(n) == {"a", "b"} and abs(n["a"] - 15000) < 600 and abs(n["b"] - 45000) < 900
+    named = {r["source"]: r["rate"] for r in mixing.rates(docs, {"a": 1.0, None: 1.0, "gone": 5.0}, total=700).collect()}
+    assert named["b"] == 0.0 and named["a"] > 0 and (named.get(None) is None or named[None] > 0)
+    assert {r["rate"] for r in mixing.rates(docs, {}).collect()} == {0.0}
     one = mixing.mix(docs, seed=9)
     assert one.columns == ["doc_id", "text", "source", "extra", "replica", "n_copies", "shuffle_key"]
     assert sorted(one.select("doc_id", "replica").na.fill(-1).collect()) == sorted(mixing.mix(docs.repartition(7), seed=9).select("doc_id", "replica").na.fill(-1).collect())
