@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.functions.columns import DECAYS, reverse_etypes, signature
+from strikegraph.functions.columns import DECAYS, reverse_etypes, rounded, signature
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.sources.shared import kept
 
@@ -127,5 +127,5 @@ def paths_by_mean_relevance(paths: DataFrame, rel: DataFrame, k: int) -> DataFra
     from strikegraph.operators.relevance import ranked
 
     at = paths.withColumn("path", signature("nodes")).withColumn("seq", signature("etypes")).select("qid", "context", "path", "seq", F.size("nodes").alias("n_nodes"), F.explode("nodes").alias("nid"))
-    mean = at.join(rel, ["context", "nid"], "left").groupBy("qid", "path", "seq", "n_nodes").agg(F.round(F.sum(F.coalesce("score", F.lit(0.0))) / F.first("n_nodes"), 10).alias("mean_score"))
+    mean = at.join(rel, ["context", "nid"], "left").groupBy("qid", "path", "seq", "n_nodes").agg(rounded(F.sum(F.coalesce("score", F.lit(0.0))) / F.first("n_nodes"), 10).alias("mean_score"))
     return ranked(mean, ["qid"], F.desc("mean_score"), "n_nodes", "path", "seq").where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strikegraph.functions.columns import DECAYS, instance_label, interleave, jaccard_distance, signature, type_label
 from strikegraph.operators.graph import KnowledgeGraph, node_labels
 from strikegraph.operators.relevance import best_type, ranked
-from strikegraph.sources.shared import kept
+from strikegraph.sources.shared import kept, release
 
 PATH = ["qid", "target", "context", "nodes", "etypes"]
 
@@ -194,6 +194,27 @@ def peer_jaccard(members: DataFrame, limit: float = 0.1) -> DataFrame:
     return both.select("qid", "a", "b", F.round(1 - F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 10).alias("distance")).where(F.col("distance") < limit)
 
 
+def merged_peer_sets(members: DataFrame, limit: float = 0.1) -> DataFrame:
+    """``(qid, pattern, merged)``: ``merged`` is the first pattern that steps of less than ``limit`` between peer sets lead to.
+
+    Equal sets are compared once. The first pattern moves a step a round over the close pairs, each round a written table, until
+    no set has a neighbour with an earlier one; the result does not depend on the order of arrival.
+    """
+    sets, once = distinct_peer_sets(members)
+    sides = lambda x, y: F.struct(F.col(x).alias("set_id"), F.col(y).alias("near"))
+    close = peer_jaccard(once.withColumnRenamed("set_id", "pattern").transform(kept), limit)
+    near = close.select("qid", F.explode(F.array(sides("a", "b"), sides("b", "a"))).alias("s")).select("qid", "s.*").transform(kept)
+    named = sets.groupBy("qid", "set_id").agg(F.min("pattern").alias("merged")).transform(kept)
+    moved = True
+    while moved:
+        seen = near.join(named.select("qid", F.col("set_id").alias("near"), "merged"), ["qid", "near"]).groupBy("qid", "set_id").agg(F.min("merged").alias("other"))
+        step = named.join(seen, ["qid", "set_id"], "left").select("qid", "set_id", F.least("merged", "other").alias("merged"), (F.col("other") < F.col("merged")).alias("moves")).transform(kept)
+        moved = not step.where("moves").isEmpty()
+        release(named)
+        named = step
+    return sets.select("qid", "set_id", "pattern").join(named, ["qid", "set_id"]).select("qid", "pattern", "merged")
+
+
 def size_bound(kg: KnowledgeGraph, rel: DataFrame, kth: DataFrame) -> DataFrame:
     """``(context, etype, type, level, bound)``: how many nodes a level may have before its decayed mean falls below ``kth(context, kth)``.
 

@@ -228,6 +228,11 @@ ORACLE_SQL: dict[str, str] = {
         **{name: f"SELECT qid, {_join('nodes')}, {_join('etypes')} FROM paths" for name in ("bidirectional_paths", "reverse_paths", "forward_paths")},
         "paths_by_mean_relevance": """SELECT qid, path, seq, n_nodes, mean_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean_score DESC, n_nodes, path, seq) AS rank FROM (
             SELECT qid, array_to_string(nodes, '-') AS path, array_to_string(etypes, '-') AS seq, n AS n_nodes, round(sum(coalesce(score, 0)) / n, 10) AS mean_score FROM pnodes LEFT JOIN rel USING (context, nid) GROUP BY qid, nodes, etypes, n)) WHERE rank <= 20""",
+        "paths_from_by_mean_relevance": """SELECT qid, path, seq, n_nodes, mean_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean_score DESC, n_nodes, path, seq) AS rank FROM (
+            SELECT qid, target || '-' || a.dst AS path, a.etype::VARCHAR AS seq, 2 AS n_nodes, round((coalesce(r0.score, 0) + coalesce(r1.score, 0)) / 2, 10) AS mean_score FROM q JOIN edges a ON a.src = target
+            LEFT JOIN rel r0 ON r0.context = q.context AND r0.nid = target LEFT JOIN rel r1 ON r1.context = q.context AND r1.nid = a.dst
+            UNION ALL SELECT qid, target || '-' || a.dst || '-' || b.dst, a.etype || '-' || b.etype, 3, round((coalesce(r0.score, 0) + coalesce(r1.score, 0) + coalesce(r2.score, 0)) / 3, 10) FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst
+            LEFT JOIN rel r0 ON r0.context = q.context AND r0.nid = target LEFT JOIN rel r1 ON r1.context = q.context AND r1.nid = a.dst LEFT JOIN rel r2 ON r2.context = q.context AND r2.nid = b.dst WHERE b.dst <> target)) WHERE rank <= 100""",
         "reverse_index_2hop": f"""SELECT qid, nid, etypes, round(round(max(s), 12), 10) AS score FROM (
             SELECT qid, b.dst AS nid, xor(b.etype, 1)::VARCHAR AS etypes, least(r0.score * {DECAYS[1]!r}, r1.score) AS s FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst WHERE b.dst NOT IN (target, q.context)
             UNION ALL SELECT qid, a.dst, xor(a.etype, 1) || '-' || xor(b.etype, 1), least(least(r0.score * {DECAYS[1]!r}, r1.score) * {DECAYS[1]!r}, r2.score) FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst
@@ -249,6 +254,10 @@ ORACLE_SQL: dict[str, str] = {
         "peer_set_dedup": f"SELECT qid, n_peers, count(*) AS n_patterns, min(pattern) AS first_pattern FROM ({_SETS.format(p='th')}) GROUP BY qid, set_id, n_peers",
         "peer_jaccard": """SELECT * FROM (SELECT x.qid, x.pattern AS a, y.pattern AS b, round(1 - count(*) / (any_value(sx.n_peers) + any_value(sy.n_peers) - count(*)), 10) AS distance FROM th_peers x JOIN th_peers y ON x.qid = y.qid AND x.nid = y.nid AND x.pattern < y.pattern
             JOIN th_size sx ON sx.qid = x.qid AND sx.pattern = x.pattern JOIN th_size sy ON sy.qid = y.qid AND sy.pattern = y.pattern GROUP BY x.qid, x.pattern, y.pattern) WHERE distance < 0.1""",
+        "merged_peer_sets": """SELECT qid, pattern, min(o) AS merged FROM (WITH RECURSIVE close AS (SELECT x.qid, x.pattern AS a, y.pattern AS b FROM th_peers x JOIN th_peers y ON x.qid = y.qid AND x.nid = y.nid AND x.pattern <> y.pattern
+            JOIN th_size sx ON sx.qid = x.qid AND sx.pattern = x.pattern JOIN th_size sy ON sy.qid = y.qid AND sy.pattern = y.pattern GROUP BY x.qid, x.pattern, y.pattern
+            HAVING round(1 - count(*) / (any_value(sx.n_peers) + any_value(sy.n_peers) - count(*)), 10) < 0.1),
+            reach AS (SELECT qid, pattern, pattern AS o FROM th_size UNION SELECT r.qid, r.pattern, c.b FROM reach r JOIN close c ON c.qid = r.qid AND c.a = r.o) SELECT * FROM reach) GROUP BY qid, pattern""",
         "attribute_eligibility_peer": "SELECT qid, pattern, etype, n_have, n_peers FROM bi_elig",
         "attribute_eligibility_global": "SELECT s.qid, s.pattern, a.etype, n_have, n_peers FROM bi_size s JOIN asked a USING (qid) JOIN (SELECT etype, count(DISTINCT src) AS n_have FROM edges GROUP BY etype) g ON g.etype = a.etype WHERE n_have >= 0.9 * n_peers",
         "value_frequency": "SELECT qid, pattern, etype, value, count(*) AS n_values, sum(f)::BIGINT AS population, max(f) AS most FROM bi_freq GROUP BY qid, pattern, etype, value",

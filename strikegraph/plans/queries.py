@@ -85,6 +85,10 @@ def paths_by_mean_relevance(kg, q):
     return paths.paths_by_mean_relevance(_between(kg, q, "bidirectional"), _rel(kg, q), 20)
 
 
+def paths_from_by_mean_relevance(kg, q):
+    return paths.paths_by_mean_relevance(paths.paths_from(kg, q, 2), _rel(kg, q), 100)
+
+
 def path_scores(kg, q):
     scored = paths.path_scores(_between(kg, q, "bidirectional"), _rel(kg, q))
     return _text(scored.select("qid", "nodes", "etypes", rounded("path_score", 10).alias("path_score")), "nodes", "etypes")
@@ -150,6 +154,11 @@ def peer_jaccard(kg, q):
     return patterns.peer_jaccard(members.transform(kept), 0.1)
 
 
+def merged_peer_sets(kg, q):
+    _, _, _, members = _ranked(kg, q, THRESHOLD)
+    return patterns.merged_peer_sets(members.transform(kept), 0.1)
+
+
 def _facts(kg, q, config=BIDIRECTIONAL):
     live, rel, best, members = _ranked(kg, q, config)
     sets, once = patterns.distinct_peer_sets(members.transform(kept))
@@ -330,6 +339,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "one_hop_expand": one_hop_expand,
         "simple_paths": simple_paths,
         "paths_by_mean_relevance": paths_by_mean_relevance,
+        "paths_from_by_mean_relevance": paths_from_by_mean_relevance,
         "bidirectional_paths": between("bidirectional"),
         "reverse_paths": between("reverse"),
         "forward_paths": between("forward"),
@@ -349,6 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "one_hop_facts": one_hop_facts,
         "peer_set_dedup": peer_set_dedup,
         "peer_jaccard": peer_jaccard,
+        "merged_peer_sets": merged_peer_sets,
         "attribute_eligibility_peer": eligibility(facts.eligible_by_peers, 0.8),
         "attribute_eligibility_global": eligibility(facts.eligible_globally, 0.9),
         "value_frequency": value_frequency,

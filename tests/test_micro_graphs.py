@@ -161,6 +161,14 @@ def test_equal_peers_are_scored_once(spark):
     assert rows(patterns.peer_jaccard(members, 0.6)) == [(1, "a", "b", 0.0), (1, "a", "c", 0.5), (1, "b", "c", 0.5)]
 
 
+def test_close_peer_sets_are_merged_along_chains(spark):
+    sizes = {"d": range(0, 20), "c": range(0, 21), "b": range(0, 22), "a": range(0, 23), "e": range(0, 20), "far": range(100, 120)}
+    members = spark.createDataFrame([(q, p, n) for q in (1, 2) for p, ns in sizes.items() for n in ns if (q, p) != (2, "b")], "qid int, pattern string, nid long")
+    got = rows(patterns.merged_peer_sets(members, 0.05))
+    assert got == [(1, p, "far" if p == "far" else "a") for p in sorted(sizes)] + [(2, "a", "a"), (2, "c", "c"), (2, "d", "c"), (2, "e", "c"), (2, "far", "far")]
+    assert rows(patterns.merged_peer_sets(members.limit(0))) == []
+
+
 def test_columns(spark):
     row = spark.createDataFrame([([1, 2, 3], [0, 3], ["a", "b", "c"])], "n array<long>, e array<int>, l array<string>").select(
         columns.reverse_etypes("e"), columns.signature("n"), columns.interleave("l", "e"), columns.is_simple("n"), columns.parse_signature(F.lit("4-5")), columns.unpack_edge(columns.pack_edge(F.lit(7), F.lit(9)))[0],
