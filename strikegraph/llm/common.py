@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.sources.shared import release, shared_dir
+from strikegraph.sources.shared import shared_dir
 
 
 def write_shared(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -56,8 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs), as ``(node, root)`` with the smallest node as root.
 
     Alternates large-star and small-star steps until the edge table no longer changes; every step is
-    a partial aggregate and an equi-join, and its result is a written table; the tables of a step go once the
-    next one is written. Nodes without an edge to another node do not appear.
+    a partial aggregate and an equi-join, and its result is a written table. Nodes without an edge
+    to another node do not appear.
     """
     e = write_shared(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc")
     mark = _marks(e)
@@ -67,9 +67,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = write_shared(e.join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "cc-large")
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s")).select(F.col("s.m").alias("u"), F.col("s.u").alias("v")).where("u <> v")
-        last, e = e, write_shared(star.distinct(), "cc")
+        e = write_shared(star.distinct(), "cc")
         before, mark = mark, _marks(e)
-        release(last, large)
         if before == mark:
             break
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
