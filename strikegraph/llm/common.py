@@ -43,6 +43,15 @@ def rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in schema], schema=schema)
 
 
+def picked(df: DataFrame, **kinds: str) -> DataFrame:
+    """The columns of these exact names, cast; other columns may have any names, dots and names that differ in case included."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    missing = [name for name in kinds if name not in df.columns]
+    if missing:
+        raise ValueError(f"no column {missing[0]}")
+    return plain.select(*(F.col(f"c{df.columns.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()))
+
+
 def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A row number that is unique, not dense; write the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff, decontam, langid, mixing, pii, quality, secrets, simhash, tokens, topk
+from . import backoff, decontam, divergence, langid, line_dedup, mixing, pii, quality, secrets, simhash, tokens, topk, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +67,20 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = line_dedup.drop_lines(docs, line_dedup.index(docs, min_chars=40, min_docs=5))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_mixture": op1_language_mixture,
     "op2_exact_top_k": op2_exact_top_k,
@@ -78,10 +92,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_whiten": op11_whiten,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": topk.TOP_K_SQL,
     "op9_stupid_backoff": backoff.SCORE_SQL,
     "op10_poisson_mix": mixing.MIX_SQL,
+    "op12_line_dedup": line_dedup.LINES_SQL,
+    "op13_source_divergence": divergence.AUDIT_SQL,
 }
