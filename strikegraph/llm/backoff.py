@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, write_shared
+from .common import picked, rows_of, write_shared
 
 #: Factor of each step to a shorter context, and the count of a word that was never seen.
 BACKOFF, UNSEEN = 0.4, 0.5
@@ -94,12 +94,12 @@ def _post_task(order: int, bits: int):
     return run
 
 
-def _text(docs: DataFrame) -> Column:
-    return F.col("text").cast("string")
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def _bytes(docs: DataFrame) -> int:
-    return docs.agg(F.sum(F.octet_length(_text(docs)))).first()[0] or 0
+def _slim(docs: DataFrame) -> DataFrame:
+    return picked(docs, doc_id="long", text="string")
 
 
 def _bits(size: int, order: int) -> int:
@@ -112,8 +112,8 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
     The place of a row in its input takes part, so that equal rows spread; both uses of the result read one exchange.
     """
     chunks = max(1, -(-size // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long"), _text(docs).alias("text"), chunk.alias("chunk")).repartition("chunk")
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    return docs.select("doc_id", "text", chunk.alias("chunk")).repartition("chunk")
 
 
 def posted(rows: DataFrame, order: int, bits: int) -> DataFrame:
@@ -142,9 +142,10 @@ class NgramCounts:
 
 def count(docs: DataFrame, order: int = 2) -> NgramCounts:
     """Counts all n-grams of 1 to ``order`` words in all of ``docs(text)``; null texts have none."""
+    docs = picked(docs, text="string").withColumn("doc_id", F.lit(None).cast("long"))
     size = _bytes(docs)
     bits = _bits(size, order)
-    each = posted(chunked(docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None)), size), order, bits)
+    each = posted(chunked(docs, size), order, bits)
     table = write_shared(each.groupBy("range", "gram").agg(F.sum("n").alias("n")), "ngram-counts")
     words = table.where(F.col("range") == WORDS).agg(F.sum("n")).first()[0]
     return NgramCounts(table.where(F.col("range") != WORDS), order, bits, words or 0)
@@ -209,6 +210,7 @@ def score(docs: DataFrame, model: NgramCounts, leave_out: bool = False) -> DataF
     the corpus. ``n_backoff`` counts the words that backed off. A null, empty or blank text has no words and score
     0. Repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
+    docs = _slim(docs)
     rows = chunked(docs, _bytes(docs))
     asked = posted(rows, model.order, model.bits).drop("n")
     known = model.table.where(F.col("range") != WORDS).withColumnRenamed("n", "total")
@@ -221,6 +223,7 @@ def score_corpus(docs: DataFrame, order: int = 2) -> DataFrame:
 
     The chunks' posts are the count table's rows and the questions to it at once, so they move once.
     """
+    docs = _slim(docs)
     size = _bytes(docs)
     rows = chunked(docs, size)
     each = posted(rows, order, _bits(size, order))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikegraph.sources.shared import shared_dir
@@ -45,11 +45,19 @@ def rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 def picked(df: DataFrame, **kinds: str) -> DataFrame:
     """The columns of these exact names, cast; other columns may have any names, dots and names that differ in case included."""
-    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    missing = [name for name in kinds if name not in df.columns]
-    if missing:
-        raise ValueError(f"no column {missing[0]}")
-    return plain.select(*(F.col(f"c{df.columns.index(name)}").cast(kind).alias(name) for name, kind in kinds.items()))
+    return plain(df).select(*(placed(df, name).cast(kind).alias(name) for name, kind in kinds.items()))
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``c0``, ``c1``, ... by place, for operators that carry all columns and add some."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def placed(df: DataFrame, name: str) -> Column:
+    """The column of ``plain(df)`` that is named exactly so in ``df``."""
+    if name not in df.columns:
+        raise ValueError(f"no column {name}")
+    return F.col(f"c{df.columns.index(name)}")
 
 
 def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices
+from .common import picked, plain, rows_of, slices
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -174,7 +174,7 @@ def _task(held, error_rate: float, schema: pa.Schema):
 
 def passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items ``(item_id, text)`` in lists of at most about ``PASS_CHARS`` characters, one item at least; nulls left out."""
-    rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").orderBy("item_id")
+    rows = picked(items, item_id="long", text="string").where("item_id is not null and text is not null").orderBy("item_id")
     held, size = [], 0
     for r in rows.toLocalIterator():
         if held and size + len(r["text"]) > PASS_CHARS:
@@ -186,7 +186,7 @@ def passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def _with_found(docs: DataFrame, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
+def _with_found(docs: DataFrame, text: str, items: list[tuple[int, str]], error_rate: float) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
@@ -194,7 +194,7 @@ def _with_found(docs: DataFrame, items: list[tuple[int, str]], error_rate: float
     out = StructType([*docs.schema.fields]).add("_text", "string").add("_found", found)
     slim = StructType([f for f in out.fields if f.name != "_text"])
     held = docs.sparkSession.sparkContext.broadcast(items)
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_task(held, error_rate, to_arrow_schema(slim)), slim)
+    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(_task(held, error_rate, to_arrow_schema(slim)), slim)
 
 
 def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
@@ -206,16 +206,16 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -
     repeated matches; an empty table gives no rows; other columns are not read.
     """
     out = None
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    slim = picked(docs, doc_id="long", text="string")
     for block in passes(items):
-        part = _with_found(slim, block, error_rate).select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.item_id", "f.distance")
+        part = _with_found(slim, "text", block, error_rate).select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.item_id", "f.distance")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
 
 
 def clean(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item; a column ``_found`` of ``docs`` is dropped."""
-    out = docs.drop("_found", "_text")
+    """The rows of ``docs`` that hold no item, with all columns, whatever their names."""
+    out, at = plain(docs), f"c{docs.columns.index('text')}"
     for block in passes(items):
-        out = _with_found(out, block, error_rate).where(F.size("_found") == 0).drop("_found")
-    return out
+        out = _with_found(out, at, block, error_rate).where(F.size("_found") == 0).drop("_found")
+    return out.toDF(*docs.columns)

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import placed, plain, write_shared
 
 #: The largest mean that is inverted at once; a larger one is the sum of independent draws.
 MEAN = 8.0
 #: Table length for means up to MEAN: what lies beyond has a probability below 1e-30.
 TABLE = 64
+#: The columns that a mixture has besides those of the documents.
+ADDED = ("replica", "n_copies", "shuffle_key")
 #: So many equal rows are numbered in one task.
 EQUAL = 10_000
 
@@ -33,7 +35,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     them a source weighs its number of documents to the power ``1 / temperature``. ``total``: the expected
     size of the mixture, by default the number of documents.
     """
-    counts = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
+    counts = plain(docs).groupBy(placed(docs, "source").alias("source")).agg(F.count("*").alias("n_docs"))
     if weights is None:
         weight = F.sqrt("n_docs") if temperature == 2.0 else F.pow("n_docs", F.lit(1.0 / temperature))
     else:
@@ -49,29 +51,28 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     return counts.select("source", "n_docs", rate.alias("rate"))
 
 
-def seeded(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_seed``, a string of its own for each row: the id, if no other row has it.
+def seeded(docs: DataFrame, key: str) -> DataFrame:
+    """``docs``, whose columns have plain names, with ``_seed``, a string of its own for each row: its ``key``, if no other row has it.
 
     Where an id is null or repeats, a hash of the whole row and a number among equal rows follow. Equal rows are
     counted, not gathered, and then dealt out again in runs of ``EQUAL``.
     """
-    doc_id = F.col("doc_id").cast("string")
-    again = write_shared(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "mix-repeated")
-    repeats, nulls = not again.isEmpty(), not docs.where("doc_id is null").isEmpty()
-    plain = docs.join(again, "doc_id", "left_anti").select(docs.columns) if repeats else docs
-    plain = (plain.where("doc_id is not null") if nulls else plain).withColumn("_seed", doc_id)
+    doc_id, cols = F.col(key).cast("string"), docs.columns
+    again = write_shared(docs.where(f"{key} is not null").groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "mix-repeated")
+    repeats, nulls = not again.isEmpty(), not docs.where(f"{key} is null").isEmpty()
+    own = docs.join(again, key, "left_anti").select(cols) if repeats else docs
+    own = (own.where(f"{key} is not null") if nulls else own).withColumn("_seed", doc_id)
     if not repeats and not nulls:
-        return plain
-    odd = docs.where("doc_id is null")
+        return own
+    odd = docs.where(f"{key} is null")
     if repeats:
-        odd = odd.unionByName(docs.join(again, "doc_id", "left_semi").select(docs.columns))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    counted = odd.withColumn("_h", F.md5(F.to_json(F.struct(*cols)))).groupBy("_h").agg(F.count("*").alias("_n"), *(F.first(c).alias(name) for c, name in zip(cols, docs.columns)))
+        odd = odd.unionByName(docs.join(again, key, "left_semi").select(cols))
+    counted = odd.withColumn("_h", F.md5(F.to_json(F.struct(*cols)))).groupBy("_h").agg(F.count("*").alias("_n"), *(F.first(c).alias(c) for c in cols))
     runs = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EQUAL).cast("int"))).alias("_run"))
     first = F.col("_run").cast("long") * EQUAL
     each = runs.repartition("_h", "_run").select("*", F.explode(F.sequence(first + 1, F.least(F.col("_n"), first + EQUAL))).alias("_k"))
     seed = F.concat_ws(":", F.coalesce(doc_id, F.lit("null")), "_h", F.col("_k").cast("string"))
-    return plain.unionByName(each.select(*cols, seed.alias("_seed")))
+    return own.unionByName(each.select(*cols, seed.alias("_seed")))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1, temperature: float = 2.0) -> DataFrame:
@@ -83,7 +84,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     and empty texts are rows like others. An empty table gives an empty mixture. Columns of ``docs`` named
     ``replica``, ``n_copies`` or ``shuffle_key`` are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("replica", "n_copies", "shuffle_key")]
+    keep = [i for i, c in enumerate(docs.columns) if c not in ADDED]
+    return _mixed(docs, weights, total, seed, temperature).select(*(f"c{i}" for i in keep), *ADDED).toDF(*(docs.columns[i] for i in keep), *ADDED)
+
+
+def mixture(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1, temperature: float = 2.0) -> DataFrame:
+    """``mix`` with the columns of ``docs`` only, whatever their names."""
+    return _mixed(docs, weights, total, seed, temperature).drop(*ADDED).toDF(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: dict[str | None, float] | None, total: int | None, seed: int, temperature: float) -> DataFrame:
+    """``plain(docs)`` and ``ADDED`` of every copy, in the order of ``shuffle_key`` within partitions."""
+    rows, key, source = plain(docs), f"c{docs.columns.index('doc_id')}", placed(docs, "source")
     rate = rates(docs, weights, total, temperature)
     draws = F.greatest(F.ceil(F.col("rate") / MEAN), F.lit(1))
     mean = F.col("rate") / draws
@@ -93,10 +105,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     table = write_shared(rate.where("rate > 0").select(F.col("source").alias("_source"), draws.cast("int").alias("_draws"), sums["all"].alias("_cdf")), "mix-rates")
     draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col("_seed"), j.cast("string"))))
     n = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda a, j: a + draw(j))
-    drawn = seeded(docs.select(keep)).join(table, F.col("source").eqNullSafe(F.col("_source"))).withColumn("n_copies", n).where("n_copies > 0")
-    copies = drawn.select(*keep, "_seed", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("replica"))
+    drawn = seeded(rows, key).join(table, source.eqNullSafe(F.col("_source"))).withColumn("n_copies", n).where("n_copies > 0")
+    copies = drawn.select(*rows.columns, "_seed", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("replica"))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "_seed", F.col("replica").cast("string"))), 1, 15), 16, 10).cast("long"))
-    return keyed.select(*keep, "replica", "n_copies", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.select(*rows.columns, *ADDED).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def _log_factorial(k: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices
+from .common import picked, rows_of, slices
 from .spans import Cover, Span, digest, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -315,7 +315,7 @@ def _region_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, train_regions: int = TRAIN_REGIONS) -> np.ndarray:
     """Weights from the base spans of at most ``train_regions`` distinct regions of ``docs(doc_id, text)``, those of the smallest hashes."""
-    hot = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    hot = picked(docs, text="string").where(F.col("text").rlike("[0-9@]"))
     rows = hot.mapInArrow(_region_task, "region string, kinds array<string>, starts array<int>, stops array<int>").where(F.length("region") <= TRAIN_CHARS)
     # A region may stand in texts that cut its spans in several ways: the way of most spans counts, then the first in order.
     way = F.struct(-F.size("kinds"), "kinds", "starts", "stops")
@@ -351,4 +351,4 @@ def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     text is empty; repeated rows and null ids stay; an empty table gives no rows; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_find_task(held), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return picked(docs, doc_id="long", text="string").mapInArrow(_find_task(held), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices, write_shared
+from .common import picked, placed, plain, rows_of, slices, write_shared
 
 #: The scorer is fitted on the posteriors of so many documents at most, drawn by a hash.
 TRAIN_ROWS = 8192
@@ -172,7 +172,7 @@ def _vote_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     """Fits the labellers on the votes over all documents, and the scorer on ``train_rows`` of them at most."""
     n = docs.count()
-    text = docs.select(F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("order"))
+    text = picked(docs, doc_id="string", text="string").select("text", F.xxhash64("doc_id", "text").alias("order"))
     share = min(1.0, 1.1 * train_rows / max(1, n))
     marked = text.withColumn("drawn", F.pmod("order", F.lit(1 << 30)) < int(share * (1 << 30)))
     voted = write_shared(marked.mapInArrow(_vote_task, "votes long, order long, features binary"), "quality-votes")
@@ -188,6 +188,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> QualityModel:
     return QualityModel(patterns, posterior, table, weights)
 
 
+ADDED = ("quality", "weak_good", "keep")
 
 
 def _score_task(held, schema: pa.Schema):
@@ -203,24 +204,35 @@ def _score_task(held, schema: pa.Schema):
                 weak = np.where(model.patterns[at] == code, model.posterior[at], 0.5)
             else:
                 weak = np.full(len(code), 0.5)
-            yield rows_of(schema, **{f.name: part.column(f.name) for f in schema if f.name not in ("quality", "weak_good", "keep")}, quality=score, weak_good=weak, keep=score >= 0.5)
+            yield rows_of(schema, **{f.name: part.column(f.name) for f in schema if f.name not in ADDED}, quality=score, weak_good=weak, keep=score >= 0.5)
 
     return run
 
 
+def _scored(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """``plain(docs)`` with the three columns of ``score``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    rest = plain(docs)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    out = StructType([*rest.schema.fields]).add("quality", "double").add("weak_good", "double").add("keep", "boolean")
+    return rest.withColumn("_text", placed(docs, "text").cast("string")).mapInArrow(_score_task(held, to_arrow_schema(out)), out)
+
+
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The columns of ``docs`` with ``quality`` (0 to 1), ``weak_good`` (the labellers' posterior) and ``keep`` (quality of 0.5 or more).
 
     A text that is null, empty or blank has quality 0 and is not kept. Repeated rows and null ids stay; an
     empty table gives no rows; columns of ``docs`` with those three names are replaced.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    scored = _scored(docs, model).select(*(f"c{i}" for i, c in enumerate(docs.columns) if c not in ADDED), *ADDED)
+    return scored.toDF(*(c for c in docs.columns if c not in ADDED), *ADDED)
 
-    rest = docs.drop("quality", "weak_good", "keep")
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    out = StructType([*rest.schema.fields]).add("quality", "double").add("weak_good", "double").add("keep", "boolean")
-    return rest.withColumn("_text", F.col("text").cast("string")).mapInArrow(_score_task(held, to_arrow_schema(out)), out)
+
+def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all columns, whatever their names."""
+    return _scored(docs, train(docs, train_rows)).where("keep").drop(*ADDED).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, rows_of, slices, write_shared
+from .common import numbered, placed, plain, rows_of, slices, write_shared
 from .spans import Cover, Span, digest
 
 #: The base kinds in their order, then the kind that the method adds.
@@ -97,6 +97,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return every.join(count("repo"), "value_hash", "left").join(count("owner"), "value_hash", "left").select("value_hash", F.coalesce("n_repos", F.lit(0)).alias("n_repos"), F.coalesce("n_owners", F.lit(0)).alias("n_owners"))
 
 
+def _named(docs: DataFrame, repo: str, owner: str) -> DataFrame:
+    kinds = {"doc_id": ("doc_id", "long"), "repo": (repo, "string"), "owner": (owner, "string"), "text": ("text", "string")}
+    return plain(docs).select(*(placed(docs, name).cast(kind).alias(out) for out, (name, kind) in kinds.items()))
+
+
 def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_repos, n_owners``.
 
@@ -110,7 +115,7 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", copied_ow
         [("_rid", pa.int64()), ("doc_id", pa.int64()), ("repo", pa.string()), ("owner", pa.string()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string())]
         + [("candidates", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value_hash", pa.int64()), ("live_looking", pa.bool_())])))]
     )
-    rows = numbered(docs.select(F.col("doc_id").cast("long"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col("text").cast("string")))
+    rows = numbered(_named(docs, repo, owner))
     found = write_shared(rows.mapInArrow(_scan_task(schema), _SCHEMA), "secrets-scan")
     each = write_shared(found.select("_rid", "repo", "owner", F.explode("candidates").alias("c")).select("_rid", "repo", "owner", "c.*"), "secrets-candidates")
     owned = write_shared(ownership(each), "secrets-ownership")

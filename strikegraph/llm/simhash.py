@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, rows_of, slices, write_shared
+from .common import connected_components, picked, rows_of, slices, write_shared
 
 #: Lists of up to so many fingerprints are compared pair by pair; longer ones go another, equally exact way.
 PAIRWISE = 64
@@ -85,7 +85,7 @@ def _fingerprint_task(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``(doc_id, fp)`` for every row: the 64-bit SimHash of all its word shingles, repeats included."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_task(words), "doc_id long, fp long")
+    return picked(docs, doc_id="long", text="string").mapInArrow(_fingerprint_task(words), "doc_id long, fp long")
 
 
 def _group(fp: str, g: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_of, shared_dir, slices
+from .common import picked, rows_of, shared_dir, slices
 
 #: A shard is closed once it has so many ids; documents are not split.
 SHARD_IDS = 1 << 20
@@ -241,7 +241,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     Null ids come first; rows that share an id are ordered by a hash of the text and otherwise as they come.
     A null text is empty; an empty text still has its end id. An empty table gives a table without shards.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    rows = picked(docs, doc_id="long", text="string").withColumn("tie", F.xxhash64("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     shards = parts.mapInArrow(_write_task(tokenizer_path, end_id), "part int, shard int, start long, n_ids long, doc_ids array<long>, doc_sizes array<long>, codes binary")
