@@ -259,7 +259,8 @@ def drop_lines(docs: DataFrame, lines: LineIndex) -> DataFrame:
     cold = _posts(rows, lines.min_chars).mapInArrow(_cold_task(held), "rid long, doc_id long, h long, f long").select("rid", "h", "f", lines.shard().alias("shard"))
     hits = cold.groupBy("shard").cogroup(lines.table.groupBy("shard")).applyInArrow(_probe_task, "rid long, h long, f long, last long")
     answers = write_shared(hits.groupBy("rid").agg(F.collect_set(F.struct("h", "f", "last")).alias("hits")), "line-hits")
-    asked = rows.join(answers, "rid", "left").select("doc_id", "text", "hits")
+    # The same join at every size: whether answers would fit a broadcast depends on the corpus.
+    asked = rows.join(answers.hint("merge"), "rid", "left").select("doc_id", "text", "hits")
     out = asked.mapInArrow(_drop_task(held, lines.min_chars), "doc_id long, text binary, n_lines long, n_dropped long")
     return out.withColumn("text", F.col("text").cast("string"))
 
