@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.sources.shared import shared_dir
+from strikegraph.sources.shared import release, shared_dir
 
 
 def write_shared(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs), as ``(node, root)`` with the smallest node as root.
 
     Alternates large-star and small-star steps until the edge table no longer changes; every step is
-    a partial aggregate and an equi-join, and its result is a written table. Nodes without an edge
+    a partial aggregate and an equi-join, and its result is a written table; a step's tables are deleted once the next is written. Nodes without an edge
     to another node do not appear.
     """
     e = write_shared(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc")
@@ -82,9 +82,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = write_shared(e.join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "cc-large")
+        release(e)
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         star = large.join(low, "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("s")).select(F.col("s.m").alias("u"), F.col("s.u").alias("v")).where("u <> v")
         e = write_shared(star.distinct(), "cc")
+        release(large)
         before, mark = mark, _marks(e)
         if before == mark:
             break
