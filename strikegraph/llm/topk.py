@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import numbered, write_shared
 
-#: Rows of a tile's two sides. With 64 components a tile's operands take 10 MB, its block of scores 8 MB.
-SHARD, BLOCK, STRIP = 16384, 2048, 512
+#: Rows of a tile's two sides, and queries scored at once. With 64 components a tile's operands take 25 MB, a block of scores 32 MB.
+SHARD, BLOCK, STRIP = 16384, 32768, 256
 #: Partial lists that one merge step joins.
 FAN_IN = 32
 

@@ -51,12 +51,41 @@ def test_many_languages_make_a_coarser_model(spark):
     assert langid.identify(docs).count() == 600
 
 
+def test_a_thousand_languages_in_bounded_memory():
+    """Languages of letters with frequencies of their own: whole texts and a mixture are told apart, and memory doesn't follow words times languages."""
+    import resource
+
+    rng = np.random.default_rng(5)
+    model = langid.LanguageModel([f"l{i:04d}" for i in range(1000)], np.log(rng.dirichlet(np.full(langid.buckets(1000), 0.05), 1000).T + 1e-9).astype(np.float32))
+
+    def text(lang, letters):
+        bucket = rng.choice(len(model.log_p), letters, p=np.exp(model.log_p[:, lang].astype(float)) / np.exp(model.log_p[:, lang].astype(float)).sum())
+        return bucket.astype(np.int32)
+
+    parts = [text(7, 400), text(903, 400), np.concatenate([text(7, 300), text(500, 300)]), text(3, 300_000)]
+    bucket, sizes = np.concatenate(parts), [len(p) for p in parts]
+    first = np.arange(0, len(bucket), 5)
+    doc = np.searchsorted(np.cumsum(sizes), first, side="right")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pi, langs, size = langid.infer(model.log_p, bucket, first, doc, 4)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+    assert [langs[i][pi[i].argmax()] for i in (0, 1, 3)] == [7, 903, 3] and size.tolist()[:3] == [1, 1, 2] and size[3] == 1
+    assert {int(langs[2][j]): round(float(pi[2][j]), 1) for j in np.flatnonzero(pi[2] > 0.01)} == {7: 0.5, 500: 0.5}
+
+
+def test_rare_labels_teach_nothing(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, f"w{i} word", f"l{i % 3 if i < 20 else 0}", "s", None) for i in range(30)], DOCS)
+    assert langid.train(docs).languages == ["l0", "l1"]
+
+
 def test_em_matches_plain_em():
     rng = np.random.default_rng(0)
     like = rng.random((50, 3))
     n = np.array([20, 30])
-    pi, log_l = langid._mixture(like, np.array([0, 20]), n, np.full((2, 3), 1 / 3), 7)
-    for d, rows in enumerate((like[:20], like[20:])):
+    times = rng.integers(1, 4, 50)
+    pi, log_l = langid._mixture(like, times, np.array([0, 20]), n, np.full((2, 3), 1 / 3), 7)
+    for d, rows in enumerate((np.repeat(like[:20], times[:20], axis=0), np.repeat(like[20:], times[20:], axis=0))):
         p = np.full(3, 1 / 3)
         for _ in range(7):
             r = rows * p
