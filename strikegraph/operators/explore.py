@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strikegraph.functions.columns import signature
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.operators.relevance import ranked
-from strikegraph.sources.shared import kept
+from strikegraph.sources.shared import bucketed, kept
 
 KEY = ["source", "etypes"]
 
@@ -28,15 +28,23 @@ def pattern_probability(kg: KnowledgeGraph, sources: DataFrame, hops: int, forwa
 
     ``forward`` sums over walks the shares taken at each step from the source, ``backward`` those from the node back to the
     source; ``score`` is their mean. Walks do not return to the node they came from.
+
+    The last hop goes on from sums by node, not by node and predecessor, and takes off what would return: behind a hub, each edge
+    is followed once for a sequence, not once for each way to the hub.
     """
-    edges = spread_edges(kg, forward_only).transform(kept)
+    edges = kg.once(("spread", forward_only), lambda: bucketed(spread_edges(kg, forward_only), "src"))
     state = sources.select("source", F.array().cast("array<int>").alias("etypes"), F.lit(None).cast("long").alias("came"), F.col("source").alias("src"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"))
     out = []
-    for _ in range(hops):
+    for _ in range(hops - 1):
         step = state.join(edges, "src").where("came is null or dst <> came")
         state = step.select("source", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("src").alias("came"), F.col("dst").alias("src"), (F.col("f") * F.col("spread")).alias("f"), (F.col("b") * F.col("back")).alias("b"))
-        state = state.groupBy(*KEY, "came", "src").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+        state = state.groupBy(*KEY, "came", "src").agg(F.sum("f").alias("f"), F.sum("b").alias("b")).transform(kept)
         out.append(state.groupBy(*KEY, F.col("src").alias("nid")).agg(F.sum("f").alias("f"), F.sum("b").alias("b")))
+    walked = lambda step, sign: step.select("source", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("dst").alias("nid"), (F.col("f") * F.col("spread") * sign).alias("f"), (F.col("b") * F.col("back") * sign).alias("b"), (F.col("n") * sign).alias("n"))
+    sums = state.groupBy(*KEY, "src").agg(F.sum("f").alias("f"), F.sum("b").alias("b"), F.count("*").alias("n"))
+    back = state.withColumn("n", F.lit(1).cast("long")).join(edges.withColumn("came", F.col("dst")), ["src", "came"])
+    last = walked(sums.join(edges, "src"), 1).unionByName(walked(back, -1)).groupBy(*KEY, "nid").agg(F.sum("f").alias("f"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    out.append(last.where("n > 0").drop("n"))
     return reduce(DataFrame.unionByName, out).select(*KEY, "nid", F.round("f", 10).alias("forward"), F.round("b", 10).alias("backward"), F.round((F.col("f") + F.col("b")) / 2, 10).alias("score"))
 
 

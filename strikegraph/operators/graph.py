@@ -6,7 +6,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from strikegraph.sources.shared import kept
+from strikegraph.sources.shared import bucketed, kept
+
+#: A node with more edges is a hub, whose edges are dealt in slices of about so many.
+SLICE_EDGES = 10_000
+#: There are at most so many hubs: in larger graphs slices are larger.
+HUBS = 1 << 14
 
 
 @dataclass
@@ -30,7 +35,12 @@ class KnowledgeGraph:
         return self.once("first values", lambda: first_values(self.edges).repartition("src").transform(kept))
 
     def cached(self) -> KnowledgeGraph:
-        return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types, self.edges)))
+        """The same graph as written tables, the edges in buckets of their source."""
+        return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types)), bucketed(self.edges, "src"))
+
+    def moves(self) -> tuple[DataFrame, DataFrame]:
+        """``(src, slice, dst, w)``, the steps of a random walk with their probabilities in buckets of ``src, slice``, and ``(src, slices)`` of the hubs."""
+        return self.once("moves", lambda: sliced_moves(self.edges))
 
 
 def both_directions(forward: DataFrame) -> DataFrame:
@@ -48,8 +58,8 @@ def from_triples(triples: DataFrame, types: DataFrame) -> KnowledgeGraph:
     but no edge; types of nodes without an edge are dropped.
     """
     iris = triples.select(F.explode(F.array("src_iri", "dst_iri")).alias("iri")).where("iri is not null").distinct()
-    nodes = _ranked(iris, "iri", "nid")
-    labels = _ranked(triples.select("label").where("label is not null").distinct(), "label", "n").select((2 * F.col("n")).cast("int").alias("etype"), F.col("label").alias("name"))
+    nodes = dense_places(iris, "iri", "nid")
+    labels = dense_places(triples.select("label").where("label is not null").distinct(), "label", "n").select((2 * F.col("n")).cast("int").alias("etype"), F.col("label").alias("name"))
     ids = lambda side: nodes.select(F.col("nid").alias(side), F.col("iri").alias(f"{side}_iri"))
     forward = triples.join(ids("src"), "src_iri").join(ids("dst"), "dst_iri").join(labels, F.col("label") == F.col("name")).select("src", "etype", "dst")
     edges = both_directions(forward)
@@ -58,7 +68,7 @@ def from_triples(triples: DataFrame, types: DataFrame) -> KnowledgeGraph:
     return KnowledgeGraph(nodes, names, typed, edges)
 
 
-def _ranked(names: DataFrame, column: str, out: str) -> DataFrame:
+def dense_places(names: DataFrame, column: str, out: str) -> DataFrame:
     """Dense places of distinct names in their order: rows are numbered within range partitions, whose sizes are added up."""
     parts = names.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id())
     parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(column))).transform(kept)
@@ -72,6 +82,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("nid")).agg(F.count("*").alias("degree"))
 
 
+def sliced_moves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``KnowledgeGraph.moves`` of ``edges``: a hub's edges lie in slices, so that no bucket holds many more edges than another."""
+    d = degrees(edges).withColumnRenamed("nid", "src").transform(kept)
+    size = max(SLICE_EDGES, (d.agg(F.sum("degree")).first()[0] or 0) // HUBS)
+    hubs = d.where(F.col("degree") > size).select("src", F.ceil(F.col("degree") / size).cast("int").alias("slices")).transform(kept)
+    step = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(d, "src").join(F.broadcast(hubs), "src", "left")
+    slice_ = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int")
+    return bucketed(step.select("src", slice_.alias("slice"), "dst", (F.col("n") / F.col("degree")).alias("w")), "src", "slice"), hubs
+
+
 def spread_ratio(edges: DataFrame) -> DataFrame:
     """``(src, etype, spread)``: one over the number of edges of the type at the source."""
     return edges.groupBy("src", "etype").agg((1.0 / F.count("*")).alias("spread"))

@@ -81,6 +81,28 @@ def paths_from(kg: KnowledgeGraph, queries: DataFrame, hops: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def simple_path_counts(kg: KnowledgeGraph, queries: DataFrame, hops: int) -> DataFrame:
+    """``(qid, etypes, end, n_paths)``: how many simple paths of 1 to ``hops`` edges, 3 at most, lead from the target to an end by each edge-type sequence.
+
+    No path is listed. The last edge is counted by sums over the nodes before it, less the paths that it would lead back to a node
+    of theirs.
+    """
+    if not 1 <= hops <= 3:
+        raise ValueError("simple paths are counted up to three edges")
+    first = queries.select("qid", "target", F.col("target").alias("src")).join(kg.edges, "src").select("qid", "target", F.array("etype").alias("etypes"), F.col("dst").alias("end"))
+    out = [first.groupBy("qid", "etypes", "end").agg(F.count("*").alias("n_paths"))]
+    grown = lambda step, *more: step.select("qid", "target", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("dst").alias("end"), *more)
+    if hops > 1:
+        second = grown(first.withColumnRenamed("end", "src").join(kg.edges, "src").where("dst <> target"), F.col("src").alias("came")).transform(kept)
+        out.append(second.groupBy("qid", "etypes", "end").agg(F.count("*").alias("n_paths")))
+    if hops > 2:
+        sums = second.groupBy("qid", "target", "etypes", F.col("end").alias("src")).agg(F.count("*").alias("n"))
+        ahead = grown(sums.join(kg.edges, "src").where("dst <> target"), "n")
+        back = grown(second.withColumnRenamed("end", "src").join(kg.edges.withColumn("came", F.col("dst")), ["src", "came"]), F.lit(-1).cast("long").alias("n"))
+        out.append(ahead.unionByName(back).groupBy("qid", "etypes", "end").agg(F.sum("n").alias("n_paths")).where("n_paths > 0"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def path_scores(paths: DataFrame, rel: DataFrame, own_score: bool = True, whole: bool = True) -> DataFrame:
     """The paths with ``path_score``: the least of ``score(node) * exp(-position)``, positions from the target.
 

@@ -5,31 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikegraph.operators.graph import KnowledgeGraph, degrees
+from strikegraph.operators.graph import KnowledgeGraph, dense_places
 from strikegraph.sources.shared import kept
 
+#: Contexts whose masses go side by side in a row.
+LANES = 16
+
 
 def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops: int = 8, min_score: float = 1e-6) -> DataFrame:
     """``(context, nid, score)`` of a random walk with restart from each of ``contexts(context)``.
 
     The walk stops with probability ``stop`` at each step, else it goes over one of the node's edges; the score is the
     probability of stopping at a node, summed as a series to ``hops`` steps. Scores under ``min_score`` are left
-    out. All contexts go together; each hop is one join and one aggregate that combines before the shuffle. Each node also
-    passes its sum so far to itself, so no earlier step is read again.
+    out.
+
+    ``LANES`` contexts go side by side, so a row carries the mass of all of them at a node. A hop is one join, which reads the steps
+    in place, for they lie in buckets, and one aggregate that combines before its shuffle. Masses are written hop by hop.
     """
-    d = degrees(kg.edges).select(F.col("nid").alias("src"), "degree")
-    moves = kg.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(d, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("w"))
-    moves = moves.unionByName(d.select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("w"))).transform(kept)
-    state = contexts.select("context").distinct().select("context", F.col("context").alias("nid"), F.lit(1.0).alias("mass"), F.lit(stop).alias("total"))
-    for k in range(1, hops + 1):
-        go = F.col("mass") * F.col("w")
-        step = state.join(moves, F.col("nid") == F.col("src")).select(
-            "context", F.col("dst").alias("nid"), F.coalesce(go, F.lit(0.0)).alias("mass"), F.when(F.col("w").isNull(), F.col("total")).otherwise(go * (stop * (1 - stop) ** k)).alias("total")
-        )
-        state = step.groupBy("context", "nid").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total"))
-        if k % 3 == 0:
-            state = state.transform(kept)  # short plans: adaptive execution plans again after every stage
-    return state.select("context", "nid", F.round("total", 12).alias("score")).where(F.col("score") >= min_score)
+    moves, hubs = kg.moves()
+    once = contexts.select("context").where("context is not null").distinct()
+    lanes = min(LANES, max(1, once.count()))
+    at = dense_places(once, "context", "place").select("context", F.floor(F.col("place") / lanes).alias("block"), F.pmod("place", F.lit(lanes)).cast("int").alias("lane")).transform(kept)
+    m = [f"m{i}" for i in range(lanes)]
+    state = at.groupBy("block", F.col("context").alias("nid")).agg(*(F.sum((F.col("lane") == i).cast("double")).alias(c) for i, c in enumerate(m))).transform(kept)
+    sums = None
+    for k in range(hops + 1):
+        if k:
+            cut = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
+            ready = state.join(F.broadcast(hubs.withColumnRenamed("src", "nid")), "nid", "left").select("block", "nid", cut, *m)
+            step = ready.join(moves, (ready.nid == moves.src) & (ready.slice == moves.slice))
+            state = step.groupBy("block", F.col("dst").alias("nid")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in m)).transform(kept)
+        part = state.select("block", "nid", *((F.col(c) * (stop * (1 - stop) ** k)).alias(c) for c in m))
+        sums = part if sums is None else sums.unionByName(part)
+    total = sums.groupBy("block", "nid").agg(*(F.round(F.sum(c), 12).alias(c) for c in m))
+    each = total.select("block", "nid", F.posexplode(F.array(*m)).alias("lane", "score")).where(F.col("score") >= min_score)
+    return each.join(F.broadcast(at) if lanes < LANES else at, ["block", "lane"]).select("context", "nid", "score")
 
 
 def type_relevance(kg: KnowledgeGraph, rel: DataFrame, queries: DataFrame) -> DataFrame:

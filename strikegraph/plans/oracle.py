@@ -157,8 +157,13 @@ CTES |= {
     "pp": """SELECT qid, target AS source, CAST(etype AS VARCHAR) AS etypes, dst AS nid, sum(spread) AS f, sum(back) AS b FROM q JOIN se ON src = target GROUP BY qid, target, etype, dst
         UNION ALL SELECT qid, target, a.etype || '-' || b.etype, b.dst, sum(a.spread * b.spread), sum(a.back * b.back) FROM q JOIN se a ON a.src = target JOIN se b ON b.src = a.dst WHERE b.dst <> target GROUP BY qid, target, a.etype, b.etype, b.dst""",
     "prob": "SELECT qid, source, etypes, nid, round(f, 10) AS forward, round(b, 10) AS backward, round((f + b) / 2, 10) AS score FROM pp",
+    "pp3": """SELECT * FROM pp UNION ALL SELECT qid, target, a.etype || '-' || b.etype || '-' || c.etype, c.dst, sum(a.spread * b.spread * c.spread), sum(a.back * b.back * c.back)
+        FROM q JOIN se a ON a.src = target JOIN se b ON b.src = a.dst JOIN se c ON c.src = b.dst WHERE b.dst <> target AND c.dst <> a.dst GROUP BY qid, target, a.etype, b.etype, c.etype, c.dst""",
+    "prob3": "SELECT qid, source, etypes, nid, round(f, 10) AS forward, round(b, 10) AS backward, round((f + b) / 2, 10) AS score FROM pp3",
     "sup1": "SELECT etype AS e0, count(DISTINCT dst) AS n FROM edges GROUP BY etype",
     "sup2": "SELECT a.etype AS e0, b.etype AS e1, count(DISTINCT b.dst) AS n FROM (SELECT DISTINCT etype, dst FROM edges) a JOIN edges b ON b.src = a.dst GROUP BY a.etype, b.etype",
+    "sup3": "SELECT e0, e1, c.etype AS e2, count(DISTINCT c.dst) AS n FROM (SELECT DISTINCT a.etype AS e0, b.etype AS e1, b.dst FROM (SELECT DISTINCT etype, dst FROM edges) a JOIN edges b ON b.src = a.dst) ab JOIN edges c ON c.src = ab.dst GROUP BY e0, e1, c.etype",
+    "support3": "SELECT * FROM support UNION ALL SELECT sup3.e0 || '-' || sup3.e1 || '-' || e2, least(sup1.n, sup2.n, sup3.n) FROM sup3 JOIN sup2 USING (e0, e1) JOIN sup1 USING (e0)",
     "support": "SELECT CAST(e0 AS VARCHAR) AS etypes, n AS support FROM sup1 UNION ALL SELECT sup2.e0 || '-' || e1, least(sup1.n, sup2.n) FROM sup2 JOIN sup1 USING (e0)",
 }
 for _p, _least in (("oh", 0), ("bn", 5)):
@@ -225,6 +230,9 @@ ORACLE_SQL: dict[str, str] = {
         "one_hop_expand": "SELECT qid, target || '-' || dst AS nodes, etype::VARCHAR AS etypes FROM q JOIN edges ON src = target WHERE (context, dst) IN (SELECT context, nid FROM inn)",
         "simple_paths": """SELECT qid, e AS etypes, count(*) AS n_paths, count(DISTINCT w) AS n_ends FROM (SELECT qid, e.etype::VARCHAR AS e, e.dst AS w FROM q JOIN edges e ON e.src = target
             UNION ALL SELECT qid, a.etype || '-' || b.etype, b.dst FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst WHERE b.dst <> target) GROUP BY qid, e""",
+        "simple_paths_3hop": """SELECT qid, e AS etypes, count(*) AS n_paths, count(DISTINCT w) AS n_ends FROM (SELECT qid, e.etype::VARCHAR AS e, e.dst AS w FROM q JOIN edges e ON e.src = target
+            UNION ALL SELECT qid, a.etype || '-' || b.etype, b.dst FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst WHERE b.dst <> target
+            UNION ALL SELECT qid, a.etype || '-' || b.etype || '-' || c.etype, c.dst FROM q JOIN edges a ON a.src = target JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst WHERE b.dst <> target AND c.dst <> target AND c.dst <> a.dst) GROUP BY qid, e""",
         **{name: f"SELECT qid, {_join('nodes')}, {_join('etypes')} FROM paths" for name in ("bidirectional_paths", "reverse_paths", "forward_paths")},
         "paths_by_mean_relevance": """SELECT qid, path, seq, n_nodes, mean_score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mean_score DESC, n_nodes, path, seq) AS rank FROM (
             SELECT qid, array_to_string(nodes, '-') AS path, array_to_string(etypes, '-') AS seq, n AS n_nodes, round(sum(coalesce(score, 0)) / n, 10) AS mean_score FROM pnodes LEFT JOIN rel USING (context, nid) GROUP BY qid, nodes, etypes, n)) WHERE rank <= 20""",
@@ -272,10 +280,17 @@ ORACLE_SQL: dict[str, str] = {
         "guided_facts": "SELECT qid, fact_rank::INT AS fact_rank, pattern, etype, value, strikingness FROM (" + _STRIKE.format(by="qid", more=", pattern", of=f"gu_strike JOIN (SELECT qid, min(pattern) AS pattern FROM ({_SETS.format(p='gu')}) GROUP BY qid, set_id) USING (qid, pattern) JOIN q USING (qid) JOIN rel ON rel.context = q.context AND rel.nid = value JOIN (SELECT qid, min(relevance) AS kth FROM gu_top GROUP BY qid) k USING (qid) WHERE strikingness > 0 AND score >= kth") + ") WHERE fact_rank <= 20",
         "pattern_probability": "SELECT DISTINCT source, etypes, nid, forward, backward, score FROM prob",
         "pattern_support": "SELECT DISTINCT etypes, support FROM support JOIN prob USING (etypes)",
+        "pattern_support_3hop": "SELECT DISTINCT etypes, support FROM support3 JOIN prob3 USING (etypes)",
+        "pattern_probability_3hop": "SELECT DISTINCT source, etypes, nid, forward, backward, score FROM prob3",
+        "scores_between_3hop": "SELECT source, context AS target, etypes, forward, backward, score FROM prob3 JOIN q ON q.qid = prob3.qid AND context = nid",
         "top_path_patterns": """SELECT source, target, pattern, pattern_rank::INT AS pattern_rank, score, support, nid, peer_rank::INT AS peer_rank, peer_score FROM (
             SELECT t.*, p.nid, p.score AS peer_score, row_number() OVER (PARTITION BY t.source, t.target, t.pattern ORDER BY p.score DESC, p.nid) AS peer_rank FROM (
                 SELECT q.qid, p.source, q.context AS target, p.etypes AS pattern, p.score, support, row_number() OVER (PARTITION BY q.qid ORDER BY p.score DESC, support DESC, p.etypes) AS pattern_rank
                 FROM q JOIN prob p ON p.qid = q.qid AND p.nid = q.context JOIN support USING (etypes)) t JOIN prob p ON p.qid = t.qid AND p.etypes = t.pattern WHERE pattern_rank <= 10) WHERE peer_rank <= 10""",
+        "top_path_patterns_3hop": """SELECT source, target, pattern, pattern_rank::INT AS pattern_rank, score, support, nid, peer_rank::INT AS peer_rank, peer_score FROM (
+            SELECT t.*, p.nid, p.score AS peer_score, row_number() OVER (PARTITION BY t.source, t.target, t.pattern ORDER BY p.score DESC, p.nid) AS peer_rank FROM (
+                SELECT q.qid, p.source, q.context AS target, p.etypes AS pattern, p.score, support, row_number() OVER (PARTITION BY q.qid ORDER BY p.score DESC, support DESC, p.etypes) AS pattern_rank
+                FROM q JOIN prob3 p ON p.qid = q.qid AND p.nid = q.context JOIN support3 USING (etypes)) t JOIN prob3 p ON p.qid = t.qid AND p.etypes = t.pattern WHERE pattern_rank <= 10) WHERE peer_rank <= 10""",
         "pattern_probability_forward": """SELECT source, etypes, nid, round(f, 10) AS forward, round(b, 10) AS backward, round((f + b) / 2, 10) AS score FROM (
             SELECT source, CAST(etype AS VARCHAR) AS etypes, dst AS nid, sum(spread) AS f, sum(back) AS b FROM (SELECT DISTINCT target AS source FROM q) JOIN se ON src = source WHERE etype % 2 = 0 GROUP BY source, etype, dst
             UNION ALL SELECT source, a.etype || '-' || b.etype, b.dst, sum(a.spread * b.spread), sum(a.back * b.back) FROM (SELECT DISTINCT target AS source FROM q) JOIN se a ON a.src = source JOIN se b ON b.src = a.dst WHERE b.dst <> source AND a.etype % 2 = 0 AND b.etype % 2 = 0 GROUP BY source, a.etype, b.etype, b.dst)""",
@@ -284,6 +299,8 @@ ORACLE_SQL: dict[str, str] = {
         "type_file": "SELECT iri, type FROM nodes JOIN ntypes USING (nid) WHERE nid IN (SELECT src FROM edges)",
         "pair_file": "SELECT target, context FROM q",
         "snapshot": "SELECT etype, count(*) AS n, sum(src)::BIGINT AS sum_src, sum(dst)::BIGINT AS sum_dst FROM edges GROUP BY etype",
+        "snapshot_edges": "SELECT src, etype, dst FROM edges",
+        "snapshot_relevance": "SELECT context, nid, round(score, 9) AS score FROM rel",
         "size_bound": "SELECT context, etype, type, level, round(x * s / 1e-4, 4) AS bound FROM (SELECT context, etype, type, sum(score) AS s FROM rel JOIN (SELECT DISTINCT etype, src FROM edges) e ON e.src = rel.nid JOIN ntypes n ON n.nid = rel.nid GROUP BY context, etype, type), (VALUES " + ", ".join(f"({i}, {x!r})" for i, x in enumerate(DECAYS[:3])) + ") d(level, x)",
         "mine_bidirectional": _MINE.format(p="bi", where="", k=10),
         "mine_reverse": _MINE.format(p="re", where=" WHERE strikingness > 0", k=10),

@@ -73,6 +73,11 @@ def simple_paths(kg, q):
     return _text(found.groupBy("qid", "etypes").agg(F.count("*").alias("n_paths"), F.countDistinct(F.element_at("nodes", -1)).alias("n_ends")), "etypes")
 
 
+def simple_paths_3hop(kg, q):
+    found = paths.simple_path_counts(kg, q, 3)
+    return _text(found.groupBy("qid", "etypes").agg(F.sum("n_paths").alias("n_paths"), F.count("*").alias("n_ends")), "etypes")
+
+
 def _between(kg, q, how, least=2):
     return kg.once((how, least), lambda: paths.paths_between(kg, q, _rel(kg, q), 4, least, how).transform(kept))
 
@@ -231,12 +236,12 @@ def _sources(q):
     return q.select(F.col("target").alias("source")).distinct()
 
 
-def pattern_probability(forward_only):
-    return lambda kg, q: _text(explore.pattern_probability(kg, _sources(q), 2, forward_only), "etypes")
+def pattern_probability(hops, forward_only=False):
+    return lambda kg, q: _text(explore.pattern_probability(kg, _sources(q), hops, forward_only), "etypes")
 
 
-def scores_between(kg, q):
-    return _text(explore.scores_between(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), 2), "etypes")
+def scores_between(hops):
+    return lambda kg, q: _text(explore.scores_between(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), hops), "etypes")
 
 
 def _file(kg, name):
@@ -277,13 +282,29 @@ def snapshot(kg, q):
     return graph_io.read_snapshot(q.sparkSession, at).edges.groupBy("etype").agg(F.count("*").alias("n"), F.sum("src").alias("sum_src"), F.sum("dst").alias("sum_dst"))
 
 
-def pattern_support(kg, q):
-    found = paths.paths_from(kg, q, 2).select("etypes").distinct()
-    return _text(explore.pattern_support(kg, found, 2), "etypes")
+def snapshot_edges(kg, q):
+    at = _file(kg, "snapshot")
+    graph_io.write_snapshot(kg, at)
+    return graph_io.read_snapshot(q.sparkSession, at).edges
+
+
+def snapshot_relevance(kg, q):
+    """Relevance over a graph that was written and read again, buckets and all."""
+    at = _file(kg, "snapshot")
+    graph_io.write_snapshot(kg, at)
+    return engine.scores(graph_io.read_snapshot(q.sparkSession, at), q, BIDIRECTIONAL).withColumn("score", F.round("score", 9))
+
+
+def pattern_support(hops):
+    def run(kg, q):
+        found = paths.simple_path_counts(kg, q, hops).select("etypes").distinct().transform(kept)
+        return _text(explore.pattern_support(kg, found, hops), "etypes")
+
+    return run
 
 
-def top_path_patterns(kg, q):
-    return explore.top_path_patterns(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), 2, 10, 10)
+def top_path_patterns(hops):
+    return lambda kg, q: explore.top_path_patterns(kg, q.select(F.col("target").alias("source"), F.col("context").alias("target")), hops, 10, 10)
 
 
 def propagation(kg, q):
@@ -338,6 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "sequence_propagation": propagation,
         "one_hop_expand": one_hop_expand,
         "simple_paths": simple_paths,
+        "simple_paths_3hop": simple_paths_3hop,
         "paths_by_mean_relevance": paths_by_mean_relevance,
         "paths_from_by_mean_relevance": paths_from_by_mean_relevance,
         "bidirectional_paths": between("bidirectional"),
@@ -371,15 +393,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "blind_end_type": lambda kg, q: _sized(engine.blind_type_peers(kg, q, BLIND)),
         "blind_top_facts": blind_top_facts,
         "guided_facts": guided_facts,
-        "pattern_probability": pattern_probability(False),
-        "pattern_probability_forward": pattern_probability(True),
-        "scores_between": scores_between,
+        "pattern_probability": pattern_probability(2),
+        "pattern_probability_forward": pattern_probability(2, True),
+        "pattern_probability_3hop": pattern_probability(3),
+        "scores_between": scores_between(2),
+        "scores_between_3hop": scores_between(3),
         "edge_file": edge_file,
         "type_file": type_file,
         "pair_file": pair_file,
         "snapshot": snapshot,
-        "pattern_support": pattern_support,
-        "top_path_patterns": top_path_patterns,
+        "snapshot_edges": snapshot_edges,
+        "snapshot_relevance": snapshot_relevance,
+        "pattern_support": pattern_support(2),
+        "pattern_support_3hop": pattern_support(3),
+        "top_path_patterns": top_path_patterns(2),
+        "top_path_patterns_3hop": top_path_patterns(3),
         "size_bound": size_bound,
         "mine_bidirectional": mined(BIDIRECTIONAL),
         "mine_reverse": mined(REVERSE),

@@ -217,3 +217,109 @@ def test_rounded_decides_ties_by_the_scaled_double(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 10).alias("r"), rounded(F.col("v"), 2).alias("s")).collect()
     assert [row.r for row in got] == [math.floor(v * 1e10 + 0.5) / 1e10 for v in values]
     assert [row.s for row in got] == [0.0, 0.13, 0.5, 0.0, 1.0]
+
+
+def hub_graph(spark):
+    """Node 1 is a hub of 40 spokes; some spokes hang together."""
+    forward = [(100 + i, 0, 1) for i in range(40)] + [(100 + i, 2, 100 + (i * 7 + 3) % 40) for i in range(0, 40, 3)] + [(1, 4, 2), (2, 4, 3), (100, 4, 3)]
+    return kg_of(spark, forward), forward
+
+
+def plain_relevance(forward, context, stop=0.85, hops=8):
+    out = {}
+    for s, _, d in set(forward):
+        if s != d:
+            out.setdefault(s, []).append(d)
+            out.setdefault(d, []).append(s)
+    mass, total = {context: 1.0}, {context: stop}
+    for k in range(1, hops + 1):
+        step = {}
+        for n, m in mass.items():
+            for x in out.get(n, ()):
+                step[x] = step.get(x, 0.0) + m / len(out[n])
+        mass = step
+        for n, m in mass.items():
+            total[n] = total.get(n, 0.0) + m * stop * (1 - stop) ** k
+    return {n: s for n, s in total.items() if round(s, 12) >= 1e-6}
+
+
+@pytest.mark.parametrize("lanes,edges", [(16, 10_000), (2, 7), (1, 1)])
+def test_relevance_by_lanes_and_slices(spark, monkeypatch, lanes, edges):
+    monkeypatch.setattr(relevance, "LANES", lanes)
+    monkeypatch.setattr(graph, "SLICE_EDGES", edges)
+    kg, forward = hub_graph(spark)
+    contexts = [1, 2, 3, 105, 117]
+    got = relevance.relevance(kg, spark.createDataFrame([(c,) for c in [*contexts, 1, 999]], "context long")).collect()
+    for c in contexts:
+        want = plain_relevance(forward, c)
+        found = {r.nid: r.score for r in got if r.context == c}
+        assert set(found) == set(want) and all(abs(found[n] - want[n]) < 1e-10 for n in want)
+    assert [(r.nid, r.score) for r in got if r.context == 999] == [(999, 0.85)]  # a node without edges keeps what stops at once
+    if edges == 7:
+        moves, hubs = kg.moves()
+        assert {tuple(r) for r in hubs.collect()} == {(1, 6)}
+        assert moves.where("src = 1").groupBy("slice").count().count() == 6
+
+
+def exchanges_above_scans(df):
+    """For each scan of a table in the executed plan, whether an exchange stands between it and the next join."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_of_a_walk_are_not_moved(spark):
+    kg, _ = hub_graph(spark)
+    moves, _ = kg.moves()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = spark.createDataFrame([(1, 0, 1.0)], "nid long, slice int, m double").repartition(3)
+        plan = exchanges_above_scans(state.join(moves, (state.nid == moves.src) & (state.slice == moves.slice)))
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+        plan = exchanges_above_scans(state.join(kg.edges, state.nid == kg.edges.src))
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snapshot_keeps_its_buckets(spark, tmp_path):
+    kg, _ = hub_graph(spark)
+    graph_io.write_snapshot(kg, f"{tmp_path}/snap")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")  # another session's number of partitions
+    try:
+        again = graph_io.read_snapshot(spark, f"{tmp_path}/snap")
+        assert rows(again.edges) == rows(kg.edges) and rows(again.nodes) == rows(kg.nodes)
+        assert "SelectedBucketsCount" in exchanges_above_scans(again.edges.groupBy("src").count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def walks_of(forward, start, hops):
+    """All non-returning walks ``(etypes, nodes)`` with the shares of their steps, forward and back."""
+    edges = sorted({(s, e, d) for s, e, d in forward if s != d})
+    edges += [(d, e + 1, s) for s, e, d in edges]
+    share = {}
+    for s, e, _ in edges:
+        share[s, e] = share.get((s, e), 0) + 1
+    level, out = [((), (start,), 1.0, 1.0)], []
+    for _ in range(hops):
+        level = [(es + (e,), ns + (d,), f / share[s, e], b / share[d, e ^ 1]) for es, ns, f, b in level for s, e, d in edges if s == ns[-1] and (len(ns) < 2 or d != ns[-2])]
+        out += level
+    return out
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3])
+def test_probabilities_and_counts_to_three_hops(spark, hops):
+    kg, forward = hub_graph(spark)
+    walks = walks_of(forward, 100, hops)
+    want = {}
+    for es, ns, f, b in walks:
+        have = want.setdefault((es, ns[-1]), [0.0, 0.0])
+        have[0] += f
+        have[1] += b
+    got = {(tuple(r.etypes), r.nid): (r.forward, r.backward) for r in explore.pattern_probability(kg, spark.createDataFrame([(100,)], "source long"), hops).collect()}
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    simple = {}
+    for es, ns, _, _ in walks:
+        if len(set(ns)) == len(ns):
+            simple[es, ns[-1]] = simple.get((es, ns[-1]), 0) + 1
+    q = spark.createDataFrame([(1, 100, 3)], "qid int, target long, context long")
+    assert {(tuple(r.etypes), r.end): r.n_paths for r in paths.simple_path_counts(kg, q, hops).collect()} == simple
