@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.functions.columns import DECAYS, instance_label, interleave, jaccard_distance, signature, type_label
+from strikegraph.functions.columns import DECAYS, instance_label, interleave, signature, type_label
 from strikegraph.operators.graph import KnowledgeGraph, node_labels
 from strikegraph.operators.relevance import best_type, ranked
 from strikegraph.sources.shared import kept, release
@@ -51,16 +52,23 @@ def _suffixed(patterns: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def suffix_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool) -> dict[int, DataFrame]:
-    """By depth ``(key, nid)``: nodes from which some walk follows a pattern's last ``depth`` edges to its context.
+@dataclass
+class Suffixes:
+    """Patterns with the keys of their parts that end at the context, and by depth the nodes ``(key, nid)`` from which a walk follows such a part."""
 
-    Each distinct suffix is worked out once, whatever patterns and queries share it. Every depth is a written table, for the next
-    depth and the passes after it read it several times.
+    patterns: DataFrame
+    sets: dict[int, DataFrame]
+
+
+def suffix_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool) -> Suffixes:
+    """The nodes that reach a context along each distinct suffix, worked out once, whatever patterns and queries share it.
+
+    Every depth is a written table, for the next depth and the passes after it read it several times.
     """
     s = _suffixed(patterns, most).transform(kept)
     labels = node_labels(kg) if labelled else None
     turned = kg.edges.select(F.col("src").alias("next"), F.col("etype").bitwiseXOR(1).alias("etype"), F.col("dst").alias("nid"))
-    sets = {0: s.select(F.col("key0").alias("key"), F.col("context").alias("nid")).distinct().transform(kept)}
+    sets = {0: s.select(F.col("key0").alias("key"), F.col("context").alias("nid")).distinct()}
     for d in range(1, most):
         steps = s.where(F.col("m") >= d).select(F.col(f"key{d}").alias("key"), F.col(f"key{d - 1}").alias("parent"), F.col(f"label{d}").alias("label"), F.col(f"etype{d}").alias("etype")).distinct()
         tail = sets[d - 1].select(F.col("key").alias("parent"), F.col("nid").alias("next"))
@@ -68,41 +76,42 @@ def suffix_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bo
         if labelled:
             found = found.join(labels, ["nid", "label"], "left_semi")
         sets[d] = found.select("key", "nid").distinct().transform(kept)
-    return sets
+    return Suffixes(s, sets)
 
 
-def peers(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool, sets: dict[int, DataFrame] | None = None) -> DataFrame:
+def peers(suffixes: Suffixes) -> DataFrame:
     """``(qid, pattern, nid)``: the nodes that match position 0."""
-    sets = sets or suffix_sets(kg, patterns, most, labelled)
-    s = _suffixed(patterns, most)
-    by_depth = [s.where(F.col("m") == d).select("qid", "pattern", F.col(f"key{d}").alias("key")).join(sets[d], "key").select("qid", "pattern", "nid") for d in range(1, most)]
+    by_depth = [suffixes.patterns.where(F.col("m") == d).select("qid", "pattern", F.col(f"key{d}").alias("key")).join(found, "key").select("qid", "pattern", "nid") for d, found in suffixes.sets.items() if d]
     return reduce(DataFrame.unionByName, by_depth)
 
 
-def match_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool = True, min_peers: int = 1, sets: dict[int, DataFrame] | None = None) -> DataFrame:
-    """``(qid, pattern, level, nid)``: the nodes at each position of some walk that matches a whole pattern.
+def matched(kg: KnowledgeGraph, suffixes: Suffixes, wanted: DataFrame) -> DataFrame:
+    """``(qid, pattern, level, nid)`` of the patterns ``wanted(qid, pattern)``: the nodes at each position of some walk that matches a whole pattern.
 
-    The suffix sets hold what reaches the context; a second pass from position 0 keeps what is reached. Patterns with
-    fewer than ``min_peers`` nodes at position 0 are dropped before that pass.
+    The suffix sets hold what reaches the context; this pass from position 0 keeps what is reached.
     """
-    patterns = patterns.transform(kept)
-    sets = sets or suffix_sets(kg, patterns, most, labelled)
-    first = peers(kg, patterns, most, labelled, sets)
-    enough = first.groupBy("qid", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_peers).select("qid", "pattern")
-    s = _suffixed(patterns, most).join(enough, ["qid", "pattern"], "left_semi").transform(kept)
+    s = suffixes.patterns.join(wanted.select("qid", "pattern"), ["qid", "pattern"], "left_semi").transform(kept)
     current, out = None, []
-    for d in range(most - 1, -1, -1):
-        reached = s.where(F.col("m") == d).select("qid", "pattern", "m", F.col(f"key{d}").alias("key")).join(sets[d], "key").select("qid", "pattern", "m", "nid") if d else None
+    for d in sorted(suffixes.sets, reverse=True):
+        found = suffixes.sets[d]
+        reached = s.where(F.col("m") == d).select("qid", "pattern", "m", F.col(f"key{d}").alias("key")).join(found, "key").select("qid", "pattern", "m", "nid") if d else None
         if current is not None:
             step = s.select("qid", "pattern", F.col(f"etype{d + 1}").alias("etype"), F.col(f"key{d}").alias("key"))
             moved = current.withColumnRenamed("nid", "src").join(step, ["qid", "pattern"]).join(kg.edges, ["src", "etype"]).select("qid", "pattern", "m", "key", F.col("dst").alias("nid")).distinct()
-            moved = moved.join(sets[d], ["key", "nid"], "left_semi").select("qid", "pattern", "m", "nid")
+            moved = moved.join(found, ["key", "nid"], "left_semi").select("qid", "pattern", "m", "nid")
             reached = moved if reached is None else reached.unionByName(moved)
         current = reached.transform(kept)
         out.append(current.select("qid", "pattern", (F.col("m") - d).alias("level"), "nid"))
     return reduce(DataFrame.unionByName, out)
 
 
+def match_sets(kg: KnowledgeGraph, patterns: DataFrame, most: int, labelled: bool = True, min_peers: int = 1) -> DataFrame:
+    """``matched`` of all ``patterns`` with ``min_peers`` nodes or more at position 0."""
+    suffixes = suffix_sets(kg, patterns, most, labelled)
+    enough = peers(suffixes).groupBy("qid", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_peers)
+    return matched(kg, suffixes, enough)
+
+
 def pattern_relevance(matches: DataFrame, patterns: DataFrame, rel: DataFrame, context_level: bool = True) -> DataFrame:
     """``(qid, pattern, n_nodes, relevance, n_peers)``: the least of the path score and each level's decayed mean score.
 
@@ -134,22 +143,67 @@ def diversified(relevance: DataFrame, patterns: DataFrame) -> DataFrame:
     return ranked(keyed, ["qid", "_labels"], F.desc("relevance"), "pattern").where("rank = 1").drop("rank", "_labels")
 
 
-def above(patterns: DataFrame, kth: DataFrame) -> DataFrame:
-    """Patterns whose path score, a bound on relevance, reaches their query's ``kth(qid, bound)``; equal ones may still win a tie."""
-    return patterns.join(kth, "qid", "left").where(F.col("bound").isNull() | (F.round("path_score", 10) >= F.col("bound"))).drop("bound")
+#: Bounds and relevances come from sums in different orders; a bound must be lower by more than this to let a pattern go.
+MARGIN = 2e-10
+#: By preset, which bounds on a pattern's relevance may prune it.
+BOUNDS = {"none": (), "path scores": ("path_bound",), "peer means": ("peer_bound",), "both": ("path_bound", "peer_bound")}
+
+
+def bounds(suffixes: Suffixes, rel: DataFrame, context_level: bool = True) -> DataFrame:
+    """``(qid, pattern, n_nodes, n_peers, path_bound, peer_bound)``: what a pattern's relevance can't exceed, before its inner levels are known.
 
+    That is the best score of its paths, and the mean score of its peers, since these are its level 0: a set that has grown beyond
+    the sum of its scores over the relevance needed is let go by it.
+    """
+    s = suffixes.patterns.select("qid", "pattern", "context", "m", "path_score")
+    at = peers(suffixes).join(s, ["qid", "pattern"])
+    counted = F.lit(True) if context_level else F.col("nid") != F.col("context")
+    sums = at.join(rel, ["context", "nid"], "left").groupBy("qid", "pattern").agg(F.count("*").alias("n_peers"), F.sum(F.when(counted, F.coalesce("score", F.lit(0.0)))).alias("s"), F.count_if(counted).alias("n"))
+    mean = F.round(F.round(F.col("s") / F.nullif("n", F.lit(0)), 12) * DECAYS[0], 10)
+    return s.join(sums, ["qid", "pattern"], "left").select("qid", "pattern", (F.col("m") + 1).alias("n_nodes"), F.coalesce("n_peers", F.lit(0)).alias("n_peers"), F.round("path_score", 10).alias("path_bound"), F.coalesce(mean, F.lit(float("inf"))).alias("peer_bound"))
+
+
+@dataclass
+class Evaluation:
+    """``matches(qid, pattern, level, nid)`` and ``relevance`` of the patterns that were evaluated; ``fates(qid, pattern, fate)`` of all: rejected, pruned or evaluated."""
+
+    matches: DataFrame
+    relevance: DataFrame
+    fates: DataFrame
 
-def waves(kg: KnowledgeGraph, patterns: DataFrame, rel: DataFrame, k: int, most: int, labelled: bool, min_peers: int, context_level: bool, first: int) -> DataFrame:
-    """``top_patterns`` with fewer evaluations: the ``first`` patterns by path score give a bound that prunes the others.
 
-    A table of one row a query carries the bound; the patterns left are evaluated in a second wave.
+def evaluated(kg: KnowledgeGraph, suffixes: Suffixes, known: DataFrame, rel: DataFrame, k: int, min_peers: int, context_level: bool = True, prune: str = "both", first: int | None = None, choose=None, least: float | None = None) -> Evaluation:
+    """Evaluates the patterns that may be among the ``k`` most relevant of their query, or have the relevance ``least``; ``known``: their ``bounds``.
+
+    A threshold algorithm: a first wave of the ``first`` patterns by bound (by default ``2 * k``) gives the ``k``-th best
+    relevance of each query, carried in a table of one row a query; of the others, those go on whose bound reaches it.
+    ``choose``: what picks among evaluated patterns before they are ranked.
     """
-    order = ranked(patterns, ["qid"], F.desc("path_score"), "pattern")
-    evaluate = lambda p: pattern_relevance(match_sets(kg, p, most, labelled, min_peers), p, rel, context_level)
-    head, tail = order.where(F.col("rank") <= first).drop("rank").transform(kept), order.where(F.col("rank") > first).drop("rank")
-    one = evaluate(head).transform(kept)
-    kth = top_patterns(one, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("relevance").alias("bound")).where(F.col("n") >= k).select("qid", "bound").transform(kept)
-    return top_patterns(one.unionByName(evaluate(above(tail, kth))), k)
+    bound = F.least(F.lit(float("inf")), *(F.col(c) for c in BOUNDS[prune])) if BOUNDS[prune] else F.lit(float("inf"))
+    fit = known.where(F.col("n_peers") >= min_peers).withColumn("bound", bound)
+
+    def run(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        matches = matched(kg, suffixes, wanted)
+        p = suffixes.patterns.join(wanted.select("qid", "pattern"), ["qid", "pattern"], "left_semi")
+        return matches, pattern_relevance(matches, p, rel, context_level).transform(kept)
+
+    if not BOUNDS[prune] or least is not None:
+        go = (fit if least is None else fit.where(F.col("bound") + MARGIN >= least)).transform(kept)
+        matches, found = run(go)
+    else:
+        order = ranked(fit, ["qid"], F.desc("bound"), "pattern").transform(kept)
+        first = first or 2 * k
+        head = order.where(F.col("rank") <= first)
+        matches, found = run(head)
+        kth = top_patterns(choose(found) if choose else found, k).groupBy("qid").agg(F.count("*").alias("n"), F.min("relevance").alias("kth")).where(F.col("n") >= k).select("qid", "kth")
+        tail = order.where(F.col("rank") > first).join(kth, "qid", "left").where(F.col("kth").isNull() | (F.col("bound") + MARGIN >= F.col("kth"))).transform(kept)
+        go = head.select("qid", "pattern")
+        if not tail.isEmpty():
+            more = run(tail)
+            matches, found, go = matches.unionByName(more[0]), found.unionByName(more[1]), go.unionByName(tail.select("qid", "pattern"))
+    fate = F.when(F.col("n_peers") < min_peers, "rejected").when(F.col("go"), "evaluated").otherwise("pruned")
+    fates = known.join(go.select("qid", "pattern", F.lit(True).alias("go")), ["qid", "pattern"], "left").select("qid", "pattern", fate.alias("fate"))
+    return Evaluation(matches, found, fates)
 
 
 def peer_sets(members: DataFrame) -> DataFrame:
@@ -224,7 +278,3 @@ def size_bound(kg: KnowledgeGraph, rel: DataFrame, kth: DataFrame) -> DataFrame:
     sums = rel.join(sources, "nid").join(kg.node_types, "nid").groupBy("context", "etype", "type").agg(F.sum("score").alias("s")).join(kth, "context")
     levels = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.lit(x).alias("x")) for i, x in enumerate(DECAYS[:3])))).alias("l")
     return sums.select("context", "etype", "type", levels, "s", "kth").select("context", "etype", "type", "l.level", F.round(F.col("l.x") * F.col("s") / F.col("kth"), 4).alias("bound"))
-
-
-def set_distance(a: Column | str, b: Column | str) -> Column:
-    return jaccard_distance(a, b)

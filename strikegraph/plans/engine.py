@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.functions.columns import instance_label, interleave, signature
+from strikegraph.functions.columns import instance_label, signature
 from strikegraph.operators import facts, graph, paths, patterns, relevance
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans.config import BLIND, MiningConfig
@@ -32,10 +32,12 @@ def candidate_patterns(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, c
 def ranked_patterns(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, config: MiningConfig) -> tuple[DataFrame, DataFrame]:
     """The ranked patterns ``(qid, pattern, n_nodes, relevance, n_peers, rank)`` and their peers ``(qid, pattern, nid)``."""
     candidates = candidate_patterns(kg, queries, rel, config).transform(kept)
-    matches = patterns.match_sets(kg, candidates, config.path_nodes, config.labelled, config.min_peers).transform(kept)
-    found = patterns.pattern_relevance(matches, candidates, rel, config.context_level)
-    if config.diversify and config.labelled:
-        found = patterns.diversified(found, candidates)
+    suffixes = patterns.suffix_sets(kg, candidates, config.path_nodes, config.labelled)
+    known = patterns.bounds(suffixes, rel, config.context_level).transform(kept)
+    choose = (lambda found: patterns.diversified(found, candidates)) if config.diversify and config.labelled else None
+    least = config.min_relevance if config.mode == "threshold" else None
+    done = patterns.evaluated(kg, suffixes, known, rel, config.top_patterns, config.min_peers, config.context_level, config.prune, choose=choose, least=least)
+    matches, found = done.matches, choose(done.relevance) if choose else done.relevance
     best = patterns.top_patterns(found, config.top_patterns) if config.mode == "top" else patterns.threshold_patterns(found, config.min_relevance)
     best = best.transform(kept)
     members = matches.where("level = 0").join(best.select("qid", "pattern"), ["qid", "pattern"], "left_semi").select("qid", "pattern", "nid")
@@ -179,7 +181,3 @@ def render(kg: KnowledgeGraph, mined: DataFrame) -> DataFrame:
     out = mined.join(names, "value").join(tops, "top_value").join(F.broadcast(kg.edge_types), "etype")
     line = F.concat_ws(" ", F.concat(F.lit("#"), F.col("rank")), "pattern", F.concat(F.lit("peers="), F.col("n_peers")), F.concat("name", F.lit("="), "value_iri"), F.concat(F.lit("shared by "), F.col("value_freq")), F.concat(F.lit("most have "), "top_iri", F.lit(" ("), F.col("top_freq"), F.lit(")")))
     return out.select("qid", "rank", "fact_rank", line.alias("text"))
-
-
-def pattern_text(patterns_: DataFrame) -> DataFrame:
-    return patterns_.withColumn("text", interleave("labels", "etypes", " - "))

@@ -136,6 +136,12 @@ _family("re", "upat", "anyl", where="level < p.n - 1 AND m.nid <> p.context", le
 _family("gu", "upat", "anyl", where="level < p.n - 1 AND m.nid <> p.context", elig="gelig", least=5)
 CTES |= {
     "dv": "SELECT r.*, list_aggregate([l for l in [l0, l1, l2] if l IS NOT NULL], 'string_agg', '|') AS ls FROM bi_rel r JOIN bi USING (qid, pattern)",
+    "bi_bounds": """SELECT p.qid, p.pattern, n AS n_nodes, c AS n_peers, round(path_score, 10) AS path_bound, round(round(s / c, 12), 10) AS peer_bound
+        FROM bi p JOIN (SELECT p.qid, p.pattern, count(*) AS c, sum(coalesce(score, 0)) AS s FROM bi_all m JOIN bi p USING (qid, pattern) LEFT JOIN rel r ON r.context = p.context AND r.nid = m.nid WHERE level = 0 GROUP BY p.qid, p.pattern) USING (qid, pattern)""",
+    "waves": """SELECT preset, qid, bound, relevance, row_number() OVER (PARTITION BY preset, qid ORDER BY bound DESC, pattern) AS r, row_number() OVER (PARTITION BY preset, qid ORDER BY relevance DESC, n_nodes, pattern) AS top
+        FROM (SELECT preset, b.qid, b.pattern, b.n_nodes, relevance, least(CASE WHEN preset IN ('path scores', 'both') THEN path_bound ELSE 'inf'::DOUBLE END, CASE WHEN preset IN ('peer means', 'both') THEN peer_bound ELSE 'inf'::DOUBLE END) AS bound
+              FROM bi_bounds b JOIN bi_rel USING (qid, pattern), (VALUES ('none'), ('path scores'), ('peer means'), ('both')) t(preset))""",
+    "kths": "SELECT preset, qid, min(relevance) AS kth FROM (SELECT preset, qid, relevance, row_number() OVER (PARTITION BY preset, qid ORDER BY relevance DESC) AS o FROM waves WHERE r <= 40) WHERE o <= 20 GROUP BY preset, qid HAVING count(*) = 20",
     # Peers by one hop.
     "oh_all": "SELECT f.qid, f.etype, f.value, e.src AS nid FROM tf f JOIN edges e ON e.etype = f.etype AND e.dst = f.value",
     "oh_peers": "SELECT qid, etype || '=' || value AS pattern, nid FROM oh_all WHERE (qid, etype, value) IN (SELECT (qid, etype, value) FROM oh_all GROUP BY qid, etype, value HAVING count(*) >= 5)",
@@ -252,6 +258,9 @@ ORACLE_SQL: dict[str, str] = {
         "pattern_relevance": "SELECT qid, pattern, n_nodes, relevance, n_peers FROM bi_rel",
         "top_patterns": _RANKED.format(p="bi"),
         "top_patterns_in_waves": _RANKED.format(p="bi"),
+        "pattern_bounds": "SELECT qid, pattern, n_nodes, n_peers, path_bound, peer_bound FROM bi_bounds",
+        "mine_counters": """SELECT preset, qid, (SELECT count(*) FROM bi b WHERE b.qid = c.qid) - count(*) AS n_rejected, count(*) FILTER (WHERE NOT go) AS n_pruned, count(*) FILTER (WHERE go) AS n_evaluated, count(*) FILTER (WHERE top <= 20) AS n_top
+            FROM (SELECT preset, qid, r <= 40 OR kth IS NULL OR bound + 2e-10 >= kth AS go, top FROM waves LEFT JOIN kths USING (preset, qid)) c GROUP BY preset, qid""",
         "threshold_patterns": _RANKED.format(p="th"),
         "reverse_patterns": _RANKED.format(p="re"),
         "diversified_patterns": """SELECT qid, rank::INT AS rank, pattern, n_nodes, relevance, n_peers FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, n_nodes, pattern) AS rank FROM (

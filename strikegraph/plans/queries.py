@@ -12,7 +12,7 @@ from strikegraph.functions.columns import rounded, signature
 from strikegraph.operators import explore, facts, graph, paths, patterns, relevance
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.plans import engine
-from strikegraph.plans.config import BIDIRECTIONAL, BLIND, NAIVE, REVERSE, THRESHOLD
+from strikegraph.plans.config import ABLATIONS, BIDIRECTIONAL, BLIND, NAIVE, REVERSE, THRESHOLD
 from strikegraph.sources import graph_io, star_schema
 from strikegraph.sources.shared import kept, shared_dir
 
@@ -145,7 +145,36 @@ def ranked(config):
 
 def top_patterns_in_waves(kg, q):
     found, rel = _candidates(kg, q)
-    return patterns.waves(kg, found, rel, 20, 4, True, 5, True, first=30).select("qid", "rank", "pattern", "n_nodes", "relevance", "n_peers")
+    suffixes, known = _known(kg, q)
+    done = patterns.evaluated(kg, suffixes, known, rel, 20, 5, True, "path scores", first=30)
+    return patterns.top_patterns(done.relevance, 20).select("qid", "rank", "pattern", "n_nodes", "relevance", "n_peers")
+
+
+def _known(kg, q):
+    """The suffix sets of the candidate patterns and the bounds on their relevance."""
+    found, rel = _candidates(kg, q)
+
+    def make():
+        suffixes = patterns.suffix_sets(kg, found, 4, True)
+        return suffixes, patterns.bounds(suffixes, rel).transform(kept)
+
+    return kg.once("known", make)
+
+
+def pattern_bounds(kg, q):
+    return _known(kg, q)[1].where("n_peers > 0")
+
+
+def mine_counters(kg, q):
+    """What each preset of the miner evaluates, rejects and prunes, and how many patterns it ends with."""
+    (suffixes, known), rel, out = _known(kg, q), _rel(kg, q), None
+    for name, config in ABLATIONS.items():
+        done = patterns.evaluated(kg, suffixes, known, rel, config.top_patterns, config.min_peers, config.context_level, config.prune)
+        best = patterns.top_patterns(done.relevance, config.top_patterns).select("qid", "pattern", F.lit(True).alias("top"))
+        n = lambda fate: F.count_if(F.col("fate") == fate).alias(f"n_{fate}")
+        counts = done.fates.join(best, ["qid", "pattern"], "left").groupBy("qid").agg(n("rejected"), n("pruned"), n("evaluated"), F.count_if("top").alias("n_top")).select(F.lit(name).alias("preset"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def peer_set_dedup(kg, q):
@@ -373,6 +402,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "pattern_relevance": pattern_relevance,
         "top_patterns": ranked(BIDIRECTIONAL),
         "top_patterns_in_waves": top_patterns_in_waves,
+        "pattern_bounds": pattern_bounds,
+        "mine_counters": mine_counters,
         "threshold_patterns": ranked(THRESHOLD),
         "diversified_patterns": ranked(BIDIRECTIONAL.with_(diversify=True)),
         "reverse_patterns": ranked(REVERSE),

@@ -109,7 +109,13 @@ def test_waves_prune_nothing(web):
     kg, q, rel = web
     found = patterns.labelled_patterns(kg, paths.path_scores(paths.paths_between(kg, q, rel, 4, 2), rel), relevance.type_relevance(kg, rel, q)).persist()
     plain = patterns.top_patterns(patterns.pattern_relevance(patterns.match_sets(kg, found, 4), found, rel), 2)
-    assert rows(patterns.waves(kg, found, rel, 2, 4, True, 1, True, first=1)) == rows(plain)
+    suffixes = patterns.suffix_sets(kg, found, 4, True)
+    known = patterns.bounds(suffixes, rel).persist()
+    for prune in patterns.BOUNDS:
+        done = patterns.evaluated(kg, suffixes, known, rel, 2, 1, True, prune, first=1)
+        assert rows(patterns.top_patterns(done.relevance, 2)) == rows(plain), prune
+        fates = {r.fate for r in done.fates.collect()}
+        assert "evaluated" in fates and (prune != "none" or fates <= {"evaluated", "rejected"})
 
 
 def star(spark):
