@@ -134,6 +134,52 @@ def reverse_index(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, hops:
     return reduce(DataFrame.unionByName, out).select("qid", "nid", "etypes", F.round("score", 12).alias("score"))
 
 
+def best_paths(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, k: int, most: int = 4, least: int = 2, first: int | None = None) -> DataFrame:
+    """``(qid, target, context, nodes, etypes, path_score, rank)``: the ``k`` best of ``paths_between`` by ``path_scores``; ties by the path.
+
+    An index grown from the context tells for each node and number of edges the best score of a way there. A walk from the target
+    only goes where the index has a way of the length that is left, and no further once the least of its score so far and
+    the index's falls below the ``k``-th best path known. That bound comes from a first wave of the ``first`` best first steps
+    (by default ``2 * k``).
+    """
+    own = queries.join(rel.select("context", F.col("nid").alias("target"), F.col("score").alias("bound")), ["context", "target"]).transform(kept)
+    at_context = queries.join(rel.where("nid = context"), "context").select("qid", "nid", F.lit(0).alias("left"), F.col("score").alias("best"))
+    index = reverse_index(kg, queries, rel, most - 2).select("qid", "nid", F.size("etypes").alias("left"), "score").groupBy("qid", "nid", "left").agg(F.max("score").alias("best"))
+    index = index.unionByName(at_context).transform(kept)
+    inner = inner_nodes(kg, rel).select("context", F.col("nid").alias("dst")).transform(kept)
+    decays = F.array(*map(F.lit, DECAYS))
+
+    def further(step: DataFrame) -> DataFrame:
+        """Steps ``(..., nodes, etypes, bound, dst, etype, left)`` to where the index has a way of ``left`` edges, with their new bounds."""
+        there = step.join(index.withColumnRenamed("nid", "dst"), ["qid", "dst", "left"])
+        there = there.where("left = 0").unionByName(there.where("left > 0").join(inner, ["context", "dst"], "left_semi").select(there.columns))
+        bound = F.least("bound", F.col("best") * F.element_at(decays, F.size("nodes") + 1))
+        return there.select("qid", "target", "context", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("etypes", F.array("etype")).alias("etypes"), "left", bound.alias("bound"))
+
+    ways = F.explode(F.sequence(F.lit(least - 2), F.lit(most - 2))).alias("left")
+    begun = further(own.select("*", F.col("target").alias("src"), F.array("target").alias("nodes"), F.array().cast("array<int>").alias("etypes"), ways).join(kg.edges, "src")).transform(kept)
+
+    def walked(frontier: DataFrame, kth: DataFrame | None) -> DataFrame:
+        done = [frontier.where("left = 0")]
+        for _ in range(most - 2):
+            step = frontier.where("left > 0").withColumn("src", F.element_at("nodes", -1)).join(kg.edges, "src").where(~F.array_contains("nodes", F.col("dst"))).withColumn("left", F.col("left") - 1)
+            frontier = further(step)
+            frontier = (frontier.join(kth, "qid", "left").where("kth is null or bound + 2e-10 >= kth").drop("kth") if kth is not None else frontier).transform(kept)
+            done.append(frontier.where("left = 0"))
+        found = reduce(DataFrame.unionByName, done).select("qid", "target", "context", "nodes", "etypes")
+        return path_scores(found, rel).transform(kept)
+
+    from strikegraph.operators.relevance import ranked
+
+    best = lambda df: ranked(df, ["qid"], F.desc("path_score"), signature("nodes"), signature("etypes")).where(F.col("rank") <= k)
+    placed = ranked(begun, ["qid"], F.desc("bound"), signature("nodes"), signature("etypes"), "left").transform(kept)
+    first = first or 2 * k
+    found = walked(placed.where(F.col("rank") <= first).drop("rank"), None)
+    kth = best(found).groupBy("qid").agg(F.count("*").alias("n"), F.min("path_score").alias("kth")).where(F.col("n") >= k).select("qid", "kth").transform(kept)
+    rest = placed.where(F.col("rank") > first).drop("rank").join(kth, "qid", "left").where("kth is null or bound + 2e-10 >= kth").drop("kth").transform(kept)
+    return best(found if rest.isEmpty() else found.unionByName(walked(rest, kth)))
+
+
 def one_hop_peers(kg: KnowledgeGraph, queries: DataFrame, first_value_only: bool = False) -> DataFrame:
     """``(qid, etype, value, nid)``: nodes that share an edge type and its value with the target, the target included."""
     own = queries.select("qid", F.col("target").alias("src")).join(kg.edges, "src").select("qid", "etype", F.col("dst").alias("value"))

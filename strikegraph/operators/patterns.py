@@ -143,6 +143,21 @@ def diversified(relevance: DataFrame, patterns: DataFrame) -> DataFrame:
     return ranked(keyed, ["qid", "_labels"], F.desc("relevance"), "pattern").where("rank = 1").drop("rank", "_labels")
 
 
+def named(kg: KnowledgeGraph, patterns: DataFrame, members: DataFrame) -> DataFrame:
+    """The patterns with ``text``, in which names stand for the ids of nodes and edge types, and ``display``, a label for position 0.
+
+    ``display`` is the peer itself where there is one only, else the first type by name that a peer has.
+    """
+    parts = patterns.select("qid", "pattern", F.posexplode(F.zip_with("labels", "etypes", lambda a, e: F.struct(a.alias("label"), e.alias("etype")))).alias("pos", "p")).select("qid", "pattern", "pos", "p.*")
+    ids = F.when(F.startswith("label", F.lit("I:")), F.expr("substring(label, 3)").cast("long"))
+    at = parts.withColumn("nid", ids).join(kg.nodes, "nid", "left").join(F.broadcast(kg.edge_types), "etype", "left")
+    word = F.concat(F.coalesce("iri", F.expr("substring(label, 3)")), F.when(F.col("name").isNull(), F.lit("")).otherwise(F.concat(F.lit(" -"), "name", F.lit("-> "))))
+    text = at.groupBy("qid", "pattern").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("w")))), lambda x: x["w"]), "").alias("text"))  # a pattern has few positions
+    label = members.join(kg.node_types, "nid", "left").join(kg.nodes, "nid").groupBy("qid", "pattern").agg(F.countDistinct("nid").alias("n"), F.min("iri").alias("one"), F.min("type").alias("type"))
+    shown = label.select("qid", "pattern", F.when(F.col("n") == 1, F.col("one")).otherwise(F.coalesce("type", F.lit("ANY"))).alias("display"))
+    return patterns.join(text, ["qid", "pattern"]).join(shown, ["qid", "pattern"])
+
+
 #: Bounds and relevances come from sums in different orders; a bound must be lower by more than this to let a pattern go.
 MARGIN = 2e-10
 #: By preset, which bounds on a pattern's relevance may prune it.

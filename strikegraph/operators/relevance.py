@@ -42,6 +42,43 @@ def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops:
     return each.join(F.broadcast(at) if lanes < LANES else at, ["block", "lane"]).select("context", "nid", "score")
 
 
+def numbered_edges(kg: KnowledgeGraph) -> tuple[DataFrame, DataFrame]:
+    """``(place, dst)``, all edges in the order of source, type and target, and ``(nid, first, degree)``: where a node's edges begin, and how many it has.
+
+    Edges are numbered over ranges that split a hub's edges like others.
+    """
+    rows = dense_places(kg.edges.select(F.struct("src", "etype", "dst").alias("edge")), "edge", "place").select("place", "edge.src", "edge.dst").transform(kept)
+    return rows.select("place", "dst"), rows.groupBy(F.col("src").alias("nid")).agg(F.min("place").alias("first"), F.count("*").alias("degree")).transform(kept)
+
+
+def sampled_relevance(kg: KnowledgeGraph, contexts: DataFrame, walks: int = 1_000_000, stop: float = 0.85, seed: int = 1) -> DataFrame:
+    """``(context, nid, visits, score)``: where ``walks`` random walks from each of ``contexts(context)`` stop.
+
+    Before each step a walk stops with probability ``stop``; else it takes one of its node's edges, all with the same probability, and
+    on a node without edges it stops. Its draws are hashed from the seed, the context, its number and the step, so a
+    repeated task draws the same. A walk meets its next edge by the edge's number, which is a key of one row; walks that stopped
+    are only counted. ``relevance`` is what the shares tend to.
+    """
+    edges, spans = kg.once("numbered edges", lambda: numbered_edges(kg))
+    digits = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), "context", "walk", F.lit(str(k))))
+    part = lambda column, at: F.conv(F.substring(column, at, 13), 16, 10).cast("double") / float(1 << 52)
+    begun = contexts.select("context").where("context is not null").distinct().repartition(1 + walks // 100_000, "context")
+    cut = begun.select("context", F.explode(F.sequence(F.lit(0), F.lit((walks - 1) // 1000))).alias("run")).repartition("context", "run")
+    moving = cut.select("context", F.explode(F.sequence(F.col("run") * 1000 + 1, F.least(F.lit(walks), (F.col("run") + 1) * 1000))).alias("walk"), F.col("context").alias("nid"))
+    stops, k = None, 0
+    while True:
+        drawn = moving.withColumn("_d", digits(k)).join(spans, "nid", "left")
+        stays = (part("_d", 1) < stop) | F.col("degree").isNull()
+        placed = drawn.select("context", "walk", "nid", F.when(~stays, F.col("first") + F.floor(part("_d", 14) * F.col("degree"))).alias("place")).transform(kept)
+        here = placed.where("place is null").groupBy("context", "nid").agg(F.count("*").alias("visits"))
+        stops = here if stops is None else stops.unionByName(here)
+        moving = placed.where("place is not null").join(edges, "place").select("context", "walk", F.col("dst").alias("nid"))
+        k += 1
+        if placed.where("place is not null").isEmpty():
+            break
+    return stops.groupBy("context", "nid").agg(F.sum("visits").alias("visits")).select("context", "nid", "visits", F.round(F.col("visits") / walks, 12).alias("score"))
+
+
 def type_relevance(kg: KnowledgeGraph, rel: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, type, score)``: the mean score over a type's nodes but the target; nodes without a score count 0.
 

@@ -8,6 +8,8 @@ from strikegraph.functions.columns import DECAYS
 from strikegraph.sources.star_schema import EDGES, KEYED, MORE, TYPES, VALUES, base, etype
 
 STOP, HOPS = 0.85, 8
+#: No walk of the sampled relevance takes more steps.
+WALK_STEPS = 14
 
 
 def _forward() -> str:
@@ -53,6 +55,13 @@ CTES = {
     "m0": "SELECT DISTINCT context, context AS nid, 1.0::DOUBLE AS mass FROM q",
     **{f"m{k}": f"SELECT context, dst AS nid, sum(mass * w) AS mass FROM m{k - 1} JOIN moves ON nid = src GROUP BY context, dst" for k in range(1, HOPS + 1)},
     "rel": "SELECT context, nid, round(sum(s), 12) AS score FROM (" + " UNION ALL ".join(f"SELECT context, nid, mass * {STOP * (1 - STOP) ** k!r} AS s FROM m{k}" for k in range(HOPS + 1)) + ") GROUP BY context, nid HAVING round(sum(s), 12) >= 1e-6",
+    # A million walks from each context, by number and step.
+    "numbered": "SELECT src, dst, row_number() OVER (ORDER BY src, etype, dst) - 1 AS place FROM edges",
+    "spans": "SELECT src AS nid, min(place) AS first, count(*) AS degree FROM numbered GROUP BY src",
+    "w0": "SELECT context, t.walk, context AS nid FROM (SELECT DISTINCT context FROM q), range(1, 1000001) t(walk)",
+    **{f"d{k}": f"SELECT context, walk, nid, CASE WHEN degree IS NOT NULL AND ('0x' || substr(d, 1, 13))::BIGINT / 4503599627370496.0 >= {STOP} THEN first + floor(('0x' || substr(d, 14, 13))::BIGINT / 4503599627370496.0 * degree)::BIGINT END AS place "
+       f"FROM (SELECT *, md5('1:' || context || ':' || walk || ':{k}') AS d FROM w{k}) LEFT JOIN spans USING (nid)" for k in range(WALK_STEPS)},
+    **{f"w{k + 1}": f"SELECT context, walk, dst AS nid FROM d{k} JOIN numbered USING (place)" for k in range(WALK_STEPS - 1)},
     "trel": "SELECT qid, type, round(sum(coalesce(score, 0)) / count(*), 12) AS score FROM q JOIN ntypes n ON n.nid <> target LEFT JOIN rel ON rel.context = q.context AND rel.nid = n.nid GROUP BY qid, type HAVING sum(score) IS NOT NULL",
     "best": "SELECT qid, nid, type FROM (SELECT qid, nid, type, row_number() OVER (PARTITION BY qid, nid ORDER BY score DESC, type) AS r FROM trel JOIN ntypes USING (type) WHERE score > 0) WHERE r = 1",
     "inn": "SELECT context, nid FROM rel WHERE nid IN (SELECT nid FROM ntypes)",
@@ -179,25 +188,26 @@ for _p, _least in (("oh", 0), ("bn", 5)):
 _ORDER = list(CTES)
 
 
-def sql(final: str) -> str:
-    """``final`` after the tables that it needs."""
+def sql(final: str, **over: str) -> str:
+    """``final`` after the tables that it needs; ``over`` replaces some of them."""
+    tables = {**CTES, **over}
     need, todo = set(), [final]
     while todo:
-        for w in set(re.findall(r"[a-z]\w*", todo.pop())) & set(CTES) - need:
+        for w in set(re.findall(r"[a-z]\w*", todo.pop())) & set(tables) - need:
             need.add(w)
-            todo.append(CTES[w])
+            todo.append(tables[w])
     done: list[str] = []
 
     def place(name: str) -> None:
         if name not in done:
-            for w in sorted(set(re.findall(r"[a-z]\w*", CTES[name])) & need - {name}):
+            for w in sorted(set(re.findall(r"[a-z]\w*", tables[name])) & need - {name}):
                 place(w)
             done.append(name)
 
     for name in _ORDER:
         if name in need:
             place(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in done) + "\n" + final
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({tables[n]})" for n in done) + "\n" + final
 
 
 def _join(column: str) -> str:
@@ -211,6 +221,9 @@ _RANKED = "SELECT qid, rank::INT AS rank, pattern, n_nodes, relevance, n_peers F
 _SIZED = "SELECT qid, pattern, count(*) AS n_peers, sum(nid)::BIGINT AS sum_nid FROM {p}_peers GROUP BY qid, pattern"
 _MATCHED = "SELECT qid, pattern, level, count(*) AS n, sum(nid)::BIGINT AS sum_nid, min(nid) AS min_nid, max(nid) AS max_nid FROM {p}_all GROUP BY qid, pattern, level"
 
+#: Every supplier with its nation.
+SUPPLIERS = f"SELECT s_suppkey::BIGINT AS qid, s_suppkey + {base('supp')} AS target, s_nationkey + {base('nation')} AS context FROM supplier"
+
 ORACLE_SQL: dict[str, str] = {
     name: sql(final)
     for name, final in {
@@ -226,6 +239,7 @@ ORACLE_SQL: dict[str, str] = {
         "specific_type": "SELECT nid, arg_min(type, (c, type)) AS type FROM ntypes JOIN (SELECT type, count(*) AS c FROM ntypes GROUP BY type) USING (type) GROUP BY nid",
         "one_label": "SELECT nid, label FROM lab1",
         "relevance_scores": "SELECT context, nid, round(score, 9) AS score FROM rel",
+        "sampled_relevance": "SELECT context, nid, count(*) AS visits, round(count(*) / 1000000, 12) AS score FROM (" + " UNION ALL ".join(f"SELECT context, nid FROM d{k} WHERE place IS NULL" for k in range(WALK_STEPS)) + ") GROUP BY context, nid",
         "total_relevance": "SELECT context, round(round(sum(score), 10), 8) AS total FROM rel WHERE nid <> context GROUP BY context",
         "type_relevance": "SELECT qid, type, round(score, 10) AS score FROM trel",
         "best_type": "SELECT b.qid, b.nid, b.type FROM best b JOIN q USING (qid) WHERE (q.context, b.nid) IN (SELECT context, nid FROM rel)",
@@ -251,6 +265,12 @@ ORACLE_SQL: dict[str, str] = {
             SELECT qid, b.dst AS nid, xor(b.etype, 1)::VARCHAR AS etypes, least(r0.score * {DECAYS[1]!r}, r1.score) AS s FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst WHERE b.dst NOT IN (target, q.context)
             UNION ALL SELECT qid, a.dst, xor(a.etype, 1) || '-' || xor(b.etype, 1), least(least(r0.score * {DECAYS[1]!r}, r1.score) * {DECAYS[1]!r}, r2.score) FROM q JOIN rel r0 ON r0.context = q.context AND r0.nid = q.context JOIN edges b ON b.src = q.context JOIN rel r1 ON r1.context = q.context AND r1.nid = b.dst
                 JOIN edges a ON a.src = b.dst JOIN rel r2 ON r2.context = q.context AND r2.nid = a.dst WHERE b.dst NOT IN (target, q.context) AND a.dst NOT IN (target, q.context)) GROUP BY qid, nid, etypes""",
+        "best_paths": f"""SELECT qid, rank::INT AS rank, {_join('nodes')}, {_join('etypes')}, round(path_score, 10) AS path_score FROM (
+            SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path_score DESC, array_to_string(nodes, '-'), array_to_string(etypes, '-')) AS rank FROM pscore) WHERE rank <= 20""",
+        "pattern_names": """SELECT t.qid, rank::INT AS rank, CASE x.n WHEN 2 THEN w0 || c WHEN 3 THEN w0 || w1 || c ELSE w0 || w1 || w2 || c END AS text, display FROM bi_top t JOIN (
+              SELECT p.qid, p.pattern, n, substr(l0, 3) || ' -' || n0.name || '-> ' AS w0, coalesce(i1.iri, substr(l1, 3)) || ' -' || n1.name || '-> ' AS w1, coalesce(i2.iri, substr(l2, 3)) || ' -' || n2.name || '-> ' AS w2, c.iri AS c
+              FROM bi p LEFT JOIN names n0 ON n0.etype = e0 LEFT JOIN names n1 ON n1.etype = e1 LEFT JOIN names n2 ON n2.etype = e2 LEFT JOIN nodes i1 ON 'I:' || i1.nid = l1 LEFT JOIN nodes i2 ON 'I:' || i2.nid = l2 JOIN nodes c ON c.nid = p.context) x USING (qid, pattern)
+            JOIN (SELECT qid, pattern, CASE WHEN count(DISTINCT nid) = 1 THEN min(iri) ELSE coalesce(min(type), 'ANY') END AS display FROM bi_peers LEFT JOIN ntypes USING (nid) JOIN nodes USING (nid) GROUP BY qid, pattern) d USING (qid, pattern)""",
         "path_scores": f"SELECT qid, {_join('nodes')}, {_join('etypes')}, round(path_score, 10) AS path_score FROM pscore",
         "pattern_enumeration": "SELECT qid, pattern, round(path_score, 10) AS path_score FROM lpat_all WHERE qid IN (SELECT qid FROM live)",
         "match_sets_labelled": _MATCHED.format(p="bi"),
@@ -317,3 +337,7 @@ ORACLE_SQL: dict[str, str] = {
         "render_facts": "SELECT qid, rank, fact_rank, '#' || rank || ' ' || pattern || ' peers=' || n_peers || ' ' || name || '=' || v.iri || ' shared by ' || value_freq || ' most have ' || t.iri || ' (' || top_freq || ')' AS text FROM (" + _MINE.format(p="bi", where="", k=2) + ") JOIN names USING (etype) JOIN nodes v ON v.nid = value JOIN nodes t ON t.nid = top_value",
     }.items()
 }
+ORACLE_SQL |= {
+    "patterns_every_supplier": sql(_RANKED.format(p="bi"), q=SUPPLIERS),
+    "mine_every_supplier": sql(_MINE.format(p="bi", where="", k=1), q=SUPPLIERS),
+}

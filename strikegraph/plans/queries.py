@@ -53,6 +53,10 @@ def relevance_scores(kg, q):
     return engine.scores(kg, q, BIDIRECTIONAL).withColumn("score", F.round("score", 9))
 
 
+def sampled_relevance(kg, q):
+    return relevance.sampled_relevance(kg, q.select("context"), walks=1_000_000)
+
+
 def type_relevance(kg, q):
     return relevance.type_relevance(kg, _rel(kg, q), q).withColumn("score", F.round("score", 10))
 
@@ -94,6 +98,11 @@ def paths_from_by_mean_relevance(kg, q):
     return paths.paths_by_mean_relevance(paths.paths_from(kg, q, 2), _rel(kg, q), 100)
 
 
+def best_paths(kg, q):
+    found = paths.best_paths(kg, q, _rel(kg, q), 20)
+    return _text(found.select("qid", "rank", "nodes", "etypes", rounded("path_score", 10).alias("path_score")), "nodes", "etypes")
+
+
 def path_scores(kg, q):
     scored = paths.path_scores(_between(kg, q, "bidirectional"), _rel(kg, q))
     return _text(scored.select("qid", "nodes", "etypes", rounded("path_score", 10).alias("path_score")), "nodes", "etypes")
@@ -351,6 +360,35 @@ def mined(config):
     return lambda kg, q: engine.mine(kg, q, config, _rel(kg, q))
 
 
+def _suppliers(kg):
+    """All suppliers with their nations, and the relevance to these."""
+
+    def make():
+        pairs = star_schema.supplier_pairs(kg).transform(kept)
+        return pairs, engine.scores(kg, pairs, BIDIRECTIONAL).transform(kept)
+
+    return kg.once("suppliers", make)
+
+
+def mine_every_supplier(kg, q):
+    """The best facts of every supplier in the context of its nation, as one batch."""
+    pairs, rel = _suppliers(kg)
+    return engine.mine(kg, pairs, BIDIRECTIONAL.with_(top_facts=1), rel)
+
+
+def patterns_every_supplier(kg, q):
+    pairs, rel = _suppliers(kg)
+    best, _ = engine.ranked_patterns(kg, engine.reachable(pairs, rel).transform(kept), rel, BIDIRECTIONAL)
+    return best.select("qid", "rank", "pattern", "n_nodes", "relevance", "n_peers")
+
+
+def pattern_names(kg, q):
+    """The best patterns with the names of their edge types and nodes instead of ids."""
+    _, _, best, members = _ranked(kg, q, BIDIRECTIONAL)
+    found, _ = _candidates(kg, q)
+    return patterns.named(kg, best.join(found.select("qid", "pattern", "labels", "etypes"), ["qid", "pattern"]), members).select("qid", "rank", "text", "display")
+
+
 def render_facts(kg, q):
     return engine.render(kg, engine.mine(kg, q, BIDIRECTIONAL.with_(top_facts=2), _rel(kg, q)))
 
@@ -381,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "specific_type": lambda kg, q: graph.specific_type(kg.node_types),
         "one_label": specific_or_first,
         "relevance_scores": relevance_scores,
+        "sampled_relevance": sampled_relevance,
         "total_relevance": lambda kg, q: relevance.total_relevance(_rel(kg, q)).withColumn("total", F.round("total", 8)),
         "type_relevance": type_relevance,
         "best_type": best_type,
@@ -396,6 +435,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "forward_paths": between("forward"),
         "reverse_index_2hop": reverse_index_2hop,
         "path_scores": path_scores,
+        "best_paths": best_paths,
         "pattern_enumeration": pattern_enumeration,
         "match_sets_labelled": match_sets(BIDIRECTIONAL),
         "match_sets_edges": match_sets(REVERSE),
@@ -443,6 +483,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "mine_bidirectional": mined(BIDIRECTIONAL),
         "mine_reverse": mined(REVERSE),
         "mine_naive": mined(NAIVE),
+        "mine_every_supplier": mine_every_supplier,
+        "patterns_every_supplier": patterns_every_supplier,
+        "pattern_names": pattern_names,
         "render_facts": render_facts,
     }.items()
 }

@@ -329,3 +329,41 @@ def test_probabilities_and_counts_to_three_hops(spark, hops):
             simple[es, ns[-1]] = simple.get((es, ns[-1]), 0) + 1
     q = spark.createDataFrame([(1, 100, 3)], "qid int, target long, context long")
     assert {(tuple(r.etypes), r.end): r.n_paths for r in paths.simple_path_counts(kg, q, hops).collect()} == simple
+
+
+def test_sampled_walks_tend_to_the_series(spark):
+    kg, forward = hub_graph(spark)
+    contexts = spark.createDataFrame([(1,), (100,), (999,), (1,)], "context long")
+    got = relevance.sampled_relevance(kg, contexts, walks=40_000, seed=3).collect()
+    for c in (1, 100):
+        exact = plain_relevance(forward, c, hops=20)
+        found = {r.nid: r.score for r in got if r.context == c}
+        assert sum(r.visits for r in got if r.context == c) == 40_000
+        assert all(abs(found.get(n, 0.0) - s) < 5 * (s / 40_000) ** 0.5 + 1e-9 for n, s in exact.items())
+    assert [(r.nid, r.visits) for r in got if r.context == 999] == [(999, 40_000)]
+    again = relevance.sampled_relevance(KnowledgeGraph(kg.nodes, kg.edge_types, kg.node_types, kg.edges.repartition(7)), contexts.repartition(5), walks=40_000, seed=3)
+    assert rows(again) == sorted(tuple(r) for r in got)
+
+
+@pytest.mark.parametrize("k,first", [(1, 1), (3, 1), (5, 2), (50, None)])
+def test_best_paths_are_the_best_of_all(spark, k, first):
+    forward = [(1, 0, 2), (2, 0, 3), (3, 0, 4), (1, 2, 3), (2, 2, 4), (5, 0, 4), (2, 0, 5), (1, 4, 5), (1, 6, 4), (6, 0, 1), (6, 2, 4), (7, 0, 2), (7, 2, 3)]
+    kg = kg_of(spark, forward, [(n, "t") for n in (1, 2, 3, 4, 6, 7)])  # node 5 has no type, so no path goes through it
+    q = spark.createDataFrame([(1, 1, 4), (2, 7, 1), (3, 5, 4)], "qid int, target long, context long")
+    rel = relevance.relevance(kg, q.select("context")).persist()
+    every = paths.path_scores(paths.paths_between(kg, q, rel, 4, 2), rel).collect()
+    text = lambda xs: "-".join(map(str, xs))
+    want = {i: sorted(((-r.path_score, text(r.nodes), text(r.etypes)) for r in every if r.qid == i))[:k] for i in (1, 2, 3)}
+    got = {i: [] for i in want}
+    for r in sorted(paths.best_paths(kg, q, rel, k, first=first).collect(), key=lambda r: r["rank"]):
+        got[r.qid].append((-r.path_score, text(r.nodes), text(r.etypes)))
+    assert got == want
+
+
+def test_patterns_by_name(web):
+    kg, q, rel = web
+    config = BIDIRECTIONAL.with_(min_peers=1, min_path_nodes=2)
+    found = engine.candidate_patterns(kg, q, rel, config)
+    best, members = engine.ranked_patterns(kg, q, rel, config)
+    got = {r.text: r.display for r in patterns.named(kg, best.join(found.select("qid", "pattern", "labels", "etypes"), ["qid", "pattern"]), members).collect()}
+    assert got["p -e0-> m -e2-> n/9"] == "p" and "p -e0-> n/5 -e2-> n/9" in got
