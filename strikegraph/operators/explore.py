@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strikegraph.functions.columns import signature
 from strikegraph.operators.graph import KnowledgeGraph
 from strikegraph.operators.relevance import ranked
-from strikegraph.sources.shared import bucketed, kept
+from strikegraph.sources.shared import kept
 
 KEY = ["source", "etypes"]
 
@@ -32,7 +32,7 @@ def pattern_probability(kg: KnowledgeGraph, sources: DataFrame, hops: int, forwa
     The last hop goes on from sums by node, not by node and predecessor, and takes off what would return: behind a hub, each edge
     is followed once for a sequence, not once for each way to the hub.
     """
-    edges = kg.once(("spread", forward_only), lambda: bucketed(spread_edges(kg, forward_only), "src"))
+    edges = kg.once(("spread", forward_only), lambda: spread_edges(kg, forward_only).transform(kept))
     state = sources.select("source", F.array().cast("array<int>").alias("etypes"), F.lit(None).cast("long").alias("came"), F.col("source").alias("src"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"))
     out = []
     for _ in range(hops - 1):

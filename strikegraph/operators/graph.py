@@ -22,6 +22,8 @@ class KnowledgeGraph:
     edge_types: DataFrame
     node_types: DataFrame
     edges: DataFrame
+    #: The edges in slices and the hubs, where they are written already.
+    sliced: tuple[DataFrame, DataFrame] | None = field(default=None, repr=False)
     #: What queries look into, worked out once for the graph and freed with it.
     held: dict = field(default_factory=dict, repr=False)
 
@@ -36,11 +38,23 @@ class KnowledgeGraph:
 
     def cached(self) -> KnowledgeGraph:
         """The same graph as written tables, the edges in buckets of their source."""
-        return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types)), bucketed(self.edges, "src"))
+        sliced = sliced_edges(self.edges)
+        return KnowledgeGraph(*(d.transform(kept) for d in (self.nodes, self.edge_types, self.node_types)), sliced[0].select("src", "etype", "dst"), sliced)
+
+    def out_edges(self) -> tuple[DataFrame, DataFrame]:
+        """``sliced_edges`` of the graph."""
+        return self.sliced or self.once("sliced", lambda: sliced_edges(self.edges))
 
     def moves(self) -> tuple[DataFrame, DataFrame]:
-        """``(src, slice, dst, w)``, the steps of a random walk with their probabilities in buckets of ``src, slice``, and ``(src, slices)`` of the hubs."""
-        return self.once("moves", lambda: sliced_moves(self.edges))
+        """``(src, slice, dst, w)``, the steps of a random walk with their probabilities in buckets of ``src, slice``, and the hubs."""
+
+        def make() -> tuple[DataFrame, DataFrame]:
+            edges, hubs = self.out_edges()
+            d = degrees(self.edges).withColumnRenamed("nid", "src")
+            step = edges.groupBy("src", "slice", "dst").agg(F.count("*").alias("n")).join(d, "src")
+            return bucketed(step.select("src", "slice", "dst", (F.col("n") / F.col("degree")).alias("w")), "src", "slice"), hubs
+
+        return self.once("moves", make)
 
 
 def both_directions(forward: DataFrame) -> DataFrame:
@@ -82,14 +96,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("nid")).agg(F.count("*").alias("degree"))
 
 
-def sliced_moves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``KnowledgeGraph.moves`` of ``edges``: a hub's edges lie in slices, so that no bucket holds many more edges than another."""
+def sliced_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(src, slice, etype, dst)`` in buckets of ``src, slice``, and ``(src, slices)`` of the hubs, of which there are at most ``2 * HUBS``.
+
+    A hub's edges lie in several slices, so that no bucket holds many more edges than another.
+    """
     d = degrees(edges).withColumnRenamed("nid", "src").transform(kept)
     size = max(SLICE_EDGES, (d.agg(F.sum("degree")).first()[0] or 0) // HUBS)
     hubs = d.where(F.col("degree") > size).select("src", F.ceil(F.col("degree") / size).cast("int").alias("slices")).transform(kept)
-    step = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(d, "src").join(F.broadcast(hubs), "src", "left")
-    slice_ = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int")
-    return bucketed(step.select("src", slice_.alias("slice"), "dst", (F.col("n") / F.col("degree")).alias("w")), "src", "slice"), hubs
+    slice_ = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice")
+    return bucketed(edges.join(F.broadcast(hubs), "src", "left").select("src", slice_, "etype", "dst"), "src", "slice"), hubs
+
+
+def with_slices(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows(src, ...)`` once for each slice of their ``src``: mostly once, for a hub several times."""
+    cut = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
+    return rows.join(F.broadcast(hubs), "src", "left").select(*rows.columns, cut)
+
+
+def follow(kg: KnowledgeGraph, rows: DataFrame) -> DataFrame:
+    """``rows(src, ...)`` with each edge ``etype, dst`` of their ``src``.
+
+    The edges are read in place, bucket by bucket; only ``rows`` move, and those at a hub go to all of its slices.
+    """
+    edges, hubs = kg.out_edges()
+    return with_slices(rows, hubs).join(edges, ["src", "slice"]).drop("slice")
 
 
 def spread_ratio(edges: DataFrame) -> DataFrame:

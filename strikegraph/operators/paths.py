@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikegraph.functions.columns import DECAYS, reverse_etypes, rounded, signature
-from strikegraph.operators.graph import KnowledgeGraph
+from strikegraph.operators.graph import KnowledgeGraph, follow
 from strikegraph.sources.shared import kept
 
 
@@ -21,7 +21,7 @@ def expand(kg: KnowledgeGraph, frontier: DataFrame, inner: DataFrame | None = No
 
     ``inner(context, nid)`` restricts where a hop may end; ``keep`` is a further predicate on the hop's columns.
     """
-    out = frontier.withColumn("src", F.element_at("nodes", -1)).join(kg.edges, "src").where(~F.array_contains("nodes", F.col("dst")))
+    out = follow(kg, frontier.withColumn("src", F.element_at("nodes", -1))).where(~F.array_contains("nodes", F.col("dst")))
     if keep is not None:
         out = out.where(keep)
     if inner is not None:
@@ -89,15 +89,15 @@ def simple_path_counts(kg: KnowledgeGraph, queries: DataFrame, hops: int) -> Dat
     """
     if not 1 <= hops <= 3:
         raise ValueError("simple paths are counted up to three edges")
-    first = queries.select("qid", "target", F.col("target").alias("src")).join(kg.edges, "src").select("qid", "target", F.array("etype").alias("etypes"), F.col("dst").alias("end"))
+    first = follow(kg, queries.select("qid", "target", F.col("target").alias("src"))).select("qid", "target", F.array("etype").alias("etypes"), F.col("dst").alias("end"))
     out = [first.groupBy("qid", "etypes", "end").agg(F.count("*").alias("n_paths"))]
     grown = lambda step, *more: step.select("qid", "target", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("dst").alias("end"), *more)
     if hops > 1:
-        second = grown(first.withColumnRenamed("end", "src").join(kg.edges, "src").where("dst <> target"), F.col("src").alias("came")).transform(kept)
+        second = grown(follow(kg, first.withColumnRenamed("end", "src")).where("dst <> target"), F.col("src").alias("came")).transform(kept)
         out.append(second.groupBy("qid", "etypes", "end").agg(F.count("*").alias("n_paths")))
     if hops > 2:
         sums = second.groupBy("qid", "target", "etypes", F.col("end").alias("src")).agg(F.count("*").alias("n"))
-        ahead = grown(sums.join(kg.edges, "src").where("dst <> target"), "n")
+        ahead = grown(follow(kg, sums).where("dst <> target"), "n")
         back = grown(second.withColumnRenamed("end", "src").join(kg.edges.withColumn("came", F.col("dst")), ["src", "came"]), F.lit(-1).cast("long").alias("n"))
         out.append(ahead.unionByName(back).groupBy("qid", "etypes", "end").agg(F.sum("n").alias("n_paths")).where("n_paths > 0"))
     return reduce(DataFrame.unionByName, out)
@@ -127,7 +127,7 @@ def reverse_index(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, hops:
     step = queries.select("qid", "target", "context", F.col("context").alias("nid"), F.array().cast("array<int>").alias("etypes")).join(rel, ["context", "nid"])
     out = []
     for _ in range(hops):
-        grown = step.select("qid", "target", "context", F.col("nid").alias("src"), "etypes", F.col("score").alias("before")).join(kg.edges, "src").where("dst <> target and dst <> context")
+        grown = step.select("qid", "target", "context", F.col("nid").alias("src"), "etypes", F.col("score").alias("before")).transform(lambda rows: follow(kg, rows)).where("dst <> target and dst <> context")
         grown = grown.join(inner, ["context", "dst"]).select("qid", "target", "context", F.col("dst").alias("nid"), F.concat(F.array(F.col("etype").bitwiseXOR(1)), "etypes").alias("etypes"), F.least(F.col("before") * DECAYS[1], "score").alias("score"))
         step = grown.groupBy("qid", "target", "context", "nid", "etypes").agg(F.max("score").alias("score"))
         out.append(step)
@@ -157,12 +157,12 @@ def best_paths(kg: KnowledgeGraph, queries: DataFrame, rel: DataFrame, k: int, m
         return there.select("qid", "target", "context", F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("etypes", F.array("etype")).alias("etypes"), "left", bound.alias("bound"))
 
     ways = F.explode(F.sequence(F.lit(least - 2), F.lit(most - 2))).alias("left")
-    begun = further(own.select("*", F.col("target").alias("src"), F.array("target").alias("nodes"), F.array().cast("array<int>").alias("etypes"), ways).join(kg.edges, "src")).transform(kept)
+    begun = further(own.select("*", F.col("target").alias("src"), F.array("target").alias("nodes"), F.array().cast("array<int>").alias("etypes"), ways).transform(lambda rows: follow(kg, rows))).transform(kept)
 
     def walked(frontier: DataFrame, kth: DataFrame | None) -> DataFrame:
         done = [frontier.where("left = 0")]
         for _ in range(most - 2):
-            step = frontier.where("left > 0").withColumn("src", F.element_at("nodes", -1)).join(kg.edges, "src").where(~F.array_contains("nodes", F.col("dst"))).withColumn("left", F.col("left") - 1)
+            step = follow(kg, frontier.where("left > 0").withColumn("src", F.element_at("nodes", -1))).where(~F.array_contains("nodes", F.col("dst"))).withColumn("left", F.col("left") - 1)
             frontier = further(step)
             frontier = (frontier.join(kth, "qid", "left").where("kth is null or bound + 2e-10 >= kth").drop("kth") if kth is not None else frontier).transform(kept)
             done.append(frontier.where("left = 0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikegraph.operators.graph import KnowledgeGraph, dense_places
+from strikegraph.operators.graph import KnowledgeGraph, dense_places, with_slices
 from strikegraph.sources.shared import kept
 
 #: Contexts whose masses go side by side in a row.
@@ -31,9 +31,7 @@ def relevance(kg: KnowledgeGraph, contexts: DataFrame, stop: float = 0.85, hops:
     sums = None
     for k in range(hops + 1):
         if k:
-            cut = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice")
-            ready = state.join(F.broadcast(hubs.withColumnRenamed("src", "nid")), "nid", "left").select("block", "nid", cut, *m)
-            step = ready.join(moves, (ready.nid == moves.src) & (ready.slice == moves.slice))
+            step = with_slices(state.withColumnRenamed("nid", "src"), hubs).join(moves, ["src", "slice"])
             state = step.groupBy("block", F.col("dst").alias("nid")).agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in m)).transform(kept)
         part = state.select("block", "nid", *((F.col(c) * (stop * (1 - stop) ** k)).alias(c) for c in m))
         sums = part if sums is None else sums.unionByName(part)
