@@ -12,6 +12,7 @@ and remote stores; the codes are in its binary columns.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -111,6 +112,14 @@ WORD_SPLIT = {
 }
 
 
+#: Words of printable ASCII and letters of Latin-1, which NFC leaves alone, and what ``WORD_SPLIT`` finds in them in lower case.
+LATIN = re.compile("[!-~À-ÿ]+")
+LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How byte-level models write a byte: as the character of its number where that can be shown, else as one from 256 on.
+BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
 def by_words(path: str) -> bool:
     """Whether the tokenizer at ``path`` is known to encode a text word by word."""
     with open(path, encoding="utf-8") as f:
@@ -149,14 +158,19 @@ class WordEncoder:
     def clear(self) -> None:
         # No word is empty, so b"" can stand for the end of a document.
         self.at, self.ids, self.start = {b"": 0}, array("I", [self.end_id]), array("q", [0, 1])
+        self.pieces: dict[str, list[int]] = {}
 
     def _encode(self, word: bytes) -> list[int]:
-        if word.isalpha():  # ASCII letters: one piece for the model, and its byte-level form is itself
-            return [t.id for t in self.tokenizer.model.tokenize(word.lower().decode())]
-        stem = word[:-1]
-        if word[-1:] in (b".", b",") and stem.isalpha():
-            return self._encode(stem) + self._encode_text(word[-1:])
-        return self._encode_text(word)
+        text = word.decode("utf-8")
+        if not LATIN.fullmatch(text) or "<|" in text:
+            return self._encode_text(word)
+        out: list[int] = []
+        for piece in LATIN_PIECES.findall(text.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_SIGNS.__getitem__, piece.encode())))]
+            out += ids
+        return out
 
     def _encode_text(self, word: bytes) -> list[int]:
         return self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids

@@ -122,6 +122,8 @@ def test_words_encode_as_whole_texts(word_bpe):
     signs = "aAzZéÉßñÑ09.,;:!?'\"-_*#%|<>~ \n\t\r\x0b\x0c\x1c\x85  ́̌̇İΣſK漢字🙂"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(800)]
     texts += [" ".join(rng.choice(["The", "of.", "it's", "DON'T", "<|endoftext|>", "<|ENDOFTEXT|>.", "word,", "é,", "x..", "J̌"]) for _ in range(20)) for _ in range(200)]
+    latin = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x100)]] + ["'s", "'LL", "'Re"]
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(300)]
     encode = tokens.WordEncoder(word_bpe, 1, limit=50)
     for i in range(0, len(texts), 100):
         ids, sizes = encode(texts[i : i + 100])
