@@ -87,14 +87,15 @@ def fact_scores(kg: KnowledgeGraph, members: DataFrame, facts: DataFrame, eligib
     at = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     total = total.select(*FACT, (at("n_v") + at("into") + 1).alias("value_freq"), (at("p") + 1).alias("population"), "rank_v").transform(kept)
     levels = counts.groupBy(*key, "n").agg(F.sum("n").alias("mass"))
-    above = total.join(levels, key).where("n > value_freq").groupBy(*FACT).agg(F.sum("mass").alias("above"))
+    # Facts of a set and attribute with the same frequency, as the many of values that nobody else has, meet the levels once.
+    above = total.select(*key, "value_freq").distinct().join(levels, key).where("n > value_freq").groupBy(*key, "value_freq").agg(F.sum("mass").alias("above"))
     given = moves.join(counts, [*key, "x"]).join(total.select(*FACT, "value_freq"), FACT).withColumn("left", F.col("n") - F.col("m")).transform(kept)
     change = F.when(F.col("left") > F.col("value_freq"), F.col("left")).otherwise(0) - F.when(F.col("n") > F.col("value_freq"), F.col("n")).otherwise(0)
     changed = given.groupBy(*FACT).agg(F.sum(change).alias("change"), F.min(F.when(F.col("left") > 0, F.struct((-F.col("left")).alias("f"), "x"))).alias("giver"))
     gone = given.select(*FACT, "rank").unionByName(total.where("rank_v is not null").select(*FACT, F.col("rank_v").alias("rank")))
     prefix = ranked(gone.withColumnRenamed("rank", "r"), FACT, "r").where("r = rank").groupBy(*FACT).agg(F.count("*").alias("c"))
     first = total.select(*FACT).join(prefix, FACT, "left").withColumn("rank", (at("c") + 1).cast("int")).join(counts, [*key, "rank"]).select(*FACT, F.struct((-F.col("n")).alias("f"), "x").alias("keeper"))
-    out = total.join(above, FACT, "left").join(changed, FACT, "left").join(first, FACT, "left")
+    out = total.join(above, [*key, "value_freq"], "left").join(changed, FACT, "left").join(first, FACT, "left")
     top = F.least(F.struct((-F.col("value_freq")).alias("f"), F.col("value").alias("x")), "giver", "keeper")
     s = F.when(F.col("population") < min_population, F.lit(0.0)).otherwise(F.round((at("above") + at("change")) / F.col("population"), 10))
     return out.withColumn("top", top).select(*FACT, s.alias("strikingness"), "value_freq", F.col("top.x").alias("top_value"), (-F.col("top.f")).alias("top_freq"), "population")

