@@ -115,6 +115,8 @@ WORD_SPLIT = {
 #: Words of printable ASCII and letters of Latin-1, which NFC leaves alone, and what ``WORD_SPLIT`` finds in them in lower case.
 LATIN = re.compile("[!-~À-ÿ]+")
 LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Parts of words that are kept at most.
+PIECES = 50_000
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: How byte-level models write a byte: as the character of its number where that can be shown, else as one from 256 on.
 BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
@@ -164,14 +166,22 @@ class WordEncoder:
         text = word.decode("utf-8")
         if not LATIN.fullmatch(text) or "<|" in text:
             return self._encode_text(word)
+        found = LATIN_PIECES.findall(text.lower())
+        if len(found) == 1:  # it is kept as a word
+            return self._encode_piece(found[0])
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         out: list[int] = []
-        for piece in LATIN_PIECES.findall(text.lower()):
+        for piece in found:
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_SIGNS.__getitem__, piece.encode())))]
+                ids = self.pieces[piece] = self._encode_piece(piece)
             out += ids
         return out
 
+    def _encode_piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_SIGNS.__getitem__, piece.encode())))]
+
     def _encode_text(self, word: bytes) -> list[int]:
         return self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
 
