@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikegraph.functions.columns import DECAYS, instance_label, interleave, signature, type_label
+from strikegraph.functions.columns import DECAYS, instance_label, interleave, rounded, signature, type_label
 from strikegraph.operators.graph import KnowledgeGraph, node_labels
 from strikegraph.operators.relevance import best_type, ranked
 from strikegraph.sources.shared import kept, release
@@ -174,8 +174,8 @@ def bounds(suffixes: Suffixes, rel: DataFrame, context_level: bool = True) -> Da
     at = peers(suffixes).join(s, ["qid", "pattern"])
     counted = F.lit(True) if context_level else F.col("nid") != F.col("context")
     sums = at.join(rel, ["context", "nid"], "left").groupBy("qid", "pattern").agg(F.count("*").alias("n_peers"), F.sum(F.when(counted, F.coalesce("score", F.lit(0.0)))).alias("s"), F.count_if(counted).alias("n"))
-    mean = F.round(F.round(F.col("s") / F.nullif("n", F.lit(0)), 12) * DECAYS[0], 10)
-    return s.join(sums, ["qid", "pattern"], "left").select("qid", "pattern", (F.col("m") + 1).alias("n_nodes"), F.coalesce("n_peers", F.lit(0)).alias("n_peers"), F.round("path_score", 10).alias("path_bound"), F.coalesce(mean, F.lit(float("inf"))).alias("peer_bound"))
+    mean = rounded(F.round(F.col("s") / F.nullif("n", F.lit(0)), 12) * DECAYS[0], 10)
+    return s.join(sums, ["qid", "pattern"], "left").select("qid", "pattern", (F.col("m") + 1).alias("n_nodes"), F.coalesce("n_peers", F.lit(0)).alias("n_peers"), rounded("path_score", 10).alias("path_bound"), F.coalesce(mean, F.lit(float("inf"))).alias("peer_bound"))
 
 
 @dataclass
