@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikegraph.functions.columns import DECAYS, instance_label, interleave, rounded, signature, type_label
@@ -246,18 +246,41 @@ def distinct_peer_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, members.join(first, ["qid", "pattern"]).select("qid", "set_id", "nid")
 
 
+#: Values of a hash within a class of frequency.
+SPREAD = 64
+
+
+def prefixes(members: DataFrame, limit: float) -> DataFrame:
+    """``(qid, pattern, n, nid)``: of each set, the rare members of which two sets at a distance under ``limit`` share at least one.
+
+    Members have one order for all sets: classes of frequency, rare ones first, and a hash within them. Two such sets share more than
+    ``(1 - limit) * n`` members, so the first one that both have is among the first ``n - (1 - limit) * n + 1`` of either. Sets are counted by
+    class and hash value, so that no set is sorted in one task; the last class that is needed is taken whole.
+    """
+    often = members.groupBy("qid", "nid").agg(F.count("*").alias("often"))
+    place = F.floor(F.log2("often")).cast("int") * SPREAD + F.pmod(F.xxhash64("nid"), F.lit(SPREAD)).cast("int")
+    placed = members.join(often, ["qid", "nid"]).select("qid", "pattern", "nid", place.alias("place"))
+    counts = placed.groupBy("qid", "pattern", "place").agg(F.count("*").alias("k"))
+    whole = Window.partitionBy("qid", "pattern")  # at most SPREAD places a class of frequency, and 64 classes
+    so_far = counts.select("qid", "pattern", "place", F.sum("k").over(whole).alias("n"), (F.sum("k").over(whole.orderBy("place")) - F.col("k")).alias("before"))
+    needed = so_far.where(F.col("before") < F.col("n") - F.ceil((1 - limit) * F.col("n") - 1e-6) + 1)
+    return placed.join(needed.drop("before"), ["qid", "pattern", "place"]).select("qid", "pattern", "n", "nid")
+
+
+def close_candidates(members: DataFrame, limit: float) -> DataFrame:
+    """``(qid, a, b, n_a, n_b)``: pairs ``a < b`` of sets of near sizes that share one of their ``prefixes``."""
+    first = prefixes(members, limit).transform(kept)
+    side = lambda x: first.select("qid", "nid", F.col("pattern").alias(x), F.col("n").alias(f"n_{x}"))
+    met = side("a").join(side("b"), ["qid", "nid"]).where("a < b").where(F.least("n_a", "n_b") > (1 - limit) * F.greatest("n_a", "n_b"))
+    return met.select("qid", "a", "b", "n_a", "n_b").distinct()
+
+
 def peer_jaccard(members: DataFrame, limit: float = 0.1) -> DataFrame:
     """``(qid, a, b, distance)``: pairs of patterns, ``a < b``, whose peers are at a Jaccard distance under ``limit``.
 
-    Only sets whose sizes are within the limit are paired, in steps of size so that the range is an equi-join; what two
-    sets share is counted over their members.
+    What two ``close_candidates`` share is counted over their members; no other pair is compared.
     """
-    sizes = members.groupBy("qid", "pattern").agg(F.count("*").alias("n"))
-    step = -F.log(F.lit(1 - limit))
-    placed = sizes.withColumn("bin", F.floor(F.log("n") / step))
-    a = placed.select("qid", F.col("pattern").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(F.col("bin") - 1, "bin", F.col("bin") + 1)).alias("bin"))
-    b = placed.select("qid", F.col("pattern").alias("b"), F.col("n").alias("n_b"), "bin")
-    near = a.join(b, ["qid", "bin"]).where("a < b").where(F.least("n_a", "n_b") > (1 - limit) * F.greatest("n_a", "n_b"))
+    near = close_candidates(members, limit).transform(kept)
     shared = near.join(members.select("qid", F.col("pattern").alias("a"), "nid"), ["qid", "a"]).join(members.select("qid", F.col("pattern").alias("b"), "nid"), ["qid", "b", "nid"])
     both = shared.groupBy("qid", "a", "b", "n_a", "n_b").agg(F.count("*").alias("n"))
     return both.select("qid", "a", "b", F.round(1 - F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 10).alias("distance")).where(F.col("distance") < limit)

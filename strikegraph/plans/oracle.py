@@ -340,4 +340,7 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL |= {
     "patterns_every_supplier": sql(_RANKED.format(p="bi"), q=SUPPLIERS),
     "mine_every_supplier": sql(_MINE.format(p="bi", where="", k=1), q=SUPPLIERS),
+    "pair_names": sql("SELECT target, context FROM q", q=SUPPLIERS),
+    "mine_folder": sql("SELECT target, context, f.* EXCLUDE (qid) FROM (" + _MINE.format(p="bi", where="", k=1) + ") f JOIN q USING (qid)", q=SUPPLIERS),
+    "effective_pairs": sql("SELECT DISTINCT target, context FROM (" + _MINE.format(p="bi", where="", k=1) + ") f JOIN q USING (qid)", q=SUPPLIERS),
 }

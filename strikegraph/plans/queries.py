@@ -388,6 +388,38 @@ def mine_every_supplier(kg, q):
     return engine.mine(kg, pairs, BIDIRECTIONAL.with_(top_facts=1), rel)
 
 
+def pair_names(kg, q):
+    """Every supplier and its nation as a file of names, beside a comment, a lone name and pairs with an unknown name, read again as ids."""
+    at = _file(kg, "names")
+    name = lambda side: kg.nodes.select(F.col("nid").alias(side), F.col("iri").alias(f"{side}_name"))
+    named = _suppliers(kg)[0].join(name("target"), "target").join(name("context"), "context")
+    lines = F.explode(F.array(F.concat_ws(" ", "target_name", "context_name"), F.concat("target_name", F.lit("  nobody")), F.concat(F.lit("# "), "target_name"), F.col("target_name")))
+    named.select(lines.alias("value")).write.text(at)
+    return graph_io.read_iri_pairs(q.sparkSession, kg, at).select("target", "context")
+
+
+def _folder(kg):
+    """What a folder of pair files, every supplier in the context of its nation, gives, and where its effective pairs are."""
+    pairs, rel = _suppliers(kg)
+    at, out = _file(kg, "folder"), _file(kg, "effective")
+    pairs.select(F.concat_ws(" ", "target", "context").alias("value")).write.text(at)
+    mine = lambda g, batch: engine.mine(g, batch, BIDIRECTIONAL.with_(top_facts=1), rel)
+    return graph_io.process_folder(kg.edges.sparkSession, kg, at, out, mine), pairs, out
+
+
+def mine_folder(kg, q):
+    """The best facts of a folder of pair files, by pair."""
+    found, pairs, _ = kg.once("folder", lambda: _folder(kg))
+    by_pair = pairs.select(F.xxhash64("target", "context").alias("qid"), "target", "context")
+    return by_pair.join(found, "qid").drop("qid")
+
+
+def effective_pairs(kg, q):
+    """The pairs of the folder that gave results, from the files written for them."""
+    out = kg.once("folder", lambda: _folder(kg))[2]
+    return graph_io.read_pairs(q.sparkSession, kg, out).select("target", "context")
+
+
 def patterns_every_supplier(kg, q):
     pairs, rel = _suppliers(kg)
     best, _ = engine.ranked_patterns(kg, engine.reachable(pairs, rel).transform(kept), rel, BIDIRECTIONAL)
@@ -497,6 +529,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "mine_naive": mined(NAIVE),
         "mine_every_supplier": mine_every_supplier,
         "patterns_every_supplier": patterns_every_supplier,
+        "pair_names": pair_names,
+        "mine_folder": mine_folder,
+        "effective_pairs": effective_pairs,
         "pattern_names": pattern_names,
         "render_facts": render_facts,
     }.items()

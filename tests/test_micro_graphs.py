@@ -1,6 +1,7 @@
 """Graphs small enough to work out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,6 +168,26 @@ def test_equal_peers_are_scored_once(spark):
     assert rows(patterns.peer_jaccard(members, 0.6)) == [(1, "a", "b", 0.0), (1, "a", "c", 0.5), (1, "b", "c", 0.5)]
 
 
+@pytest.mark.parametrize("limit", [0.1, 0.3, 1.0])
+def test_prefixes_lose_no_close_pair(spark, limit):
+    rnd = random.Random(5)
+    sets = {}
+    for i in range(60):
+        base = list(sets[rnd.randrange(i)]) if i and rnd.random() < 0.7 else rnd.sample(range(300), rnd.choice([1, 2, 9, 10, 40, 120]))
+        kept_members = [n for n in base if rnd.random() > 0.04] or base
+        sets[i] = set(kept_members) | set(rnd.sample(range(300), len(base) // 20))
+    members = spark.createDataFrame([(q, f"{i:02}", n) for q in (1, 2) for i, s in sets.items() for n in s if q == 1 or i % 3], "qid int, pattern string, nid long")
+    want = set()
+    for q in (1, 2):
+        live = [i for i in sets if q == 1 or i % 3]
+        far = {(a, b): 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in live for b in live if a < b}
+        want |= {(q, f"{a:02}", f"{b:02}", round(d, 8)) for (a, b), d in far.items() if round(d, 10) < limit}
+    got = patterns.peer_jaccard(members, limit).collect()
+    assert {(*tuple(r)[:3], round(r.distance, 8)) for r in got} == want and len(got) == len(want) > 0
+    if limit == 0.1:
+        assert patterns.prefixes(members, limit).count() < members.count() / 2
+
+
 def test_close_peer_sets_are_merged_along_chains(spark):
     sizes = {"d": range(0, 20), "c": range(0, 21), "b": range(0, 22), "a": range(0, 23), "e": range(0, 20), "far": range(100, 120)}
     members = spark.createDataFrame([(q, p, n) for q in (1, 2) for p, ns in sizes.items() for n in ns if (q, p) != (2, "b")], "qid int, pattern string, nid long")

@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["kg_edges", "first_value", "best_type", "bidirectional_paths", "pattern_enumeration", "top_patterns", "one_hop_facts", "mine_bidirectional", "mine_reverse", "blind_top_facts"]
-NAMES += ["sampled_relevance", "snapshot_relevance", "simple_paths_3hop", "pattern_probability_3hop", "pattern_support_3hop", "top_path_patterns_3hop", "best_paths", "pattern_bounds", "mine_counters", "pattern_names", "mine_every_supplier"]
+NAMES += ["sampled_relevance", "snapshot_relevance", "simple_paths_3hop", "pattern_probability_3hop", "pattern_support_3hop", "top_path_patterns_3hop", "best_paths", "pattern_bounds", "mine_counters", "pattern_names", "mine_every_supplier", "pair_names", "mine_folder", "effective_pairs", "peer_jaccard", "merged_peer_sets"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
