@@ -106,6 +106,30 @@ def test_match_sets_are_trimmed_both_ways(web):
     assert [r.pattern for r in few] == ["T:p|0|T:m|2|I:9"]
 
 
+def test_named_nodes_behind_a_hub_share_their_peers(spark):
+    """Thirty patterns, one for each member of hub 500 that leads to 900, have the same thirty peers, which are found and held once."""
+    n = 30
+    kg = kg_of(spark, [(i, 0, 500) for i in range(1, n + 1)] + [(i, 2, 900) for i in range(1, n + 1)])
+    found = spark.createDataFrame([(1, 900, f"T:t|0|I:500|1|I:{i}|2|I:900", ["T:t", "I:500", f"I:{i}", "I:900"], [0, 1, 2], 0.5) for i in range(1, n + 1)], "qid int, context long, pattern string, labels array<string>, etypes array<int>, path_score double")
+    suffixes = patterns.suffix_sets(kg, found, 4, True)
+    assert suffixes.sets[3].count() == n and suffixes.sets[2].count() == 1 and suffixes.sets[1].count() == n
+    assert max(m.count() for m in suffixes.moves.values()) == n
+    assert suffixes.patterns.select("peers").distinct().count() == 1
+    got = {}
+    for r in patterns.match_sets(kg, found, 4).collect():
+        got.setdefault((r.pattern, r.level), set()).add(r.nid)
+    for i in range(1, n + 1):
+        assert [got[f"T:t|0|I:500|1|I:{i}|2|I:900", k] for k in range(4)] == [set(range(1, n + 1)), {500}, {i}, {900}]
+
+
+def test_sets_with_equal_sums_are_compared_by_member(spark):
+    sets = spark.createDataFrame([(k, n) for k, ns in {"a": (1, 2), "b": (2, 1), "c": (1, 3)}.items() for n in ns], "key string, nid long")
+    classes, members = patterns.equal_sets(sets, "1:")
+    of = {r.key: (r["class"], r.n) for r in classes.collect()}
+    assert of["a"] == of["b"] != of["c"] and {n for _, n in of.values()} == {2}
+    assert rows(members.select("nid")) == [(1,), (1,), (2,), (3,)]
+
+
 def test_waves_prune_nothing(web):
     kg, q, rel = web
     found = patterns.labelled_patterns(kg, paths.path_scores(paths.paths_between(kg, q, rel, 4, 2), rel), relevance.type_relevance(kg, rel, q)).persist()
