@@ -55,6 +55,16 @@ def _kg(query: Callable[[KnowledgeGraph, DataFrame], DataFrame]) -> Callable[[Sp
     return lambda spark, sf_dir: query(*loaded(spark, sf_dir))
 
 
+def _nodes(query: Callable[[KnowledgeGraph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of nodes and types alone, for which no edges are written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        held = _GRAPHS.get((spark.sparkContext.applicationId, sf_dir))
+        return query(held[0] if held else star_schema.graph(spark, sf_dir))
+
+    return run
+
+
 def _text(df: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, signature(c))
@@ -441,10 +451,6 @@ def render_facts(kg, q):
     return engine.render(kg, engine.mine(kg, q, BIDIRECTIONAL.with_(top_facts=2), _rel(kg, q)))
 
 
-def specific_or_first(kg, q):
-    return graph.one_label(kg.nodes, kg.node_types)
-
-
 def one_hop_facts(kg, q):
     """Which of a target's values are unusual among those who share one of its other values."""
     peers = paths.one_hop_peers(kg, q).withColumn("pattern", F.concat_ws("=", "etype", "value")).select("qid", "pattern", "nid")
@@ -457,15 +463,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for name, query in {
         "kg_edges": lambda kg, q: kg.edges,
         "kg_edge_types": lambda kg, q: kg.edge_types,
-        "kg_nodes": lambda kg, q: kg.nodes,
-        "kg_node_types": lambda kg, q: kg.node_types,
         "kg_degree": lambda kg, q: graph.degrees(kg.edges),
         "edge_spread_ratio": lambda kg, q: graph.spread_ratio(kg.edges).withColumn("spread", F.round("spread", 10)),
         "etype_sources": lambda kg, q: graph.etype_sources(kg.edges),
         "neighbors_by_degree": lambda kg, q: graph.neighbours_by_degree(kg.edges),
         "first_value": lambda kg, q: graph.first_values(kg.edges),
-        "specific_type": lambda kg, q: graph.specific_type(kg.node_types),
-        "one_label": specific_or_first,
         "relevance_scores": relevance_scores,
         "sampled_relevance": sampled_relevance,
         "total_relevance": lambda kg, q: relevance.total_relevance(_rel(kg, q)).withColumn("total", F.round("total", 8)),
@@ -540,3 +542,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "render_facts": render_facts,
     }.items()
 }
+QUERIES.update(
+    {
+        "kg_nodes": _nodes(lambda kg: kg.nodes),
+        "kg_node_types": _nodes(lambda kg: kg.node_types),
+        "specific_type": _nodes(lambda kg: graph.specific_type(kg.node_types)),
+        "one_label": _nodes(lambda kg: graph.one_label(kg.nodes, kg.node_types)),
+    }
+)

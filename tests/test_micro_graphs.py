@@ -130,6 +130,18 @@ def test_sets_with_equal_sums_are_compared_by_member(spark):
     assert rows(members.select("nid")) == [(1,), (1,), (2,), (3,)]
 
 
+def test_node_queries_write_no_edges(spark, monkeypatch):
+    from strikegraph.plans import queries
+
+    def refuse(*_):
+        raise AssertionError("edges were written")
+
+    queries._GRAPHS.clear()
+    monkeypatch.setattr(graph, "sliced_edges", refuse)
+    for name in ("kg_nodes", "kg_node_types", "specific_type", "one_label"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_waves_prune_nothing(web):
     kg, q, rel = web
     found = patterns.labelled_patterns(kg, paths.path_scores(paths.paths_between(kg, q, rel, 4, 2), rel), relevance.type_relevance(kg, rel, q)).persist()
