@@ -385,14 +385,15 @@ def mined(config):
     return lambda kg, q: engine.mine(kg, q, config, _rel(kg, q))
 
 
+def _supplier_pairs(kg):
+    return kg.once("supplier pairs", lambda: star_schema.supplier_pairs(kg).transform(kept))
+
+
 def _suppliers(kg):
     """All suppliers with their nations, and the relevance to these."""
 
-    def make():
-        pairs = star_schema.supplier_pairs(kg).transform(kept)
-        return pairs, engine.scores(kg, pairs, BIDIRECTIONAL).transform(kept)
-
-    return kg.once("suppliers", make)
+    pairs = _supplier_pairs(kg)
+    return pairs, kg.once("suppliers", lambda: engine.scores(kg, pairs, BIDIRECTIONAL).transform(kept))
 
 
 def mine_every_supplier(kg, q):
@@ -405,7 +406,7 @@ def pair_names(kg, q):
     """Every supplier and its nation as a file of names, beside a comment, a lone name and pairs with an unknown name, read again as ids."""
     at = _file(kg, "names")
     name = lambda side: kg.nodes.select(F.col("nid").alias(side), F.col("iri").alias(f"{side}_name"))
-    named = _suppliers(kg)[0].join(name("target"), "target").join(name("context"), "context")
+    named = _supplier_pairs(kg).join(name("target"), "target").join(name("context"), "context")
     lines = F.explode(F.array(F.concat_ws(" ", "target_name", "context_name"), F.concat("target_name", F.lit("  nobody")), F.concat(F.lit("# "), "target_name"), F.col("target_name")))
     named.select(lines.alias("value")).write.text(at)
     return graph_io.read_iri_pairs(q.sparkSession, kg, at).select("target", "context")

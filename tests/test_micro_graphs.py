@@ -142,6 +142,17 @@ def test_node_queries_write_no_edges(spark, monkeypatch):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_pair_names_need_no_relevance(spark, monkeypatch):
+    from strikegraph.plans import queries
+
+    def refuse(*_):
+        raise AssertionError("relevance was worked out")
+
+    queries.forget()
+    monkeypatch.setattr(engine, "scores", refuse)
+    assert queries.QUERIES["pair_names"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_waves_prune_nothing(web):
     kg, q, rel = web
     found = patterns.labelled_patterns(kg, paths.path_scores(paths.paths_between(kg, q, rel, 4, 2), rel), relevance.type_relevance(kg, rel, q)).persist()
