@@ -354,6 +354,26 @@ def test_steps_of_a_walk_are_not_moved(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_hop_meets_a_row_for_each_node_in_place(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE_EDGES", 7)
+    kg, forward = hub_graph(spark)
+    ends = [(a, b) for s, e, d in set(forward) if s != d for a, b in ((s, d), (d, s))]
+    found = kg.adjacency().selectExpr("src", "slice", "size(out) n", "degree").collect()
+    assert len(found) == len({s for s, _ in ends}) + 5  # the hub's six slices
+    assert {r.src: r.degree for r in found} == {n: sum(s == n for s, _ in ends) for n, _ in ends} and sum(r.n for r in found) == len(ends)
+    assert "Exchange hashpartitioning" not in planned(kg.adjacency())
+    assert rows(kg.first_values()) == rows(graph.first_values(kg.edges))
+
+
+def test_repeated_edges_are_dropped_in_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE_EDGES", 3)
+    forward = spark.createDataFrame([(1, 0, 2)] * 9 + [(1, 0, 1), (3, 0, 2), (3, 2, 2), (4, 0, 2), (5, 0, 2)], "src long, etype int, dst long")
+    ids = spark.createDataFrame([(n, str(n)) for n in range(1, 6)], "nid long, iri string")
+    kg = KnowledgeGraph(ids, spark.createDataFrame([(0, "a")], "etype int, name string"), ids.toDF("nid", "type"), graph.both_directions(forward), repeated=graph.turned(forward)).cached()
+    assert rows(kg.edges) == rows(graph.both_directions(forward)) and kg.edges.count() == 10
+    assert {tuple(r) for r in kg.adjacency().where("src = 2").select("degree").collect()} == {(5,)}
+
+
 def test_snapshot_keeps_its_buckets(spark, tmp_path):
     kg, _ = hub_graph(spark)
     graph_io.write_snapshot(kg, f"{tmp_path}/snap")
