@@ -24,7 +24,7 @@ BUCKETS, ENTRIES = 1 << 15, 1 << 23
 ROUNDS, SET_ROUNDS, STILL = 12, 80, 1e-4
 #: Letters times languages that are looked up at once.
 AT_ONCE = 4_000_000
-#: A document's set is chosen among so many languages at most, those that win most of its words.
+#: A document's set is looked for among so many languages first, those that win most of its words; others are added as long as they could raise its likelihood.
 CANDIDATES = 16
 #: Languages of a model at most: the labels of most documents; rarer ones are taken for dirt and teach nothing.
 LANGUAGES = 1 << 13
@@ -144,20 +144,45 @@ def _likelihoods(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, wor
         yield a, b, np.add.reduceat(of, start).astype(np.float64)
 
 
+def _sums(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, words: np.ndarray, at: np.ndarray, value) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts with the sums over their words of ``value(a, b, likelihoods)`` for all languages, some texts at a time; ``at``: the words' texts, ascending."""
+    held = None
+    for a, b, w in _likelihoods(model_p, bucket, first, words, None):
+        texts, start = np.unique(at[a:b], return_index=True)
+        sums = np.add.reduceat(value(a, b, w), start)
+        if held is not None and held[0] == texts[0]:
+            sums[0] += held[1]
+        elif held is not None:
+            yield np.array([held[0]]), held[1][None]
+        if len(texts) > 1:
+            yield texts[:-1], sums[:-1]
+        held = texts[-1], sums[-1]
+    if held is not None:
+        yield np.array([held[0]]), held[1][None]
+
+
 def _candidates(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, words: np.ndarray, at: np.ndarray, times: np.ndarray, n_docs: int) -> np.ndarray:
-    """By text the ``CANDIDATES`` languages that are the likeliest for most of its words, in ascending order; all, if there are no more. -1 stands for none."""
+    """By text the languages to begin with, in ascending order: the likeliest for the whole text and ``CANDIDATES`` that are it for most of its words; all, if there are no more. -1 stands for none."""
     n_langs = model_p.shape[1]
     if n_langs <= CANDIDATES:
         return np.tile(np.arange(n_langs), (n_docs, 1))
-    best = np.concatenate([w.argmax(axis=1) for _, _, w in _likelihoods(model_p, bucket, first, words, None)])
+    best, alone = np.empty(len(words), dtype=np.int64), np.empty(n_docs, dtype=np.int64)
+
+    def value(a: int, b: int, w: np.ndarray) -> np.ndarray:
+        best[a:b] = w.argmax(axis=1)
+        return w * times[a:b, None]
+
+    for texts, sums in _sums(model_p, bucket, first, words, at, value):
+        alone[texts] = sums.argmax(axis=1)
     pair, of = np.unique(at * n_langs + best, return_inverse=True)
     votes = np.bincount(of, weights=times)
     text, lang = pair // n_langs, pair % n_langs
     order = np.lexsort((lang, -votes, text))
     place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-    out = np.full((n_docs, CANDIDATES), -1)
+    out = np.full((n_docs, CANDIDATES + 1), -1)
     some = place < CANDIDATES
     out[text[order][some], place[some]] = lang[order][some]
+    out[:, -1] = np.where((out == alone[:, None]).any(axis=1), -1, alone)
     return np.sort(out, axis=1)
 
 
@@ -180,16 +205,39 @@ def _mixture(like: np.ndarray, times: np.ndarray, start: np.ndarray, n: np.ndarr
 def infer(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Proportions ``(n_docs, candidates)`` under the chosen language set (zeros without a word), the candidates, and the set's size.
 
-    Memory follows the distinct words times ``CANDIDATES``, time the letters times the languages.
+    The candidates grow, see ``_chosen``, until no other language could raise a text's likelihood. Memory follows the distinct words times
+    the candidates, time the letters times the languages.
     """
     width = min(model_p.shape[1], CANDIDATES)
-    out, cand, size = np.zeros((n_docs, width)), np.tile(np.arange(width), (n_docs, 1)), np.zeros(n_docs, dtype=np.int64)
+    size = np.zeros(n_docs, dtype=np.int64)
     if not len(first):
-        return out, cand, size
+        return np.zeros((n_docs, width)), np.tile(np.arange(width), (n_docs, 1)), size
     words, of_doc, times = _distinct_words(bucket, first, doc)
-    some, start, n = np.unique(of_doc, return_index=True, return_counts=True)
-    at = np.repeat(np.arange(len(some)), n)
+    some, at = np.unique(of_doc, return_inverse=True)
     langs = _candidates(model_p, bucket, first, words, at, times, len(some))
+    out, cand = np.zeros((n_docs, langs.shape[1])), np.tile(np.arange(langs.shape[1]), (n_docs, 1))
+    left = np.arange(len(some))
+    while len(left):
+        here = np.isin(at, left)
+        pi, chosen, more = _chosen(model_p, bucket, first, words[here], np.searchsorted(left, at[here]), times[here], langs)
+        if (wider := langs.shape[1] - out.shape[1]) > 0:
+            out, cand = np.pad(out, ((0, 0), (0, wider))), np.pad(cand, ((0, 0), (0, wider)), constant_values=-1)
+        done = (more < 0).all(axis=1)
+        rows = some[left[done]]
+        out[rows, : langs.shape[1]], cand[rows, : langs.shape[1]], size[rows] = pi[done], langs[done], chosen[done]
+        left, langs = left[~done], np.sort(np.hstack([langs, more])[~done], axis=1)
+    return out, cand, size
+
+
+def _chosen(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, words: np.ndarray, at: np.ndarray, times: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``infer`` among the candidates ``langs`` of each text, and the languages to add to them, -1 for none.
+
+    The likelihood is concave in the proportions, so its slope bounds what any mixture of all languages reaches, and most texts are settled
+    by it. Of the others, those go on with more candidates that have another language whose slope at the candidates' mixture is above one a word:
+    without such a language no mixture of all languages is likelier than the candidates' best.
+    """
+    n_langs, width = model_p.shape[1], langs.shape[1]
+    _, start, n = np.unique(at, return_index=True, return_counts=True)
     likely = np.empty((len(words), width))
     for a, b, w in _likelihoods(model_p, bucket, first, words, lambda a, b: langs[at[a:b]]):
         likely[a:b] = np.where(langs[at[a:b]] < 0, NEVER, w)
@@ -198,13 +246,27 @@ def infer(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.nd
     like, shift = np.exp(likely - top), np.add.reduceat(top[:, 0] * times, start)
     best = alone.max(axis=1)
     pi = np.eye(width)[alone.argmax(axis=1)]
-    size[some] = 1
-    penalty = PENALTY * np.log(np.add.reduceat(times, start) + 1.0)
-    full, log_l = _mixture(like, times, start, n, np.full_like(pi, 1.0 / width), ROUNDS)
-    # The likelihood is concave in the proportions, so its slope bounds what any mixture of the candidates reaches; most documents are settled here.
+    size = np.ones(len(n), dtype=np.int64)
     count = np.add.reduceat(times, start)
-    slope = np.add.reduceat(like * (times / (like * full[at]).sum(axis=1))[:, None], start).max(axis=1)
+    penalty = PENALTY * np.log(count + 1.0)
+    full, log_l = _mixture(like, times, start, n, np.full_like(pi, 1.0 / width), ROUNDS)
+    weight = times / (like * full[at]).sum(axis=1)
+    slope = np.add.reduceat(like * weight[:, None], start).max(axis=1)
+    more = np.full((len(n), CANDIDATES), -1)
+    if n_langs > CANDIDATES:
+        with np.errstate(over="ignore"):
+            value = lambda a, b, w: np.exp(w - top[a:b]) * weight[a:b, None]
+            for texts, sums in _sums(model_p, bucket, first, words, at, value):
+                slope[texts] = np.maximum(slope[texts], sums.max(axis=1))
+                own = np.zeros((len(texts), n_langs + 1), dtype=bool)
+                np.put_along_axis(own, langs[texts], True, axis=1)
+                sums[own[:, :-1]] = 0.0  # -1 marks the column beyond the languages
+                order = np.argsort(-sums, axis=1, kind="stable")[:, :CANDIDATES]
+                steep = np.take_along_axis(sums, order, axis=1) > count[texts, None] * (1 + 1e-9)
+                more[texts] = np.where(steep, order, -1)
     open_ = np.flatnonzero(log_l + slope - count + shift - best > penalty)
+    more[np.setdiff1d(np.arange(len(n)), open_)] = -1
+    open_ = open_[(more[open_] < 0).all(axis=1)]
     if len(open_) and width > 1:
         reached = best.copy()
         order = np.argsort(-full, axis=1, kind="stable")
@@ -219,12 +281,11 @@ def infer(model_p: np.ndarray, bucket: np.ndarray, first: np.ndarray, doc: np.nd
             better = ll > reached[open_]
             reached[open_[better]] = ll[better]
             pi[open_[better]] = p[better]
-            size[some[open_[better]]] = k
+            size[open_[better]] = k
             open_ = open_[better] if k > 2 else open_  # three may pay where two don't
             if not len(open_):
                 break
-    out[some], cand[some] = pi, langs
-    return out, cand, size
+    return pi, size, more
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_langs", pa.int32()), ("mixture", pa.map_(pa.string(), pa.float64()))])

@@ -73,6 +73,25 @@ def test_a_thousand_languages_in_bounded_memory():
     assert {int(langs[2][j]): round(float(pi[2][j]), 1) for j in np.flatnonzero(pi[2] > 0.01)} == {7: 0.5, 500: 0.5}
 
 
+@pytest.mark.parametrize("at_once", [100, 4_000_000])
+def test_few_first_candidates_lose_no_language(monkeypatch, at_once):
+    """Texts of one to five of 60 languages: the sets are those of a choice among all languages, however few come first."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    p = rng.dirichlet(np.full(256, 0.05), 60)
+    model_p = np.log(p.T + 1e-9).astype(np.float32)
+    parts = [np.concatenate([rng.choice(256, 400, p=p[lang] / p[lang].sum()) for lang in rng.choice(60, k, replace=False)]).astype(np.int32) for k in (1, 2, 3, 4, 5, 1)]
+    bucket, first = np.concatenate(parts), np.arange(0, sum(map(len, parts)), 4)
+    doc = np.searchsorted(np.cumsum([len(x) for x in parts]), first, side="right")
+
+    def found(candidates):
+        monkeypatch.setattr(langid, "CANDIDATES", candidates)
+        pi, langs, size = langid.infer(model_p, bucket, first, doc, len(parts))
+        return size.tolist(), [{int(langs[i][j]): round(float(pi[i][j]), 2) for j in np.flatnonzero(pi[i] > 0.005)} for i in range(len(parts))]
+
+    assert found(2) == found(60) and found(60)[0] == [1, 2, 3, 4, 5, 1]
+
+
 def test_rare_labels_teach_nothing(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 2)
     docs = spark.createDataFrame([(i, f"w{i} word", f"l{i % 3 if i < 20 else 0}", "s", None) for i in range(30)], DOCS)
