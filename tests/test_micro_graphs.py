@@ -456,3 +456,18 @@ def test_patterns_by_name(web):
     best, members = engine.ranked_patterns(kg, q, rel, config)
     got = {r.text: r.display for r in patterns.named(kg, best.join(found.select("qid", "pattern", "labels", "etypes"), ["qid", "pattern"]), members).collect()}
     assert got["p -e0-> m -e2-> n/9"] == "p" and "p -e0-> n/5 -e2-> n/9" in got
+
+
+def test_the_last_hop_goes_to_nodes_that_may_count(spark, monkeypatch):
+    """A hop to nodes that can't reach the least score is left out, and no score changes."""
+    written = []
+    monkeypatch.setattr(relevance, "kept", lambda df: written.append(df.localCheckpoint()) or written[-1])
+    forward = [(0, 0, 1), (1, 0, 2)] + [(2, 0, n) for n in range(100, 400)] + [(n, 0, 2000 + 10 * n + i) for n in range(100, 400) for i in range(10)]
+    kg = kg_of(spark, forward)
+    got = {r.nid: r.score for r in relevance.relevance(kg, spark.createDataFrame([(0,)], "context long")).collect()}
+    want = plain_relevance(forward, 0)
+    assert set(got) == set(want) and all(abs(got[n] - want[n]) < 1e-10 for n in want)
+    states = [df.count() for df in written if "m0" in df.columns]
+    assert len(states) == 9 and states[7] == 301 and states[8] == 2
+    every = relevance.relevance(kg, spark.createDataFrame([(0,)], "context long"), min_score=0.0)
+    assert every.count() == 3303
