@@ -471,3 +471,14 @@ def test_the_last_hop_goes_to_nodes_that_may_count(spark, monkeypatch):
     assert len(states) == 9 and states[7] == 301 and states[8] == 2
     every = relevance.relevance(kg, spark.createDataFrame([(0,)], "context long"), min_score=0.0)
     assert every.count() == 3303
+
+
+def test_edges_are_written_once_as_a_row_for_each_node(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET_EDGES", 20)
+    kg, forward = hub_graph(spark)
+    whole = 2 * len({e for e in forward if e[0] != e[2]})
+    assert kg.edges.count() == whole and kg.packed.buckets == -(-whole // 20) > 4  # more buckets than shuffles have
+    monkeypatch.setattr(graph, "bucketed", lambda *a, **k: pytest.fail("edges are written again"))
+    assert {r.src: r.degree for r in kg.adjacency().collect()}[1] == 41
+    met = graph.follow(kg, spark.createDataFrame([(7, 1), (8, 2)], "qid long, src long"))
+    assert rows(met.select("qid", "etype", "dst")) == sorted((q, e, d) for q, n in ((7, 1), (8, 2)) for s, e, d in rows(kg.edges) if s == n)
