@@ -8,19 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikegraph.functions.columns import signature
-from strikegraph.operators.graph import KnowledgeGraph
+from strikegraph.operators.graph import KnowledgeGraph, follow
 from strikegraph.operators.relevance import ranked
 from strikegraph.sources.shared import kept
 
 KEY = ["source", "etypes"]
 
 
-def spread_edges(kg: KnowledgeGraph, forward_only: bool = False) -> DataFrame:
-    """``(src, etype, dst, spread, back)``: the edges with their share of their source's edges of the type, and of the reverse at the other end."""
-    spread = kg.edges.groupBy("src", "etype").agg((1.0 / F.count("*")).alias("spread"))
-    edges = kg.edges.where("etype % 2 = 0") if forward_only else kg.edges
-    back = spread.select(F.col("src").alias("dst"), F.col("etype").bitwiseXOR(1).alias("etype"), F.col("spread").alias("back"))
-    return edges.join(spread, ["src", "etype"]).join(back, ["dst", "etype"]).select("src", "etype", "dst", "spread", "back")
+def spread_edges(kg: KnowledgeGraph, sources: DataFrame, forward_only: bool = False) -> DataFrame:
+    """``(src, etype, dst, spread, back)``: the edges of ``sources(src)`` with their share of their source's edges of the type, and of the reverse at the other end.
+
+    Edges are followed and counted where they lie, those of the nodes concerned only; no other edge moves.
+    """
+    shares = lambda found, name: found.groupBy("src", "etype").agg((1.0 / F.count("*")).alias(name))
+    found = follow(kg, sources.select("src").distinct()).transform(kept)
+    edges = found.where("etype % 2 = 0") if forward_only else found
+    ends = shares(follow(kg, edges.select(F.col("dst").alias("src")).distinct()), "back")
+    back = ends.select(F.col("src").alias("dst"), F.col("etype").bitwiseXOR(1).alias("etype"), "back")
+    return edges.join(shares(edges, "spread"), ["src", "etype"]).join(back, ["dst", "etype"]).select("src", "etype", "dst", "spread", "back")
 
 
 def pattern_probability(kg: KnowledgeGraph, sources: DataFrame, hops: int, forward_only: bool = False) -> DataFrame:
@@ -30,16 +35,17 @@ def pattern_probability(kg: KnowledgeGraph, sources: DataFrame, hops: int, forwa
     source; ``score`` is their mean. Walks do not return to the node they came from.
 
     The last hop goes on from sums by node, not by node and predecessor, and takes off what would return: behind a hub, each edge
-    is followed once for a sequence, not once for each way to the hub.
+    is followed once for a sequence, not once for each way to the hub. Each hop follows the edges of the nodes it starts from, in place.
     """
-    edges = kg.once(("spread", forward_only), lambda: spread_edges(kg, forward_only).transform(kept))
     state = sources.select("source", F.array().cast("array<int>").alias("etypes"), F.lit(None).cast("long").alias("came"), F.col("source").alias("src"), F.lit(1.0).alias("f"), F.lit(1.0).alias("b"))
     out = []
     for _ in range(hops - 1):
+        edges = spread_edges(kg, state, forward_only).transform(kept)
         step = state.join(edges, "src").where("came is null or dst <> came")
         state = step.select("source", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("src").alias("came"), F.col("dst").alias("src"), (F.col("f") * F.col("spread")).alias("f"), (F.col("b") * F.col("back")).alias("b"))
         state = state.groupBy(*KEY, "came", "src").agg(F.sum("f").alias("f"), F.sum("b").alias("b")).transform(kept)
         out.append(state.groupBy(*KEY, F.col("src").alias("nid")).agg(F.sum("f").alias("f"), F.sum("b").alias("b")))
+    edges = spread_edges(kg, state, forward_only).transform(kept)
     walked = lambda step, sign: step.select("source", F.concat("etypes", F.array("etype")).alias("etypes"), F.col("dst").alias("nid"), (F.col("f") * F.col("spread") * sign).alias("f"), (F.col("b") * F.col("back") * sign).alias("b"), (F.col("n") * sign).alias("n"))
     sums = state.groupBy(*KEY, "src").agg(F.sum("f").alias("f"), F.sum("b").alias("b"), F.count("*").alias("n"))
     back = state.withColumn("n", F.lit(1).cast("long")).join(edges.withColumn("came", F.col("dst")), ["src", "came"])
@@ -53,14 +59,16 @@ def pattern_support(kg: KnowledgeGraph, patterns: DataFrame, hops: int) -> DataF
     p = patterns.select("etypes").distinct()
     prefixes = p.select("etypes", F.explode(F.sequence(F.lit(1), F.size("etypes"))).alias("n")).select(F.slice("etypes", F.lit(1), F.col("n")).alias("prefix")).distinct()
     at = prefixes.select("prefix", F.slice("prefix", F.lit(1), F.size("prefix") - 1).alias("parent"), F.element_at("prefix", -1).alias("etype"))
-    ends = kg.edges.select("etype", "src", F.col("dst").alias("nid"))
-    level = at.where("size(parent) = 0").join(ends, "etype").select("prefix", "nid").distinct()
+    # Where an edge leads, its reverse lies.
+    ends = kg.edges.select(F.col("etype").bitwiseXOR(1).alias("etype"), F.col("src").alias("nid"))
+    level = ends.join(F.broadcast(at.where("size(parent) = 0")), "etype").select("prefix", "nid").distinct()
     counts = []
     for n in range(1, hops + 1):
         counts.append(level.groupBy("prefix").agg(F.count("*").alias("n")))
         if n < hops:
-            tail = level.select(F.col("prefix").alias("parent"), F.col("nid").alias("src"))
-            level = at.where(F.size("prefix") == n + 1).join(tail, "parent").join(ends, ["etype", "src"]).select("prefix", "nid").distinct()
+            steps = at.where(F.size("prefix") == n + 1).select("prefix", F.col("parent"), F.col("etype").alias("step"))
+            tail = level.select(F.col("prefix").alias("parent"), F.col("nid").alias("src")).join(F.broadcast(steps), "parent")
+            level = follow(kg, tail).where("etype = step").select("prefix", F.col("dst").alias("nid")).distinct()
     sizes = reduce(DataFrame.unionByName, counts)
     return p.select("etypes", F.explode(F.sequence(F.lit(1), F.size("etypes"))).alias("k")).withColumn("prefix", F.slice("etypes", F.lit(1), F.col("k"))).join(sizes, "prefix").groupBy("etypes").agg(F.min("n").alias("support"))
 
