@@ -482,3 +482,17 @@ def test_edges_are_written_once_as_a_row_for_each_node(spark, monkeypatch):
     assert {r.src: r.degree for r in kg.adjacency().collect()}[1] == 41
     met = graph.follow(kg, spark.createDataFrame([(7, 1), (8, 2)], "qid long, src long"))
     assert rows(met.select("qid", "etype", "dst")) == sorted((q, e, d) for q, n in ((7, 1), (8, 2)) for s, e, d in rows(kg.edges) if s == n)
+
+
+def test_walks_move_no_other_edges(spark, monkeypatch):
+    """Shares, supports and holders of values come from the edges of the nodes concerned; no join goes over all edges."""
+    kg, forward = hub_graph(spark)
+    want = rows(kg.edges)
+    real, followed = graph.follow, []
+    counted = lambda g, r: followed.append(1) or real(g, r)
+    monkeypatch.setattr(explore, "follow", counted)
+    monkeypatch.setattr(facts, "follow", counted)
+    found = rows(explore.spread_edges(kg, spark.createDataFrame([(1,), (2,)], "src long")).select("src", "etype", "dst", "spread", "back"))
+    share = lambda n, e: 1.0 / sum(s == n and t == e for s, t, _ in want)
+    assert found == sorted((s, e, d, share(s, e), share(d, e ^ 1)) for s, e, d in want if s in (1, 2)) and len(followed) == 2
+    assert rows(facts.target_facts(kg, spark.createDataFrame([(1, 2, 9)], "qid int, target long, context long"))) == sorted((1, s, e, d) for s, e, d in want if s == 2) and len(followed) == 3
