@@ -402,6 +402,17 @@ def test_relevance_takes_masses_of_nodes_with_most_edges(spark, monkeypatch):
     assert found[0] and found[0] == found[1] == found[2]
 
 
+def test_snapshot_has_as_many_buckets_as_its_graph(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET_EDGES", 2)  # as in a graph of more edges than the usual buckets take
+    forward = spark.createDataFrame([(n, 0, n + 100) for n in range(20)], "src long, etype int, dst long")
+    ids = spark.createDataFrame([(n, str(n)) for m in range(20) for n in (m, m + 100)], "nid long, iri string")
+    kg = KnowledgeGraph(ids, spark.createDataFrame([(0, "a")], "etype int, name string"), ids.toDF("nid", "type"), graph.both_directions(forward), repeated=graph.turned(forward)).cached()
+    graph_io.write_snapshot(kg, f"{tmp_path}/snap")
+    again = graph_io.read_snapshot(spark, f"{tmp_path}/snap")
+    assert spark.read.parquet(f"{tmp_path}/snap/layout").first()[0] == kg.packed.buckets == 20
+    assert rows(again.edges) == rows(kg.edges) and "Exchange hashpartitioning(src" not in planned(again.adjacency())
+
+
 def walks_of(forward, start, hops):
     """All non-returning walks ``(etypes, nodes)`` with the shares of their steps, forward and back."""
     edges = sorted({(s, e, d) for s, e, d in forward if s != d})
