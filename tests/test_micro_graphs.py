@@ -522,3 +522,47 @@ def test_walks_move_no_other_edges(spark, monkeypatch):
     share = lambda n, e: 1.0 / sum(s == n and t == e for s, t, _ in want)
     assert found == sorted((s, e, d, share(s, e), share(d, e ^ 1)) for s, e, d in want if s in (1, 2)) and len(followed) == 2
     assert rows(facts.target_facts(kg, spark.createDataFrame([(1, 2, 9)], "qid int, target long, context long"))) == sorted((1, s, e, d) for s, e, d in want if s == 2) and len(followed) == 3
+
+
+def test_backward_half_is_walked_once_for_a_context(spark, monkeypatch):
+    """Thirty targets share context 900, to which forty nodes lead: its half of the paths holds forty rows, not forty for each target."""
+    kg = kg_of(spark, [(i, 0, 500 + i % 3) for i in range(1, 31)] + [(n, 2, 900) for n in range(500, 540)])
+    q = spark.createDataFrame([(i, i, 900) for i in range(1, 31)], "qid int, target long, context long")
+    rel = spark.createDataFrame([(900, n, 0.5) for n in [*range(1, 31), *range(500, 540), 900]], "context long, nid long, score double")
+    written, write = [], paths.kept
+    monkeypatch.setattr(paths, "kept", lambda df: written.append(write(df)) or written[-1])
+    found = paths.paths_between(kg, q, rel, 4, 2)
+    assert sorted(tuple(r.nodes) for r in found.collect()) == [(i, 500 + i % 3, 900) for i in range(1, 31)]
+    assert max(w.count() for w in written) <= 71  # the inner nodes; one row each for 30 targets, 40 for the context
+
+
+def test_type_scores_are_added_up_once_for_a_context(spark):
+    kg = kg_of(spark, [(n, 0, 9) for n in range(1, 5)], [(1, "p"), (2, "p"), (3, "p"), (4, "alone"), (9, "c")])
+    rel = spark.createDataFrame([(9, 1, 0.1), (9, 2, 0.2), (9, 4, 0.3), (9, 9, 0.9)], "context long, nid long, score double")
+    q = spark.createDataFrame([(n, n, 9) for n in (1, 2, 3, 4)], "qid int, target long, context long")
+    got = {(r.qid, r.type): r.score for r in relevance.type_relevance(kg, rel, q).collect()}
+    p = {1: 0.1, 2: 0.05, 3: 0.15, 4: 0.1}
+    assert got == {**{(n, "p"): x for n, x in p.items()}, **{(n, "c"): 0.9 for n in p}, **{(n, "alone"): 0.3 for n in (1, 2, 3)}}
+
+
+@pytest.mark.parametrize("few_edges", [2, 256])
+def test_facts_of_a_set_that_queries_share(spark, monkeypatch, few_edges):
+    """A set is held once for all queries; its facts, all or the best of them, are those of ``value_frequency`` by query."""
+    monkeypatch.setattr(facts, "FEW_EDGES", few_edges)
+    rnd = random.Random(6)
+    forward = {(n, e, 100 + 50 * e + rnd.randrange(rnd.choice([3, 25]))) for n in range(30) for e in (0, 2) for _ in range(1 if e else rnd.randrange(1, 6))}
+    kg = kg_of(spark, sorted(forward))
+    q = spark.createDataFrame([(i, t, 100) for i, t in enumerate((1, 2, 3, 29))], "qid int, target long, context long")
+    sets = {7: list(range(30)), 8: [1, 2, 5, 8, 9, 11], 9: [0, 3, 4, 29]}
+    once = spark.createDataFrame([(k, n) for k, ns in sets.items() for n in ns], "set_id long, nid long")
+    named = spark.createDataFrame([(i, f"p{k}", k, len(sets[k])) for i in range(4) for k in sets], "qid int, pattern string, set_id long, n_peers long")
+    members, asked = named.select("qid", "set_id").join(once, "set_id").select("qid", "set_id", "nid"), facts.target_facts(kg, q)
+    plain = facts.strikingness(facts.value_frequency(kg, members, asked, facts.eligible_by_peers(kg, members, asked, 0.8)))
+    want = rows(plain.select("qid", "set_id", "etype", "value", "strikingness", "value_freq", "top_value", "top_freq", "population"))
+    got = lambda most: engine.score_sets(kg, q, named, once, BIDIRECTIONAL, most=most)[1].select("qid", "set_id", "etype", "value", "strikingness", "value_freq", "top_value", "top_freq", "population")
+    assert rows(got(None)) == want and len(want) > 40
+    for most in (1, 3):
+        best = {}
+        for r in sorted(want, key=lambda r: (-r[4], r[2], r[3])):
+            best.setdefault(r[:2], []).append(r)
+        assert rows(got(most)) == sorted(r for found in best.values() for r in found[:most])
